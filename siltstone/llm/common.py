@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_arrow_batches(spark: SparkSession, records: int = 2000, size: str = "8m") -> None:
-    """Bounds the Arrow batches sent to Python workers by bytes, since texts may be very long."""
+def prepare(spark: SparkSession, records: int = 2000, size: str = "8m") -> None:
+    """Sets a session up for Python workers.
+
+    Arrow batches are bounded by bytes, since texts may be very long, and workers started
+    from here on find this package where the driver found it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_arrow_batches, text_of
+from .common import prepare, text_of
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -313,7 +313,7 @@ def tokenize(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids"
     The model, half a megabyte, is broadcast.
     """
     spark = docs.sparkSession
-    small_arrow_batches(spark)
+    prepare(spark)
     keep = [c for c in docs.columns if c != text]
     df = docs.select(*[docs[f"`{c}`"] for c in keep], text_of(docs, text).alias(text))
     schema = df.drop(text).withColumn(out, F.array().cast("array<int>")).schema

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_bpe, simhash
+from . import piece_bpe, quality, simhash, toxicity
 from .common import table
 
 
@@ -22,6 +22,31 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _split(modulus: int, held: int):
+    """Whether a row is held out, by the CRC-32 of its id's decimal text."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == held, F.lit(False))
+
+
+def _judged(scored: DataFrame, held) -> DataFrame:
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document; labels of every fifth id hash are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) != 0
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), train)
+    return _judged(quality.score(docs, model), _split(5, 0))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document; labels of every fourth id hash are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4)) != 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train)
+    return _judged(toxicity.score(docs, model), _split(4, 2))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -30,6 +55,8 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_quality": op4_quality,
+    "op7_toxicity": op7_toxicity,
     "op9_simhash_dedup": op9_simhash_dedup,
 }
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_arrow_batches, text_of
+from .common import cut, prepare, text_of
 from .components import connected_components
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed: int
 
     Null texts count as empty and get 0.  ``out`` must not be a column of ``docs``.
     """
-    small_arrow_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     keep = [c for c in docs.columns if c != text]
     df = docs.select(*[docs[f"`{c}`"] for c in keep], text_of(docs, text).alias(text))
     schema = df.drop(text).withColumn(out, F.lit(0).cast("long")).schema
