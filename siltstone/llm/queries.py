@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_bpe, quality, simhash, toxicity
-from .common import table
+from . import chat, mixing, piece_bpe, quality, simhash, tiff, toxicity, urls
+from .common import WORD, table
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,29 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality.score(docs, model), _split(5, 0))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    mixed = mixing.mix(docs, size="size")
+    return mixed.select("doc_id", "size", F.col("copies_source_size").alias("source_size"), F.col("copies_target").alias("target"), (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and what reading it back gives."""
+    own = spark.sql("SELECT -1L AS conv_id, t.* FROM VALUES (0L, 'user', '</s>[INST] ok [/INST]'), (1L, 'assistant', '</s>[INST] ok [/INST]') AS t(turn, role, text)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    made = chat.format_turns(chat.turns(rows)).withColumn("back", chat.read_back(F.col("formatted"))).withColumn("learned", chat.learned_text(F.col("formatted"), F.col("loss")))
+    listed = F.array_join(F.transform("back", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return made.select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2(listed.cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document; labels of every fourth id hash are held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -47,17 +70,42 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), _split(4, 2))
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an image and read back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = tiff.pages(tiff.store(docs))
+    size = F.length("pixels")
+    tail = F.substring("pixels", -32, 32)
+    feature = F.format_string("%dx%d samples=%d bits=%d compression=%d predictor=%d mean=%.6f deviation=%.6f", "width", "height", "samples", "bits", "compression", "predictor", "mean", "deviation")
+    return read.select(
+        "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
+
+
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_quality": op4_quality,
+    "op5_mixing": op5_mixing,
+    "op6_chat": op6_chat,
     "op7_toxicity": op7_toxicity,
+    "op8_url_rules": op8_url_rules,
     "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_tiff": op10_tiff,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat": chat.ORACLE_SQL,
+    "op8_url_rules": urls.ORACLE_SQL,
+}
