@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, piece_bpe, quality, simhash, tiff, toxicity, urls
+from . import ann, chat, mixing, piece_bpe, quality, simhash, tiff, toxicity, urls
 from .common import WORD, table
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded; digests of ids and of the decoded text."""
     model = piece_bpe.read_model()
@@ -95,6 +100,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
