@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, piece_bpe, quality, simhash, tiff, toxicity, urls
+from . import ann, chat, mixing, piece_bpe, quality, simhash, tiff, toxicity, unigram, urls
 from .common import WORD, table
 
 
@@ -27,6 +27,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram tokens of every text, with the pieces and scores of the public 32k model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram.count_tokens(docs, piece_bpe.read_model())
+
+
 def _split(modulus: int, held: int):
     """Whether a row is held out, by the CRC-32 of its id's decimal text."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == held, F.lit(False))
@@ -102,6 +108,7 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_token_counts": op3_token_counts,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_chat": op6_chat,
