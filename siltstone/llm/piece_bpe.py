@@ -140,10 +140,51 @@ class Cache(dict):
         return value
 
 
+class PieceDecoder:
+    """Decoder for one model of either kind; ``data`` are the bytes of its file."""
+
+    def __init__(self, data: bytes):
+        m = self.model = PieceModel.parse(data)
+        kinds = {CONTROL: lambda p: b"", UNKNOWN: lambda p: m.unk_surface.encode(), BYTE: lambda p: bytes([int(p[3:5], 16)])}
+        self.raw = [kinds.get(k, lambda p: p.replace(SPACE, " ").encode())(p) for p, k in zip(m.pieces, m.types, strict=True)]
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: bytes that are not UTF-8 each become U+FFFD, the dummy space goes."""
+        codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
+        out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "each-byte")
+        first = next((i for i in ids if self.model.types[i] != CONTROL), None)
+        if first is not None and (self.model.add_dummy_prefix or self.model.remove_extra_whitespaces) and self.model.pieces[first].startswith(SPACE):
+            out = out.lstrip(" ") if self.model.remove_extra_whitespaces else out[1:]
+        return out
+
+
+#: Letters after which nothing but such a letter continues a piece, if a vocabulary allows that.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+
+
+def adjacent(pieces) -> frozenset[str]:
+    """All pairs of characters that stand next to each other in a piece."""
+    return frozenset(p[i : i + 2] for p in pieces for i in range(len(p) - 1))
+
+
+def cutter(pairs: frozenset[str], runs: bool = True) -> re.Pattern | None:
+    """A pattern that finds segments which no piece crosses, as fine as these pairs allow; none if there is no simple one.
+
+    Without ``runs`` every space mark begins a segment of its own.
+    """
+    space, spaces = (f"{SPACE}*", f"{SPACE}+") if runs else (f"{SPACE}?", SPACE)
+    if any(p[1] == SPACE != p[0] or "\n" in p for p in pairs):
+        return None
+    letter = re.compile(f"[{LETTERS}]")
+    if any(letter.match(p[0]) and not letter.match(p[1]) for p in pairs):
+        return re.compile(f"{space}[^{SPACE}\n]+|\n|{spaces}")
+    return re.compile(f"{space}[^{SPACE}\n{LETTERS}]*[{LETTERS}]+|{space}[^{SPACE}\n{LETTERS}]+|\n|{spaces}")
+
+
 class PieceBPE:
-    """Encoder and decoder for one BPE model; ``data`` are the bytes of its file."""
+    """Encoder for one BPE model; ``data`` are the bytes of its file."""
 
-    def __init__(self, data: bytes, cached: int = 400_000, longest: int = 64):
+    def __init__(self, data: bytes, cached: int = 350_000, longest: int = 64):
         m = self.model = PieceModel.parse(data)
         if m.model_type != 2 or UNUSED in m.types or USER_DEFINED in m.types:
             raise ValueError("needs a BPE model without unused and user-defined pieces")
@@ -170,14 +211,11 @@ class PieceBPE:
 
     @cached_property
     def pairs(self) -> frozenset[str]:
-        return frozenset(p[i : i + 2] for p in self.ids for i in range(len(p) - 1))
+        return adjacent(self.ids)
 
     @cached_property
     def cutter(self) -> re.Pattern | None:
-        """A pattern that finds segments, if no piece holds a space after another character or any line end."""
-        if any(p[1] == SPACE != p[0] or "\n" in p for p in self.pairs):
-            return None
-        return re.compile(f"{SPACE}*[^{SPACE}\n]+|\n|{SPACE}+")
+        return cutter(self.pairs)
 
     def segments(self, text: str) -> list[str]:
         if self.cutter:
@@ -273,21 +311,6 @@ class PieceBPE:
             return list(chain.from_iterable(map(self.words.__getitem__, found)))
         return [i for s in found for i in (self.words[s] if len(s) <= self.longest else self._segment(s))]
 
-    @cached_property
-    def raw(self) -> list[bytes]:
-        m = self.model
-        kinds = {CONTROL: lambda p: b"", UNKNOWN: lambda p: m.unk_surface.encode(), BYTE: lambda p: bytes([int(p[3:5], 16)])}
-        return [kinds.get(k, lambda p: p.replace(SPACE, " ").encode())(p) for p, k in zip(m.pieces, m.types, strict=True)]
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: bytes that are not UTF-8 each become U+FFFD, the dummy space goes."""
-        codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
-        out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "each-byte")
-        first = next((i for i in ids if self.model.types[i] != CONTROL), None)
-        if first is not None and (self.model.add_dummy_prefix or self.model.remove_extra_whitespaces) and self.model.pieces[first].startswith(SPACE):
-            out = out.lstrip(" ") if self.model.remove_extra_whitespaces else out[1:]
-        return out
-
 
 @lru_cache(maxsize=2)
 def load(data: bytes) -> PieceBPE:
@@ -295,6 +318,11 @@ def load(data: bytes) -> PieceBPE:
     return PieceBPE(data)
 
 
+@lru_cache(maxsize=2)
+def load_decoder(data: bytes) -> PieceDecoder:
+    return PieceDecoder(data)
+
+
 def read_model(path: str | None = None) -> bytes:
     """The model file's bytes, read on the driver; by default that of the public 32k model."""
     if path is None:
@@ -336,7 +364,7 @@ def detokenize(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decode
     names, at = [*df.columns, out], df.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = load(shared.value).decode
+        decode = load_decoder(shared.value).decode
         for b in batches:
             texts = [decode(x.as_py() or []) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
