@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,18 +35,32 @@ def prepare(spark: SparkSession, records: int = 2000, size: str = "8m") -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors see.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where
-    that is unset, as in local tests.
+    It is the session's ``spark.checkpoint.dir``; a temporary one is set only where that is
+    unset, as in local tests.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def handed_over(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again, for steps that scan it more than once."""
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.parquet(place)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, in any spelling."""
     have = {c.lower() for c in df.columns}

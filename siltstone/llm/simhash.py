@@ -22,10 +22,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, text_of
+from .common import cut, fresh, prepare, row_hash, text_of
 from .components import connected_components
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -252,3 +252,24 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     roots = member.groupBy("component").agg(F.min("least").alias("component_id"))
     mapped = member.join(roots, "component").select("fp", "component_id")
     return light.join(mapped, "fp").select(id_column, *also, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each component of near-duplicates: that of the smallest id, nulls last.
+
+    Of several rows with that id, the one with the smallest hash stays, and of rows equal in
+    every column one.  Columns stay as they are.
+    """
+    # the id and a hash of the whole row name a row; texts are shuffled once, to be cut down
+    row = fresh(docs, "row")
+    named = docs.withColumn(row, row_hash(docs))
+    marked = near_duplicates(named, id_column, text, also=(row,), **options).withColumnRenamed(id_column, "keep_id")
+    first = F.min(F.struct(F.col("keep_id").isNull().alias("none"), F.col("keep_id"), F.col(row).alias("keep_row"))).alias("x")
+    # one component has one fingerprint group of equal component ids; null ids make one group a fingerprint
+    group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
+    kept = marked.groupBy(group.alias("g")).agg(first).select("x.keep_id", "x.keep_row").distinct()
+    met = named.join(kept, named[f"`{id_column}`"].eqNullSafe(F.col("keep_id")) & (named[row] == F.col("keep_row")))
+    # equal rows: the join has them together already, so this window costs no shuffle of its own
+    n = fresh(met, "n")
+    one = met.withColumn(n, F.row_number().over(Window.partitionBy("keep_id", "keep_row").orderBy(F.lit(0)))).where(F.col(n) == 1)
+    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
