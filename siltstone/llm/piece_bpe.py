@@ -20,11 +20,12 @@ from __future__ import annotations
 import codecs
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,7 +193,7 @@ class PieceBPE:
         self.bytes_at = {int(p[3:5], 16): i for i, p in enumerate(m.pieces) if m.types[i] == BYTE}
         self.unk = m.types.index(UNKNOWN)
         self.longest = longest
-        self.words = Cache(self._segment, cached)
+        self.words = Cache(lambda s: array("i", self._segment(s)).tobytes(), cached)
         self.fits = Cache(self._compatible, 4 * cached)
         self.size = len(m.pieces)
         #: (left id * size + right id) -> id of the piece that the two make
@@ -304,12 +305,16 @@ class PieceBPE:
 
     # -- whole texts -------------------------------------------------------------------------
 
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as 32-bit numbers in the machine's order, joined from remembered segments."""
+        found = self.segments(self.model.normalise(text))
+        if max(map(len, found), default=0) <= self.longest:
+            return b"".join(map(self.words.__getitem__, found))
+        return b"".join(self.words[s] if len(s) <= self.longest else array("i", self._segment(s)).tobytes() for s in found)
+
     def encode(self, text: str) -> list[int]:
         """The ids of a text, as the library's ``encode`` gives them without sampling or special ids."""
-        found = self.segments(self.model.normalise(text))
-        if not any(len(s) > self.longest for s in found):
-            return list(chain.from_iterable(map(self.words.__getitem__, found)))
-        return [i for s in found for i in (self.words[s] if len(s) <= self.longest else self._segment(s))]
+        return array("i", self.encode_bytes(text)).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -348,9 +353,11 @@ def tokenize(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids"
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load(shared.value).encode
+        encode = load(shared.value).encode_bytes
         for b in batches:
-            ids = pa.array([encode(t.as_py()) for t in b.column(b.num_columns - 1)], pa.list_(pa.int32()))
+            made = [encode(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(m) // 4 for m in made])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*keep, out])
 
     return df.mapInArrow(run, schema)
@@ -366,7 +373,10 @@ def detokenize(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = load_decoder(shared.value).decode
         for b in batches:
-            texts = [decode(x.as_py() or []) for x in b.column(at)]
+            lists = b.column(at)
+            flat, offsets = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_pylist()
+            spans = zip(offsets, offsets[1:], lists.is_valid().to_pylist(), strict=False)
+            texts = [decode(flat[i:j]) if there else "" for i, j, there in spans]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
 
     return df.mapInArrow(run, schema)
