@@ -127,16 +127,16 @@ def lzw_encode(data: bytes) -> bytes:
         put(codes[word] if len(word) > 1 else word[0])
         codes[longer] = following
         following += 1
-        if following in (511, 1023, 2047):
+        if following in (512, 1024, 2048):
             width += 1
-        elif following == 4094:
+        elif following == 4095:
             put(CLEAR)
             codes, width, following = {}, 9, 258
         word = data[i : i + 1]
     if word:
         put(codes[word] if len(word) > 1 else word[0])
         following += 1
-        if following in (511, 1023, 2047):
+        if following in (512, 1024, 2048):
             width += 1
     put(STOP)
     if bits:
