@@ -3,7 +3,7 @@
 Leaves are equality or ``$eq $ne $gt $gte $lt $lte $in $nin``; ``$and`` and ``$or`` nest.
 A null never satisfies an ordering or ``$in``, but does satisfy ``$ne`` and ``$nin``.  Several
 keys are joined by and; beside ``$and`` or ``$or`` they are ignored; unknown operators too.
-The result never is null, so that it may be negated.
+The result never is null, so that it may be negated; it is spelled so that scans can use it.
 """
 
 from __future__ import annotations
@@ -34,12 +34,12 @@ def _leaf(c: Column, value) -> Column:
     tests = {
         "$eq": lambda v: c.eqNullSafe(F.lit(v)),
         "$ne": lambda v: ~c.eqNullSafe(F.lit(v)),
-        "$gt": lambda v: F.coalesce(c > v, F.lit(False)),
-        "$gte": lambda v: F.coalesce(c >= v, F.lit(False)),
-        "$lt": lambda v: F.coalesce(c < v, F.lit(False)),
-        "$lte": lambda v: F.coalesce(c <= v, F.lit(False)),
-        "$in": lambda v: F.coalesce(c.isin(list(v)), F.lit(False)),
-        "$nin": lambda v: F.coalesce(~c.isin(list(v)), F.lit(True)),
+        "$gt": lambda v: c.isNotNull() & (c > v),
+        "$gte": lambda v: c.isNotNull() & (c >= v),
+        "$lt": lambda v: c.isNotNull() & (c < v),
+        "$lte": lambda v: c.isNotNull() & (c <= v),
+        "$in": lambda v: c.isNotNull() & c.isin(list(v)),
+        "$nin": lambda v: c.isNull() | ~c.isin(list(v)),
     }
     return reduce(and_, (tests[k](v) for k, v in value.items() if k in tests), F.lit(True))
 
