@@ -34,6 +34,7 @@ def plan(df):
 
 
 def test_filters_reach_the_scan(spark, data):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     p = catalog.QUERIES["metadata_filter"](spark, data)._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
     assert "GreaterThanOrEqual(n_chars,500)" in p and "EqualNullSafe(lang,fr)" in p
     p = plan(catalog.QUERIES["event_windows"](spark, data))
