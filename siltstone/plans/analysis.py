@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scores import canonical_gap_type, cost, dirty_null, safe_double, severity_label
-from siltstone.operators import evaluation, gap
+from siltstone.operators import evaluation, gap, passes
 from siltstone.sources import files
 from siltstone.streaming.incremental import windowed_counts
 
@@ -49,6 +49,13 @@ def entity_ranking(spark: SparkSession, d: str) -> DataFrame:
     return r.select("entity", F.round("mean_score", 5).alias("mean_score"), "cells", "label")
 
 
+def gap_passes(spark: SparkSession, d: str) -> DataFrame:
+    """All cells through the three model passes of the stand-in; rows only."""
+    c = cells(spark, d).withColumn("evidence", F.format_string("%d orders of %s", "commitments", "entity")).withColumn("benchmark", F.concat(F.lit("finished by now: "), F.col("dimension")))
+    a = passes.analyse(c.select("entity", "position", "dimension", "evidence", "benchmark"), passes.stand_in)
+    return a.select("entity", "dimension", "level", "score", "label", "severity_first", F.size("commitments").alias("n_commitments"), "status")
+
+
 def worst_findings(spark: SparkSession, d: str) -> DataFrame:
     """Per order the largest line discount as a finding's score, beside the first finding's severity."""
     f = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("severity"), F.col("l_discount").alias("severity_score"))))
@@ -217,7 +224,7 @@ def store_metadata(spark: SparkSession, d: str) -> DataFrame:
     return files.sanitise(docs, ["lang"]).select("key", "lang", "size", F.length("snippet").cast("bigint").alias("snippet_chars"))
 
 
-_ALL = (severity_labels, gap_matrix, precedence_merge, pairwise_leader, entity_ranking, worst_findings, normalised_values, rouge_1_2, rouge_l, failure_flags, failure_taxonomy, layer_attribution, failure_histogram, failure_predictors, recommendations, model_summary, model_advantage, argmax_by_group, bootstrap_ci, bootstrap_difference, incremental_anti_join, status_summary, key_report, alias_join, event_windows, store_metadata)
+_ALL = (severity_labels, gap_matrix, precedence_merge, pairwise_leader, entity_ranking, gap_passes, worst_findings, normalised_values, rouge_1_2, rouge_l, failure_flags, failure_taxonomy, layer_attribution, failure_histogram, failure_predictors, recommendations, model_summary, model_advantage, argmax_by_group, bootstrap_ci, bootstrap_difference, incremental_anti_join, status_summary, key_report, alias_join, event_windows, store_metadata)
 QUERIES = {f.__name__: f for f in _ALL}
 
 

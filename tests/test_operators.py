@@ -157,3 +157,38 @@ def test_ingestion_is_incremental(spark, tmp_path):
     spark.createDataFrame([(2, prose), (3, "a-\nb " + prose)], schema).write.mode("append").parquet(src)
     incremental.ingest(spark, src, out, state, schema).awaitTermination(120)
     assert sorted((r.doc_id, r.garbled) for r in spark.read.parquet(out).collect()) == [(1, False), (2, True), (3, False)]
+
+
+def test_passes(spark):
+    from siltstone.operators import passes
+
+    cells = spark.createDataFrame([(f"e{i}", i, "d", f"evidence {i}", "benchmark") for i in range(12)], "entity string, position int, dimension string, evidence string, benchmark string")
+    out = {r.entity: r for r in passes.analyse(cells, passes.stand_in).collect()}
+    assert len(out) == 12 and {r.status for r in out.values()} >= {"ok", "no findings parsed"}
+    for r in out.values():
+        assert len(r.commitments) <= 1  # repeated texts are one
+        assert (r.score is None) == (r.status == "no findings parsed" or r.label == "ABSENT")
+        assert all(f.gap_type == "missing_commitment" for f in r.gap_findings)
+    analyses = passes.analyse(cells, passes.stand_in)
+    scored = sum(r.score is not None for r in out.values())
+    assert passes.compare(analyses).count() == scored * (scored - 1) // 2
+    assert passes.report(analyses).first().scored == scored
+
+
+def test_metadata(spark):
+    from siltstone.operators import metadata
+
+    docs = spark.createDataFrame([("NDC2_2021_South_Africa",), ("AR6_SPM",), ("known",)], "stem string")
+    known = spark.createDataFrame([("known", 1, 2016, "India")], "stem string, cycle int, year int, country string")
+    got = {r.stem: (r.cycle, r.year, r.country) for r in metadata.with_metadata(docs, known).collect()}
+    assert got == {"NDC2_2021_South_Africa": (2, 2021, "South Africa"), "AR6_SPM": (6, None, None), "known": (1, 2016, "India")}
+    eu = spark.createDataFrame([("a", "EU"), ("b", "India")], "doc string, country string")
+    alias = spark.createDataFrame([("EU", "France"), ("EU", "Italy")], "entity string, alias string")
+    assert sorted((r.doc, r.country) for r in metadata.expand_aliases(eu, alias).collect()) == [("a", "EU"), ("a", "France"), ("a", "Italy"), ("b", "India")]
+    chunks = spark.createDataFrame([("D", 1, "X", 2020, "s"), ("D", 0, "Y", 2021, "t")], "doc_id string, chunk_index int, country string, year int, source string")
+    cites = spark.createDataFrame([("D", 3), ("E", 1)], "doc string, page int")
+    assert {r.doc: r.country for r in metadata.cite(cites, chunks).collect()} == {"D": "Y", "E": None}
+    names = metadata.match_names(spark.createDataFrame([("usa",), ("UK",), ("x",)], "name string"), spark.createDataFrame([("USA",), ("UK",), ("uk",)], "name string"))
+    assert {r.name: r.found for r in names.collect()} == {"usa": "USA", "UK": "UK", "x": None}
+    done = spark.createDataFrame([("a", "d")], "entity string, dimension string")
+    assert metadata.unfinished(spark.createDataFrame([("a", "d"), ("b", "d")], "entity string, dimension string"), done).first().entity == "b"
