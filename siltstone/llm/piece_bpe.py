@@ -185,7 +185,7 @@ def cutter(pairs: frozenset[str], runs: bool = True) -> re.Pattern | None:
 class PieceBPE:
     """Encoder for one BPE model; ``data`` are the bytes of its file."""
 
-    def __init__(self, data: bytes, cached: int = 350_000, longest: int = 64):
+    def __init__(self, data: bytes, cached: int = 250_000, longest: int = 64):
         m = self.model = PieceModel.parse(data)
         if m.model_type != 2 or UNUSED in m.types or USER_DEFINED in m.types:
             raise ValueError("needs a BPE model without unused and user-defined pieces")
@@ -194,7 +194,7 @@ class PieceBPE:
         self.unk = m.types.index(UNKNOWN)
         self.longest = longest
         self.words = Cache(lambda s: array("i", self._segment(s)).tobytes(), cached)
-        self.fits = Cache(self._compatible, 4 * cached)
+        self.fits = Cache(self._compatible, 2 * cached)
         self.size = len(m.pieces)
         #: (left id * size + right id) -> id of the piece that the two make
         self.joins = {
