@@ -254,16 +254,16 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     return light.join(mapped, "fp").select(id_column, *also, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", find=near_duplicates, **options) -> DataFrame:
     """``docs`` with one row of each component of near-duplicates: that of the smallest id, nulls last.
 
-    Of several rows with that id, the one with the smallest hash stays, and of rows equal in
+    ``find`` marks the components as ``near_duplicates`` does.  Of several rows with that id, the one with the smallest hash stays, and of rows equal in
     every column one.  Columns stay as they are.
     """
     # the id and a hash of the whole row name a row; texts are shuffled once, to be cut down
     row = fresh(docs, "row")
     named = docs.withColumn(row, row_hash(docs))
-    marked = near_duplicates(named, id_column, text, also=(row,), **options).withColumnRenamed(id_column, "keep_id")
+    marked = find(named, id_column, text, also=(row,), **options).withColumnRenamed(id_column, "keep_id")
     first = F.min(F.struct(F.col("keep_id").isNull().alias("none"), F.col("keep_id"), F.col(row).alias("keep_row"))).alias("x")
     # one component has one fingerprint group of equal component ids; null ids make one group a fingerprint
     group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
