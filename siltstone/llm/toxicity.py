@@ -1,13 +1,11 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
 Two bigram models, one of toxic and one of ordinary labelled documents, score every text;
-the difference of their log-likelihoods, divided by the length, is the evidence.  Below both
-lies one *shared* Kneser-Ney model of all labelled documents, with absolute discounts and, at
-the word level, the number of distinct contexts that a word follows.  A class weighs each
-shared probability by its own counts against what the shared model lets expect; the counts that the
-expectation stands for are split between the classes in proportion to their sizes.  Pairs
-back off to words, and words to all words with the same beginning.  A rare expression thus gets the same
-probability from both models and says nothing, whichever of them has seen it.
+the difference of their log-likelihoods, divided by the length, is the evidence.  Each class
+discounts its own pairs by a constant and gives the mass so freed, its number of distinct words
+after the context, to its word level: the number of distinct contexts that a word follows in the
+class, discounted in turn.  What that frees goes to the *shared* continuation counts of all
+labelled documents, weighed by how likely the class makes the word's beginning.
 
 A pair counts once a document.  All labelled rows are counted, by one distributed aggregate
 over (context, word) pairs.  Words
@@ -37,9 +35,9 @@ WORDS, PAIRS, BEGINNINGS, BEGINNING = 1 << 18, 1 << 20, 1 << 15, 4
 CALIBRATION_ROWS = 20_000
 PATTERN = r"[\p{L}\p{N}]+"
 WINDOW, PRIOR_WORDS = 64, 8.0
-#: Counts that the level below stands for, at a word, a pair, a context and a beginning; its discount; the largest log-ratio of a token.
-BACKOFF_WORD, BACKOFF_PAIR, BACKOFF_CONTEXT, BACKOFF_BEGINNING = 10.0, 10.0, 50.0, 30.0
-DISCOUNT, CLIP = np.float32(0.75), 6.0
+#: Counts that an even split stands for, at a beginning; the discounts, of smaller counts all; the largest log-ratio of a token.
+BACKOFF_BEGINNING = 30.0
+DISCOUNT_PAIR, DISCOUNT_WORD, CLIP = np.float32(2), np.float32(3), 6.0
 #: Evidence beyond which a token's log-ratio counts as decisive.
 DECISIVE = 1.5
 
@@ -85,9 +83,10 @@ class Model:
 
     word: np.ndarray  # (2, WORDS) pairs that end in the word
     begin: np.ndarray  # (2, BEGINNINGS) pairs whose word has the beginning
-    follows: np.ndarray  # (WORDS,) distinct contexts, both classes together
+    follows: np.ndarray  # (2, WORDS) distinct contexts in the class
     context: np.ndarray  # (2, WORDS) pairs that start with the word
-    kinds: np.ndarray  # (WORDS,) distinct words after a context, both classes together
+    kinds: np.ndarray  # (2, WORDS) what discounts free after a context
+    either: np.ndarray  # (WORDS,) distinct contexts, both classes together
     key: np.ndarray  # (PAIRS,) context, word and beginning, or -1
     pair: np.ndarray  # (2, PAIRS) its count
     weights: np.ndarray
@@ -97,27 +96,30 @@ class Model:
         self.usable = bool((total > 0).all())
         self.share = (total / max(total.sum(), 1)).astype(np.float32)
         # the shared word level, and how much more or less likely each class makes a beginning
-        self.one = ((self.follows + 0.5) / (self.follows.sum(dtype=np.float64) + 0.5 * WORDS)).astype(np.float32)
-        self.more = [self._weight(c, self.begin, 1.0, BACKOFF_BEGINNING) for c in (0, 1)]
+        shared = (self.either + 0.5) / (self.either.sum(dtype=np.float64) + 0.5 * WORDS)
+        self.shared = shared.astype(np.float32)
+        self.more = [self._weight(c, self.begin, BACKOFF_BEGINNING) for c in (0, 1)]
+        self.pairs = self.follows.sum(axis=1, dtype=np.float64)  # distinct pairs of each class
+        self.freed = np.minimum(self.follows, DISCOUNT_WORD).sum(axis=1, dtype=np.float64)
 
-    def _weight(self, c: int, counts: np.ndarray, prior, strength: float) -> np.ndarray:
+    def _weight(self, c: int, counts: np.ndarray, strength: float) -> np.ndarray:
         """How much more likely class ``c`` makes events than both do, given a prior worth ``strength`` counts."""
         share = np.float32(self.share[c])
-        return ((counts[c] + share * strength * prior) / (share * (counts.sum(axis=0) + strength) + np.float32(1e-9))).astype(np.float32)
+        return ((counts[c] + share * strength) / (share * (counts.sum(axis=0) + strength) + np.float32(1e-9))).astype(np.float32)
+
+    def log_probability(self, c: int, u: np.ndarray, w: np.ndarray, begin: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Kneser-Ney of class ``c``: discounted pairs, the class's continuation counts, the shared ones."""
+        word = (np.maximum(self.follows[c, w] - DISCOUNT_WORD, 0) + self.freed[c] * self.shared[w] * self.more[c][begin]) / max(self.pairs[c], 1)
+        n = self.context[c, u]
+        return np.log(np.where(n > 0, (np.maximum(pair[c] - DISCOUNT_PAIR, 0) + self.kinds[c, u] * word) / np.maximum(n, 1), word))
 
     def ratios(self, key: np.ndarray) -> np.ndarray:
         """The log of toxic over ordinary probability of each key's word after its context."""
         u, w, begin = _parts(key)
         b = _place(key)
-        seen = self.key[b] == key
-        pair = np.where(seen, self.pair[:, b], 0).astype(np.float32)
-        word, total, one, logs = self.word[:, w], self.context[:, u], self.one[w], []
-        both = total.sum(axis=0)
-        shared = np.where(both > 0, (np.maximum(pair.sum(axis=0) - DISCOUNT, 0) + DISCOUNT * self.kinds[u] * one) / np.maximum(both, 1), one)
-        for c in (0, 1):
-            more = self._weight(c, pair, self._weight(c, word, self.more[c][begin], BACKOFF_WORD), BACKOFF_PAIR)
-            logs.append(np.log(shared * more / self._weight(c, total, 1.0, BACKOFF_CONTEXT)))
-        return np.clip(logs[1] - logs[0], -CLIP, CLIP)
+        pair = np.where(self.key[b] == key, self.pair[:, b], 0).astype(np.float32)
+        ordinary, toxic = (self.log_probability(c, u, w, begin, pair) for c in (0, 1))
+        return np.clip(toxic - ordinary, -CLIP, CLIP)
 
     def evidence(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(texts, 3): the mean log-ratio, the highest mean over a window, and the mean of what exceeds ``DECISIVE``.
@@ -153,7 +155,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(_place(key).astype(np.int32)), *map(pa.array, (key, n - t, t))], names=["place", "key", "o", "t"])
 
 
-KINDS = {"word": WORDS, "begin": BEGINNINGS, "follows": WORDS, "context": WORDS, "kinds": WORDS}
+KINDS = {"word": WORDS, "begin": BEGINNINGS, "follows": WORDS, "context": WORDS, "kinds": WORDS, "either": WORDS}
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +163,8 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The last kind holds the most frequent pair of each place, ties to the smaller key.
     """
-    at = {k: np.zeros((2, n)) for k, n in KINDS.items()}
-    best, key_at, kept = np.full(PAIRS, -1, np.int64), np.full(PAIRS, -1, np.int64), np.zeros((2, PAIRS))
+    at = {k: np.zeros((2, n), np.float32) for k, n in KINDS.items()}
+    best, key_at, kept = np.full(PAIRS, -1, np.int64), np.full(PAIRS, -1, np.int64), np.zeros((2, PAIRS), np.float32)
     for b in batches:
         key, o, t = (np.asarray(b.column(i)) for i in range(3))
         u, w, begin = _parts(key)
@@ -170,8 +172,9 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at["word"][c] += np.bincount(w, weights=n, minlength=WORDS)
             at["begin"][c] += np.bincount(begin, weights=n, minlength=BEGINNINGS)
             at["context"][c] += np.bincount(u, weights=n, minlength=WORDS)
-        at["follows"][0] += np.bincount(w, minlength=WORDS)
-        at["kinds"][0] += np.bincount(u, minlength=WORDS)
+            at["follows"][c] += np.bincount(w, weights=n > 0, minlength=WORDS)
+            at["kinds"][c] += np.bincount(u, weights=np.minimum(n, DISCOUNT_PAIR), minlength=WORDS)
+        at["either"][0] += np.bincount(w, minlength=WORDS)
         order = np.lexsort((-key, o + t))[::-1]  # the best first
         key, o, t = key[order], o[order], t[order]
         place, first = np.unique(_place(key), return_index=True)
@@ -184,7 +187,7 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(places), 50_000):
             p = places[i : i + 50_000]
             key = key_at[p] if kind == len(KINDS) else np.zeros(len(p), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int32)), pa.array(p.astype(np.int32)), pa.array(key), pa.array(x[0, p]), pa.array(x[1, p])], names=["kind", "place", "key", "o", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int32)), pa.array(p.astype(np.int32)), pa.array(key), pa.array(x[0, p].astype(np.float64)), pa.array(x[1, p].astype(np.float64))], names=["kind", "place", "key", "o", "t"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_column: str = "doc_id", text: str = "text", label: str = "toxic", calibration_rows: int = CALIBRATION_ROWS, seed: int = 7) -> Model:
@@ -204,13 +207,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_column: str = "doc
     # the pairs of one place are in one partition, so each place of the last kind has one row already
     tables = made.groupBy("kind", "place").agg(F.max("key").alias("key"), F.sum("o").cast("float").alias("o"), F.sum("t").cast("float").alias("t"))
     got = tables.toArrow()
-    kind, place, keys, o, t = (got.column(i).to_numpy() for i in range(5))  # at most 4 * WORDS + BEGINNINGS + PAIRS rows
+    kind, place, keys, o, t = (got.column(i).to_numpy() for i in range(5))  # at most 5 * WORDS + BEGINNINGS + PAIRS rows
     arrays = {}
     for i, (name, size) in enumerate([*KINDS.items(), ("pair", PAIRS)]):
         a = np.zeros((2, size), np.float32)
         at = kind == i
         a[0, place[at]], a[1, place[at]] = o[at], t[at]
-        arrays[name] = a[0] if name in ("follows", "kinds") else a
+        arrays[name] = a[0] if name == "either" else a
     key = np.full(PAIRS, -1, np.int64)
     key[place[kind == len(KINDS)]] = keys[kind == len(KINDS)]
     model = Model(**arrays, key=key, weights=np.array([0.0, 0.0, 0.0, -30.0]))

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +91,31 @@ def test_temperature_lowers_the_loss():
     z = rng.normal(size=2000) * 6
     y = (rng.random(2000) < 1 / (1 + np.exp(-z / 3))).astype(float)
     assert 2.4 < quality._temperature(z, y) < 3.7
+
+
+def test_toxicity_is_the_difference_of_two_discounted_models(spark, corpus):
+    docs, labels = corpus
+    model = toxicity.fit(docs, labels, F.lit(True))
+    texts = [r.text for r in docs.orderBy("doc_id").limit(3).collect()]
+    h = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", toxicity._tokens(F.col("text")).alias("h")).orderBy("i").collect()
+    values, offsets = np.concatenate([np.array(r.h) for r in h]), np.concatenate([[0], np.cumsum([len(r.h) for r in h])])
+    key = np.unique(toxicity._keys(values, offsets))
+    u, w, begin = toxicity._parts(key)
+    at = toxicity._place(key)
+    n = np.where(model.key[at] == key, model.pair[:, at], 0)
+    logs = []
+    for c in (0, 1):
+        f = model.follows[c].astype(float)
+        base = model.shared[w] * model.more[c][begin] * np.minimum(f, 3).sum()
+        word = (np.maximum(f[w] - 3, 0) + base) / f.sum()
+        # what discounts free after a context, from the pairs themselves
+        pu = toxicity._parts(model.key[model.key >= 0])[0]
+        freed = np.bincount(pu, weights=np.minimum(model.pair[c][model.key >= 0], 2), minlength=toxicity.WORDS)
+        total = model.context[c][u]
+        p = np.where(total > 0, (np.maximum(n[c] - 2, 0) + model.kinds[c][u] * word) / np.maximum(total, 1), word)
+        logs.append(np.log(p))
+        assert (freed <= model.kinds[c] + 1e-3).all() and freed.sum() > 0.9 * model.kinds[c].sum()
+    assert np.allclose(model.ratios(key), np.clip(logs[1] - logs[0], -6, 6), atol=1e-4)
+    # discounts and continuation counts decide the scores
+    assert not np.allclose(replace(model, kinds=model.kinds / 2).ratios(key), model.ratios(key))
+    assert not np.allclose(replace(model, follows=model.follows**2).ratios(key), model.ratios(key))
