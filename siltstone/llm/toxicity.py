@@ -11,8 +11,9 @@ A pair counts once a document.  All labelled rows are counted, by one distribute
 over (context, word) pairs.  Words
 are hashed to buckets, and each of ``PAIRS`` places holds the most frequent of the pairs that
 hash to it; the others are left to the word level.  So the finished model is a few arrays of
-fixed size (about 30 MB) whatever the corpus; only those are broadcast.  A logistic curve turns evidence into a probability; it is
-fitted on labelled rows that the counts leave out, at most ``CALIBRATION_ROWS`` of them.
+fixed size (about 30 MB) whatever the corpus; only those are broadcast.  A logistic curve turns
+evidence into a probability; it is fitted on at most ``CALIBRATION_ROWS`` labelled rows, with
+evidence from a second set of tables that leaves just these rows out.
 
 Evidence is the mean over the text's distinct pairs, the highest mean over a window, so that a
 short outburst in a long text is not diluted, and the mean of the decisive part.
@@ -146,82 +147,114 @@ class Model:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counted (context, word) pairs of each batch: place, key, ordinary, toxic."""
+    """Counted (context, word) pairs of each batch: place, key, ordinary, toxic, and both of the rows held for calibration."""
     for b in batches:
-        _, doc, keys = _once(*lists(b.column(1)))
+        _, doc, keys = _once(*lists(b.column(2)))
         key, at = np.unique(keys, return_inverse=True)
-        t = np.bincount(at, weights=b.column(0).to_numpy()[doc] == 1, minlength=len(key)).astype(np.int64)
-        n = np.bincount(at, minlength=len(key))
-        yield pa.RecordBatch.from_arrays([pa.array(_place(key).astype(np.int32)), *map(pa.array, (key, n - t, t))], names=["place", "key", "o", "t"])
+        kind = (b.column(0).to_numpy() + 2 * b.column(1).to_numpy())[doc]
+        n = [np.bincount(at, weights=kind == k, minlength=len(key)).astype(np.int64) for k in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(_place(key).astype(np.int32)), *map(pa.array, (key, n[0] + n[2], n[1] + n[3], n[2], n[3]))], names=["place", "key", "o", "t", "ho", "ht"])
 
 
 KINDS = {"word": WORDS, "begin": BEGINNINGS, "follows": WORDS, "context": WORDS, "kinds": WORDS, "either": WORDS}
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of distinct pairs as the filled places of fixed-size arrays: kind, place, key, ordinary, toxic.
+class _Tables:
+    """The fixed-size arrays of distinct pairs."""
 
-    The last kind holds the most frequent pair of each place, ties to the smaller key.
-    """
-    at = {k: np.zeros((2, n), np.float32) for k, n in KINDS.items()}
-    best, key_at, kept = np.full(PAIRS, -1, np.int64), np.full(PAIRS, -1, np.int64), np.zeros((2, PAIRS), np.float32)
-    for b in batches:
-        key, o, t = (np.asarray(b.column(i)) for i in range(3))
+    def __init__(self):
+        self.at = {k: np.zeros((2, n), np.float32) for k, n in KINDS.items()}
+        self.key, self.kept = np.full(PAIRS, -1, np.int64), np.zeros((2, PAIRS), np.float32)
+
+    def add(self, key: np.ndarray, o: np.ndarray, t: np.ndarray) -> None:
         u, w, begin = _parts(key)
         for c, n in ((0, o), (1, t)):
-            at["word"][c] += np.bincount(w, weights=n, minlength=WORDS)
-            at["begin"][c] += np.bincount(begin, weights=n, minlength=BEGINNINGS)
-            at["context"][c] += np.bincount(u, weights=n, minlength=WORDS)
-            at["follows"][c] += np.bincount(w, weights=n > 0, minlength=WORDS)
-            at["kinds"][c] += np.bincount(u, weights=np.minimum(n, DISCOUNT_PAIR), minlength=WORDS)
-        at["either"][0] += np.bincount(w, minlength=WORDS)
+            self.at["word"][c] += np.bincount(w, weights=n, minlength=WORDS)
+            self.at["begin"][c] += np.bincount(begin, weights=n, minlength=BEGINNINGS)
+            self.at["context"][c] += np.bincount(u, weights=n, minlength=WORDS)
+            self.at["follows"][c] += np.bincount(w, weights=n > 0, minlength=WORDS)
+            self.at["kinds"][c] += np.bincount(u, weights=np.minimum(n, DISCOUNT_PAIR), minlength=WORDS)
+        self.at["either"][0] += np.bincount(w, minlength=WORDS)
         order = np.lexsort((-key, o + t))[::-1]  # the best first
         key, o, t = key[order], o[order], t[order]
         place, first = np.unique(_place(key), return_index=True)
         key, o, t, n = key[first], o[first], t[first], (o + t)[first]
-        won = (n > best[place]) | (n == best[place]) & (key < key_at[place])
+        best = self.kept[:, place].sum(axis=0)
+        won = (n > best) | (n == best) & (key < self.key[place])
         place = place[won]
-        best[place], key_at[place], kept[0, place], kept[1, place] = n[won], key[won], o[won], t[won]
-    filled = [(i, np.flatnonzero(x.any(axis=0)), x) for i, x in enumerate(at.values())] + [(len(KINDS), np.flatnonzero(best >= 0), kept)]
-    for kind, places, x in filled:
-        for i in range(0, len(places), 50_000):
-            p = places[i : i + 50_000]
-            key = key_at[p] if kind == len(KINDS) else np.zeros(len(p), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int32)), pa.array(p.astype(np.int32)), pa.array(key), pa.array(x[0, p].astype(np.float64)), pa.array(x[1, p].astype(np.float64))], names=["kind", "place", "key", "o", "t"])
+        self.key[place], self.kept[0, place], self.kept[1, place] = key[won], o[won], t[won]
+
+
+def _rows(kind: int, places: np.ndarray, key: np.ndarray, x: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(places), 50_000):
+        p = places[i : i + 50_000]
+        n = [pa.array(y[p].astype(np.float64)) for y in (*x, *held)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int32)), pa.array(p.astype(np.int32)), pa.array(key[p]), *n], names=["kind", "place", "key", "o", "t", "ho", "ht"])
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition of distinct pairs as the filled places of fixed-size arrays: kind, place, key, ordinary, toxic, and what of both the held rows add.
+
+    The last two kinds hold the most frequent pair of each place, ties to the smaller key, of
+    all rows and without the held ones.
+    """
+    whole, less = _Tables(), _Tables()
+    for b in batches:
+        key, o, t, ho, ht = (np.asarray(b.column(i)) for i in range(5))
+        whole.add(key, o, t)
+        some = o + t > ho + ht
+        less.add(key[some], (o - ho)[some], (t - ht)[some])
+    none = np.zeros(PAIRS, np.int64)
+    for i, (k, x) in enumerate(whole.at.items()):
+        yield from _rows(i, np.flatnonzero(x.any(axis=0)), none, x, x - less.at[k])
+    for i, x in enumerate((whole, less)):
+        yield from _rows(len(KINDS) + i, np.flatnonzero(x.key >= 0), x.key, x.kept, np.broadcast_to(none, (2, PAIRS)))
+
+
+def _models(kind: np.ndarray, place: np.ndarray, keys: np.ndarray, n: list[np.ndarray]) -> Iterator[Model]:
+    """The model of all rows, and that without the held ones."""
+    for less in (False, True):
+        arrays = {}
+        for i, (name, size) in enumerate([*KINDS.items(), ("pair", PAIRS)]):
+            a = np.zeros((2, size), np.float32)
+            at = kind == (i + less if name == "pair" else i)
+            for c in (0, 1):
+                a[c, place[at]] = n[c][at] - n[c + 2][at] if less else n[c][at]
+            arrays[name] = a[0] if name == "either" else a
+        key = np.full(PAIRS, -1, np.int64)
+        key[place[at]] = keys[at]
+        yield Model(**arrays, key=key, weights=np.array([0.0, 0.0, 0.0, -30.0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_column: str = "doc_id", text: str = "text", label: str = "toxic", calibration_rows: int = CALIBRATION_ROWS, seed: int = 7) -> Model:
     """Fits the models on the rows of ``docs`` whose id has a label that ``train`` (over ``id``) admits.
 
-    Four fifths of those ids are counted, all of them; the logistic curve is fitted on at
-    most ``calibration_rows`` of the rest.  Without rows of both classes every score is the
-    share of label 1, or 0 without any label.
+    All of those rows are counted.  The logistic curve is fitted on at most
+    ``calibration_rows`` of a fifth of the ids, with evidence from counts that leave just
+    these out.  Without rows of both classes every score is the share of label 1, or 0
+    without any label.
     """
     prepare(docs.sparkSession)
     known = label_table(labels, label, train)
     part = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(5))
+    chosen = bounded_sample(known.where(part == 0), calibration_rows)
+    marked = known.join(chosen.select("id", F.lit(1).alias("held")), "id", "left").withColumn("held", F.coalesce("held", F.lit(0)))
     rows = docs.select(docs[id_column].alias("id"), text_of(docs, text).alias("text"))
-    counted = with_labels(rows, known.where(part != 0)).select("label", _tokens(F.col("text")).alias("h"))
-    pairs = counted.mapInArrow(_pairs, "place int, key long, o long, t long").repartition("place").groupBy("place", "key").agg(F.sum("o").alias("o"), F.sum("t").alias("t")).drop("place")
-    made = pairs.mapInArrow(_tables, "kind int, place int, key long, o double, t double")
-    # the pairs of one place are in one partition, so each place of the last kind has one row already
-    tables = made.groupBy("kind", "place").agg(F.max("key").alias("key"), F.sum("o").cast("float").alias("o"), F.sum("t").cast("float").alias("t"))
+    counted = with_labels(rows, marked).select("label", "held", _tokens(F.col("text")).alias("h"))
+    sums = [F.sum(c).alias(c) for c in ("o", "t", "ho", "ht")]
+    pairs = counted.mapInArrow(_pairs, "place int, key long, o long, t long, ho long, ht long").repartition("place").groupBy("place", "key").agg(*sums).drop("place")
+    made = pairs.mapInArrow(_tables, "kind int, place int, key long, o double, t double, ho double, ht double")
+    # the pairs of one place are in one partition, so each place of the last kinds has one row already
+    tables = made.groupBy("kind", "place").agg(F.max("key").alias("key"), *[F.sum(c).cast("float").alias(c) for c in ("o", "t", "ho", "ht")])
     got = tables.toArrow()
-    kind, place, keys, o, t = (got.column(i).to_numpy() for i in range(5))  # at most 5 * WORDS + BEGINNINGS + PAIRS rows
-    arrays = {}
-    for i, (name, size) in enumerate([*KINDS.items(), ("pair", PAIRS)]):
-        a = np.zeros((2, size), np.float32)
-        at = kind == i
-        a[0, place[at]], a[1, place[at]] = o[at], t[at]
-        arrays[name] = a[0] if name == "either" else a
-    key = np.full(PAIRS, -1, np.int64)
-    key[place[kind == len(KINDS)]] = keys[kind == len(KINDS)]
-    model = Model(**arrays, key=key, weights=np.array([0.0, 0.0, 0.0, -30.0]))
-    sample = rows.join(bounded_sample(known.where(part == 0), calibration_rows), "id").select("label", _tokens(F.col("text")).alias("h"))
-    got = evidence(sample, model).orderBy(F.xxhash64("label", "e0", "e1", "e2")).limit(calibration_rows).toArrow()
+    kind, place, keys, *n = (got.column(i).to_numpy() for i in range(7))  # at most 5 * WORDS + BEGINNINGS + 2 * PAIRS rows
+    model, less = _models(kind, place, keys, n)
+    got = kind = place = keys = n = None
+    sample = rows.join(chosen, "id").select("label", _tokens(F.col("text")).alias("h"))
+    got = evidence(sample, less).orderBy(F.xxhash64("label", "e0", "e1", "e2")).limit(calibration_rows).toArrow()
     y = got.column("label").to_numpy().astype(float)
     x = np.column_stack([got.column(f"e{i}").to_numpy() for i in range(3)])
-    if len(y) and 0 < y.sum() < len(y) and model.usable:
+    if len(y) and 0 < y.sum() < len(y) and less.usable:
         model.weights = logistic(x, y)
     elif len(y):
         share = np.clip(y.mean(), 1e-6, 1 - 1e-6)

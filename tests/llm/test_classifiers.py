@@ -119,3 +119,18 @@ def test_toxicity_is_the_difference_of_two_discounted_models(spark, corpus):
     # discounts and continuation counts decide the scores
     assert not np.allclose(replace(model, kinds=model.kinds / 2).ratios(key), model.ratios(key))
     assert not np.allclose(replace(model, follows=model.follows**2).ratios(key), model.ratios(key))
+
+
+def test_all_labelled_rows_are_counted(spark, corpus):
+    docs, labels = corpus
+    # without repeated ids, a pair that occurs in each text is counted once a labelled row
+    every = docs.withColumn("text", F.concat(F.col("text"), F.lit(" same pair")))
+    model = toxicity.fit(every, labels, F.lit(True))
+    n, toxic = labels.agg(F.count("*"), F.sum("toxic")).first()
+    h = spark.range(1).select(toxicity._tokens(F.lit("same pair"))).first()[0]
+    key = toxicity._keys(np.array(h), np.array([0, 2]))[1:]
+    at = toxicity._place(key)
+    assert model.key[at] == key and model.pair[:, at].ravel().tolist() == [n - toxic, toxic]
+    # rows held for calibration are bounded, and no others are left out of the evidence
+    few = toxicity.fit(every, labels, F.lit(True), calibration_rows=10)
+    assert np.array_equal(few.word, model.word) and not np.array_equal(few.weights, model.weights)
