@@ -103,23 +103,39 @@ def _best(ids: np.ndarray, vectors: np.ndarray, n: int, places: int):
     return run
 
 
+def _blocks(asked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The ids and vectors of (query_id, embedding), at most ``QUERY_ROWS`` at once, whole ids together."""
+    first = asked.limit(QUERY_ROWS + 1).toArrow()
+    if first.num_rows > QUERY_ROWS:
+        cuts = asked.groupBy("query_id").count().orderBy("query_id").toArrow()
+        ids, upto = cuts.column(0).to_numpy(), np.cumsum(cuts.column(1).to_numpy())
+        parts, i = [], 0
+        while i < len(ids):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + QUERY_ROWS, side="right")))
+            parts.append(asked.where(F.col("query_id").between(int(ids[i]), int(ids[j - 1]))))
+            i = j
+    else:
+        parts = [first]
+    for part in parts:
+        t = part if isinstance(part, pa.Table) else part.toArrow()
+        if t.num_rows:
+            yield t.column("query_id").to_numpy(), np.array(t.column("embedding").to_pylist(), dtype=np.float64)
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, n: int = 10, where: Column | None = None, exclude_self: bool = False, places: int = 6) -> DataFrame:
     """Top ``n`` by cosine of unit vectors: exact, filter first.
 
     A stated set of queries is compared with all rows in blocks: a matrix of queries goes to
     every task, each batch of rows is one matrix product and leaves its best ``n`` a query.
-    The query matrix is bounded: more than ``QUERY_ROWS`` queries are refused, to be batched.
+    The query matrix is bounded: queries are searched in blocks of at most ``QUERY_ROWS``, each
+    read to the driver by itself.
     """
     rows = vectors.where(where) if where is not None else vectors
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding").limit(QUERY_ROWS + 1).toArrow()
-    if asked.num_rows > QUERY_ROWS:
-        raise ValueError(f"more than {QUERY_ROWS} queries; search them in batches")
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
     schema = "query_id bigint, doc_id bigint, score double"
-    if not asked.num_rows:
-        found = rows.sparkSession.createDataFrame([], schema)
-    else:
-        matrix = np.array(asked.column("embedding").to_pylist(), dtype=np.float64)
-        found = rows.select("doc_id", "embedding").mapInArrow(_best(asked.column("query_id").to_numpy(), matrix, n, places), schema)
+    found = rows.sparkSession.createDataFrame([], schema)
+    for ids, matrix in _blocks(asked):
+        found = found.unionByName(rows.select("doc_id", "embedding").mapInArrow(_best(ids, matrix, n, places), schema))
     found = found.where("query_id <> doc_id") if exclude_self else found
     return ranked(found, n, F.desc("score"), F.col("doc_id"))
 

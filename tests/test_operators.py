@@ -46,6 +46,17 @@ def test_dense_filters_first(spark):
     assert retrieval.dense_topk(q.where("false"), rows, 1).count() == 0
 
 
+def test_dense_searches_many_queries_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(25)], "doc_id long, embedding array<double>")
+    q = rows.withColumnRenamed("doc_id", "query_id")
+    whole = sorted(map(tuple, retrieval.dense_topk(q, rows, 3, exclude_self=True).collect()))
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 4)
+    assert sorted(map(tuple, retrieval.dense_topk(q, rows, 3, exclude_self=True).collect())) == whole and len(whole) == 75
+    monkeypatch.undo()
+    many = spark.range(retrieval.QUERY_ROWS + 5).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    assert retrieval.dense_topk(many, rows, 1).count() == retrieval.QUERY_ROWS + 5
+
+
 def test_ranking_metrics(spark):
     lists = spark.createDataFrame([(1, 1, 1), (1, 2, 0), (1, 3, 1), (2, 1, 0), (2, 2, 0), (2, 3, 1)], "query_id long, rank long, relevant int")
     totals = spark.createDataFrame([(1, 2), (2, 1), (3, 0), (4, 5)], "query_id long, n_relevant long")
