@@ -34,6 +34,8 @@ from .labelled import bounded_sample, label_table, lists, logistic, mapped, with
 
 WORDS, PAIRS, BEGINNINGS, BEGINNING = 1 << 18, 1 << 20, 1 << 15, 4
 CALIBRATION_ROWS = 20_000
+#: Counts of the rows held for calibration lie above this bit of a long, so that both add up at once.
+HELD = 34
 PATTERN = r"[\p{L}\p{N}]+"
 WINDOW, PRIOR_WORDS = 64, 8.0
 #: Counts that an even split stands for, at a beginning; the discounts, of smaller counts all; the largest log-ratio of a token.
@@ -147,13 +149,13 @@ class Model:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counted (context, word) pairs of each batch: place, key, ordinary, toxic, and both of the rows held for calibration."""
+    """Counted (context, word) pairs of each batch: place, key, ordinary, toxic; from bit ``HELD`` on, those of the rows held for calibration."""
     for b in batches:
         _, doc, keys = _once(*lists(b.column(2)))
         key, at = np.unique(keys, return_inverse=True)
         kind = (b.column(0).to_numpy() + 2 * b.column(1).to_numpy())[doc]
         n = [np.bincount(at, weights=kind == k, minlength=len(key)).astype(np.int64) for k in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(_place(key).astype(np.int32)), *map(pa.array, (key, n[0] + n[2], n[1] + n[3], n[2], n[3]))], names=["place", "key", "o", "t", "ho", "ht"])
+        yield pa.RecordBatch.from_arrays([pa.array(_place(key).astype(np.int32)), *map(pa.array, (key, n[0] + n[2] + (n[2] << HELD), n[1] + n[3] + (n[3] << HELD)))], names=["place", "key", "o", "t"])
 
 
 KINDS = {"word": WORDS, "begin": BEGINNINGS, "follows": WORDS, "context": WORDS, "kinds": WORDS, "either": WORDS}
@@ -188,19 +190,20 @@ class _Tables:
 def _rows(kind: int, places: np.ndarray, key: np.ndarray, x: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(places), 50_000):
         p = places[i : i + 50_000]
-        n = [pa.array(y[p].astype(np.float64)) for y in (*x, *held)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int32)), pa.array(p.astype(np.int32)), pa.array(key[p]), *n], names=["kind", "place", "key", "o", "t", "ho", "ht"])
+        n = [pa.array(y[p].astype(np.int64) + (h[p].astype(np.int64) << HELD)) for y, h in zip(x, held, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int32)), pa.array(p.astype(np.int32)), pa.array(key[p]), *n], names=["kind", "place", "key", "o", "t"])
 
 
 def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of distinct pairs as the filled places of fixed-size arrays: kind, place, key, ordinary, toxic, and what of both the held rows add.
+    """A partition of distinct pairs as the filled places of fixed-size arrays: kind, place, key, ordinary, toxic, and packed with both what the held rows add.
 
     The last two kinds hold the most frequent pair of each place, ties to the smaller key, of
     all rows and without the held ones.
     """
     whole, less = _Tables(), _Tables()
     for b in batches:
-        key, o, t, ho, ht = (np.asarray(b.column(i)) for i in range(5))
+        key, both, t = (np.asarray(b.column(i)) for i in range(3))
+        o, t, ho, ht = both & ((1 << HELD) - 1), t & ((1 << HELD) - 1), both >> HELD, t >> HELD
         whole.add(key, o, t)
         some = o + t > ho + ht
         less.add(key[some], (o - ho)[some], (t - ht)[some])
@@ -241,13 +244,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_column: str = "doc
     marked = known.join(chosen.select("id", F.lit(1).alias("held")), "id", "left").withColumn("held", F.coalesce("held", F.lit(0)))
     rows = docs.select(docs[id_column].alias("id"), text_of(docs, text).alias("text"))
     counted = with_labels(rows, marked).select("label", "held", _tokens(F.col("text")).alias("h"))
-    sums = [F.sum(c).alias(c) for c in ("o", "t", "ho", "ht")]
-    pairs = counted.mapInArrow(_pairs, "place int, key long, o long, t long, ho long, ht long").repartition("place").groupBy("place", "key").agg(*sums).drop("place")
-    made = pairs.mapInArrow(_tables, "kind int, place int, key long, o double, t double, ho double, ht double")
+    sums = [F.sum(c).alias(c) for c in ("o", "t")]
+    pairs = counted.mapInArrow(_pairs, "place int, key long, o long, t long").repartition("place").groupBy("place", "key").agg(*sums).drop("place")
+    made = pairs.mapInArrow(_tables, "kind int, place int, key long, o long, t long")
     # the pairs of one place are in one partition, so each place of the last kinds has one row already
-    tables = made.groupBy("kind", "place").agg(F.max("key").alias("key"), *[F.sum(c).cast("float").alias(c) for c in ("o", "t", "ho", "ht")])
+    tables = made.groupBy("kind", "place").agg(F.max("key").alias("key"), *sums)
     got = tables.toArrow()
-    kind, place, keys, *n = (got.column(i).to_numpy() for i in range(7))  # at most 5 * WORDS + BEGINNINGS + 2 * PAIRS rows
+    kind, place, keys, *n = (got.column(i).to_numpy() for i in range(5))  # at most 5 * WORDS + BEGINNINGS + 2 * PAIRS rows
+    n = [x & ((1 << HELD) - 1) for x in n] + [x >> HELD for x in n]
     model, less = _models(kind, place, keys, n)
     got = kind = place = keys = n = None
     sample = rows.join(chosen, "id").select("label", _tokens(F.col("text")).alias("h"))
