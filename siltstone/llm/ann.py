@@ -1,16 +1,21 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 Trees are built on a bounded sample: each node splits its part of the sample at the median of
-its projection onto a random direction.  Their depth follows the number of indexed rows, up
-to ``DEPTH``.  Every row is then sent down every tree; a query is searched in
-all trees together through one priority queue of branches, ordered by how far the query lies
-on the wrong side of the splits, until the opened leaves hold enough rows.  The rows of those
-leaves are compared exactly, in double precision on the original vectors.
-
-Equal vectors are indexed once: no more than ``k + 1`` ids of one vector can be among the
-nearest ``k`` of a query, so only the smallest are carried, and the window that picks them
-drops the others before the shuffle.  Large leaves are cut into chunks; a leaf's queries go
-to each chunk.  The forest (its size bounded by the sample's) is what is broadcast.
+its projection onto the line between two centres, which start as random rows of the node and
+move a few times to the means of what lies nearer to them.  Every row is then sent down
+every tree; a query is searched in all trees together through one priority queue of branches,
+ordered by how far the query lies on the wrong side of the splits, until the opened leaves
+hold enough rows.  How many that is, as a share of the index, falls with its size (see
+``opened_share``).  The rows of those leaves are compared exactly, in double precision on the
+original vectors.
+
+Equal vectors are indexed once, with their smallest ``k + 1`` ids: no more of one vector can be
+among the nearest ``k`` of a query.  A leaf hands on the first ``k + 1`` vectors by distance
+and then by smallest id; what it leaves out comes after as many rows, so no tie is lost.
+
+Neighbouring leaves meet in one group, so that a query travels once a group and not once a
+leaf; a leaf with too many rows, or queries, is cut into chunks that all meet each other.  The forest
+(its size bounded by the sample's) is what is broadcast.
 """
 
 from __future__ import annotations
@@ -27,11 +32,19 @@ from pyspark.sql import functions as F
 from .common import cut, prepare
 from .labelled import lists
 
-SAMPLE_ROWS, TREES, DEPTH, LEAF_ROWS, CHUNK_ROWS = 32_768, 6, 6, 64, 16_384
-#: Directions tried at a split, and rows averaged at either end of one.
-TRIES, GROUP = 16, 4
-#: Rows in the leaves opened for a query, over all trees and with repeats, as a share of the index, and at least.
-OPEN_SHARE, OPEN_LEAST = 1.0, 2_000
+#: Rows of the sample, trees, rows of a leaf, least rows of the sample in a leaf.
+SAMPLE_ROWS, TREES, LEAF_ROWS, LEAF_SAMPLE = 32_768, 6, 32, 8
+#: Rows that a group of leaves, and queries that one group of queries, is meant to hold.
+GROUP_ROWS, GROUP_QUERIES = 4_096, 16_384
+#: Rows of a node that choose its direction, and times that its two centres move.
+NODE_ROWS, MOVES = 256, 4
+#: Of an index of ``OPEN_AT`` rows the opened leaves hold ``OPEN_SHARE``, over all trees and with repeats.
+OPEN_SHARE, OPEN_AT, OPEN_POWER = 0.9, 10_000, 0.2
+
+
+def opened_share(rows: int) -> float:
+    """The share of ``rows`` indexed rows that the leaves opened for a query hold."""
+    return OPEN_SHARE * (max(rows, 1) / OPEN_AT) ** -OPEN_POWER
 
 
 @dataclass
@@ -44,6 +57,21 @@ class Tree:
     weight: np.ndarray  # the share of the sample in each leaf
 
 
+def _direction(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The unit vector between two centres of some of ``rows``; any, where all are alike."""
+    x = rows if len(rows) <= NODE_ROWS else rows[rng.choice(len(rows), NODE_ROWS, replace=False)]
+    d = rng.normal(size=rows.shape[1])
+    if len(x) > 1:
+        a, b = x[rng.choice(len(x), 2, replace=False)]
+        for _ in range(MOVES):
+            nearer = x @ (a - b) > (a @ a - b @ b) / 2
+            if nearer.all() or not nearer.any():
+                break
+            a, b = x[nearer].mean(axis=0), x[~nearer].mean(axis=0)
+        d = a - b if np.linalg.norm(a - b) > 1e-12 * (1 + np.linalg.norm(a)) else d
+    return d / max(np.linalg.norm(d), 1e-300)
+
+
 def grow(sample: np.ndarray, depth: int, seed: int) -> Tree:
     rng = np.random.default_rng(seed)
     nodes = (1 << depth) - 1
@@ -51,17 +79,9 @@ def grow(sample: np.ndarray, depth: int, seed: int) -> Tree:
     parts: dict[int, np.ndarray] = {0: np.arange(len(sample))}
     for i in range(nodes):
         rows = parts.pop(i)
-        if len(rows) > 1:
-            # of some random directions between groups of the node's rows, the one that spreads them most
-            some = sample[rng.choice(rows, (2, TRIES, GROUP))].mean(axis=2)
-            d = some[0] - some[1] + 1e-9 * rng.normal(size=some[0].shape)
-            d /= np.linalg.norm(d, axis=1, keepdims=True)
-            d = d[np.argmax((sample[rows[:1000]] @ d.T).var(axis=0))]
-        else:
-            d = rng.normal(size=sample.shape[1])
-            d /= np.linalg.norm(d)
-        x = sample[rows] @ d
-        directions[i], cuts[i] = d, np.median(x) if len(x) else 0.0
+        directions[i] = _direction(sample[rows], rng)
+        x = sample[rows] @ directions[i]
+        cuts[i] = np.median(x) if len(x) else 0.0
         right = x > cuts[i]
         parts[2 * i + 1], parts[2 * i + 2] = rows[~right], rows[right]
     leaves = np.array([len(parts[nodes + k]) for k in range(nodes + 1)], dtype=float)
@@ -111,57 +131,111 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.astype(np.float64).reshape(len(off) - 1, -1) if len(off) > 1 else np.zeros((0, 0))
 
 
-def _spread(forest, query: bool, share: float):
-    """Rows (tree, leaf, v): of vectors the leaf in each tree, of queries all leaves opened."""
+def _batches(tree, group, leaf, cells, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows (tree, group, leaf, ...) in batches of bounded size; ``cells(at)`` gives the other columns."""
+    for i in range(0, len(tree), 10_000):
+        s = slice(i, i + 10_000)
+        yield pa.RecordBatch.from_arrays([pa.array(tree[s], pa.int32()), pa.array(group[s], pa.int32()), leaf[s], *cells(s)], names=names)
+
+
+def _members(forest, shift: int):
+    """Rows (tree, group, leaf, v, least, x): each vector's leaf in each tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, keep = _matrix(b.column(1)), b.column(0)
-            if query:
-                hits = [(i, *h) for i, v in enumerate(x) for h in search(forest.value, v, share)]
-                row, tree, leaf = np.array(hits, dtype=np.int64).reshape(-1, 3).T
-            else:
-                row, n = np.tile(np.arange(len(x)), len(forest.value)), len(x)
-                tree = np.repeat(np.arange(len(forest.value)), n)
-                leaf = np.concatenate([leaves_of(t, x) for t in forest.value])
-            for i in range(0, len(row), 20_000):
-                s = slice(i, i + 20_000)
-                at = pa.array(row[s])
-                yield pa.RecordBatch.from_arrays([pa.array(tree[s].astype(np.int32)), pa.array(leaf[s].astype(np.int32)), keep.take(at), b.column(1).take(at)], names=["tree", "leaf", "v", "x"])
+            x, trees = _matrix(b.column(2)), forest.value
+            if not len(x):
+                continue
+            row, tree = np.tile(np.arange(len(x)), len(trees)), np.repeat(np.arange(len(trees)), len(x))
+            leaf = np.concatenate([leaves_of(t, x) for t in trees])
+            yield from _batches(tree, leaf >> shift, pa.array(leaf, pa.int32()), lambda s, b=b, row=row: [c.take(pa.array(row[s])) for c in b.columns], ["tree", "group", "leaf", "v", "least", "x"])
 
     return run
 
 
-def _rank(k: int):
-    """The nearest ``k`` distinct vectors of each query of a chunk: query, vector, distance."""
+def _probes(forest, shift: int, share: float):
+    """Rows (tree, group, leaves, v, x): the leaves that a query opens, by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, tree, group, leaves = [], [], [], []
+            for i, x in enumerate(_matrix(b.column(1))):
+                opened: dict[tuple[int, int], list[int]] = {}
+                for t, leaf in search(forest.value, x, share):
+                    opened.setdefault((t, leaf >> shift), []).append(leaf)
+                for (t, g), some in opened.items():
+                    row.append(i), tree.append(t), group.append(g), leaves.append(some)
+            at = np.array(row, np.int64)
+            yield from _batches(tree, group, pa.array(leaves, pa.list_(pa.int32())), lambda s, b=b, at=at: [c.take(pa.array(at[s])) for c in b.columns], ["tree", "group", "leaves", "v", "x"])
+
+    return run
+
+
+def first_rows(q: np.ndarray, score: np.ndarray, least: np.ndarray, n: int) -> np.ndarray:
+    """Places of the first ``n`` rows of each ``q``, by score and then by ``least``."""
+    order = np.lexsort((least, score, q))
+    start = np.flatnonzero(np.concatenate([[True], q[order][1:] != q[order][:-1]])) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q))))
+    return order[place < n]
+
+
+def nearest(a: np.ndarray, b: np.ndarray, least: np.ndarray, n: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``n`` rows of ``b`` for each row of ``a``, by exact distance and then by ``least``: (row of a, row of b, distance).
+
+    Products of matrices find rows that may be among them, with a margin far above their
+    rounding; distances are then taken component by component.
+    """
+    out = []
+    own, other = (a**2).sum(axis=1), (b**2).sum(axis=1)
+    for i in range(0, len(a), block):
+        near = own[i : i + block, None] + other - 2 * a[i : i + block] @ b.T
+        if len(b) > n:
+            edge = np.partition(near, n - 1, axis=1)[:, n - 1]
+            q, v = np.nonzero(near <= (edge + 1e-10 * (own[i : i + block] + other.max()))[:, None])
+        else:
+            q, v = (x.ravel() for x in np.indices(near.shape))
+        exact = np.concatenate([np.sqrt(((b[v[j : j + 65_536]] - a[q[j : j + 65_536] + i]) ** 2).sum(axis=1)) for j in range(0, len(q), 65_536)] or [np.zeros(0)])
+        keep = first_rows(q, exact, least[v], n)
+        out.append((q[keep] + i, v[keep], exact[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+
+
+def _rank(n: int):
+    """The first ``n`` vectors of each query over the leaves of a group that it opens: q, v, least, score."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"q": [], "v": [], "score": []}
+        got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if left.num_rows and right.num_rows:
             a, b = (_matrix(t.column("x").combine_chunks()) for t in (left, right))
-            qs, vs = left.column("v").to_numpy(), right.column("v").to_numpy()
-            for i in range(0, len(a), 256):
-                near = np.sqrt(np.maximum((a[i : i + 256] ** 2).sum(1)[:, None] + (b**2).sum(1) - 2 * a[i : i + 256] @ b.T, 0))
-                some = min(len(vs), k + 4)
-                best = np.argpartition(near, some - 1, axis=1)[:, :some]
-                for j, cols in enumerate(best):
-                    # the candidates' distances again, component by component, so that they are exact
-                    exact = np.sqrt(((b[cols] - a[i + j]) ** 2).sum(axis=1))
-                    out["q"] += [qs[i + j]] * some
-                    out["v"] += vs[cols].tolist()
-                    out["score"] += exact.tolist()
-        return pa.table([pa.array(out["q"], pa.int64()), pa.array(out["v"], pa.int64()), pa.array(out["score"], pa.float64())], names=["q", "v", "score"])
+            leaf, least = right.column("leaf").to_numpy(), right.column("least").to_numpy()
+            opened, off = lists(left.column("leaves").combine_chunks())
+            asking = np.repeat(np.arange(len(a)), np.diff(off))
+            by_leaf, by_opened = np.argsort(leaf, kind="stable"), np.argsort(opened, kind="stable")
+            for one in np.unique(leaf):
+                mine = by_leaf[slice(*np.searchsorted(leaf, (one, one + 1), sorter=by_leaf))]
+                q = asking[by_opened[slice(*np.searchsorted(opened, (one, one + 1), sorter=by_opened))]]
+                i, j, score = nearest(a[q], b[mine], least[mine], n)
+                got.append((q[i], mine[j], score))
+        q, v, score = (np.concatenate(x) for x in zip(*got, strict=True))
+        if len(q):
+            keep = first_rows(q, score, least[v], n)
+            q, v, score = q[keep], v[keep], score[keep]
+            return pa.table([left.column("v").take(pa.array(q)), right.column("v").take(pa.array(v)), right.column("least").take(pa.array(v)), pa.array(score)], names=["q", "v", "least", "score"])
+        return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())], names=["q", "v", "least", "score"])
 
     return run
 
 
-def neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf_rows: int = LEAF_ROWS, depth: int = DEPTH, sample_rows: int = SAMPLE_ROWS, open_share: float = OPEN_SHARE, open_least: int = OPEN_LEAST, seed: int = 11) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_column: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, group_rows: int = GROUP_ROWS, group_queries: int = GROUP_QUERIES, open_share: float | None = None, seed: int = 11) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` nearest found of each query row.
 
     ``queries`` (a condition on ``vectors``) names the queries; candidates are all rows but
     those with the query's own id.  Score is the Euclidean distance of the original vectors; ties go to the
     smaller id.  Rows with a null id or an unusable vector (see ``usable``) take no part.  All
-    vectors must have one length.  Of repeated ids every row is a candidate.
+    vectors must have one length.  Of repeated ids every row is a candidate; a query id that
+    repeats with one vector asks once.  Other columns of ``vectors`` are ignored, whatever
+    their names.  No usable rows, or no queries, give no rows.  ``open_share`` replaces what
+    ``opened_share`` says.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -169,30 +243,33 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_column: str
     if kind not in ("array<float>", "array<double>"):
         raise ValueError(f"{vector} must be an array of floats or doubles")
     rows = vectors.where(F.col(id_column).isNotNull() & usable(F.col(vector))).select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("x"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    # adding zero makes -0.0 and 0.0 one vector
-    rows = rows.withColumn("x", F.transform("x", lambda v: v + F.lit(0).cast(kind[6:-1]))).withColumn("v", F.xxhash64("x"))
-    order = Window.partitionBy("v").orderBy("id")
-    few = rows.select("v", "x", "id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    unique = cut(few.groupBy("v").agg(F.first("x").alias("x"), F.sort_array(F.collect_list("id")).alias("ids")))
-    asking = cut(rows.where("asks").select("v", "id").distinct())
-    total = unique.count()
-    sample = unique.orderBy(F.xxhash64("v", F.lit(seed))).limit(sample_rows).select("x").toArrow()
+    # adding zero makes -0.0 and 0.0 one vector; the hash only spreads rows, the vector itself names them
+    rows = rows.withColumn("x", F.transform("x", lambda v: v + F.lit(0).cast(kind[6:-1]))).withColumn("h", F.xxhash64("x"))
+    order = Window.partitionBy("h", "x").orderBy("id")
+    few = rows.select("h", "x", "id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    unique = few.groupBy("h", "x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    unique = cut(unique.withColumn("v", F.monotonically_increasing_id()).withColumn("least", F.col("ids")[0]))
+    asking = cut(rows.where("asks").select("h", "x", "id").distinct().join(unique.select("h", "x", "v"), ["h", "x"]).select("v", "id"))
+    total, asked_rows = unique.count(), asking.select("v").distinct().count()
+    sample = unique.orderBy(F.xxhash64("h", F.lit(seed)), "x").limit(sample_rows).select("x").toArrow()
     points = _matrix(sample.column("x").combine_chunks()) if sample.num_rows else np.zeros((0, 1))
-    # a leaf keeps at least 4 rows of the sample, so that its place is more than chance
-    depth = max(0, min(depth, int(np.log2(max(total / leaf_rows, 1))), int(np.log2(max(len(points) / 4, 1)))))
+    depth = max(0, min(int(np.ceil(np.log2(max(total / leaf_rows, 1)))), int(np.log2(max(len(points) / LEAF_SAMPLE, 1)))))
     forest = spark.sparkContext.broadcast([grow(points, depth, seed + t) for t in range(trees)])
-    share = max(open_share, open_least / max(total, 1)) if total else 1.0
-    schema = f"tree int, leaf int, v long, x {kind}"
-    asked = asking.select("v").distinct().join(unique, "v").select("v", "x")
-    members = unique.select("v", "x").mapInArrow(_spread(forest, False, 0.0), schema)
-    probes = asked.mapInArrow(_spread(forest, True, share), schema)
-    # chunks: by the number of rows that a leaf may hold, from the sample's shares
-    chunks = max(1, int(np.ceil(max((t.weight.max() for t in forest.value), default=0) * total / CHUNK_ROWS)))
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("v"), F.lit(chunks)).cast("int"))
-    probes = probes.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    keys = ("tree", "leaf", "chunk")
-    near = probes.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(_rank(k + 1), "q long, v long, score double").distinct()
-    near = near.withColumn("n", F.dense_rank().over(Window.partitionBy("q").orderBy("score"))).where(F.col("n") <= k + 1).drop("n")
+    share = max(opened_share(total) if open_share is None else open_share, 4 * (k + 1) / max(total, 1))
+    # leaves of a group, and chunks of one: as many as the mean leaf needs, for leaves hold like shares of the sample
+    shift = max(0, min(depth, int(np.floor(np.log2(max(group_rows / max(total / 2**depth, 1), 1))))))
+    chunks = max(1, int(np.ceil(total / 2 ** (depth - shift) / group_rows / 2)))
+    askers = max(1, int(np.ceil(asked_rows * min(1.0, share * 2**shift) / group_queries)))
+    members = unique.select("v", "least", "x").mapInArrow(_members(forest, shift), f"tree int, group int, leaf int, v long, least long, x {kind}")
+    asked = asking.select("v").distinct().join(unique.select("v", "x"), "v").select("v", "x")
+    probes = asked.mapInArrow(_probes(forest, shift, share), f"tree int, group int, leaves array<int>, v long, x {kind}")
+    part = lambda n: F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    members = members.withColumn("chunk", part(chunks)).withColumn("asker", every(askers))
+    probes = probes.withColumn("chunk", every(chunks)).withColumn("asker", part(askers))
+    keys = ("tree", "group", "chunk", "asker")
+    near = probes.groupBy(*keys).cogroup(members.groupBy(*keys)).applyInArrow(_rank(k + 1), "q long, v long, least long, score double").distinct()
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "least", "v"))).where(F.col("n") <= k + 1).drop("n", "least")
     listed = near.join(unique.select("v", "ids"), "v").select("q", "score", F.explode("ids").alias("vec_id"))
     listed = listed.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("n") <= k + 1).drop("n")
     found = asking.select(F.col("v").alias("q"), F.col("id").alias("query_id")).join(listed, "q").where("vec_id <> query_id")
