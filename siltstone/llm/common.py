@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -26,10 +27,13 @@ def prepare(spark: SparkSession, records: int = 2000, size: str = "8m") -> None:
     """Sets a session up for Python workers.
 
     Arrow batches are bounded by bytes, since texts may be very long, and workers started
-    from here on find this package where the driver found it.
+    from here on find this package where the driver found it.  Results do not depend on the
+    size of batches; sizes that the session was started with stay.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    given = spark.sparkContext.getConf()
+    for key, value in (("maxRecordsPerBatch", str(records)), ("maxBytesPerBatch", size)):
+        if not given.contains(f"spark.sql.execution.arrow.{key}"):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", value)
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
@@ -38,12 +42,15 @@ def prepare(spark: SparkSession, records: int = 2000, size: str = "8m") -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which all executors see.
 
-    It is the session's ``spark.checkpoint.dir``; a temporary one is set only where that is
-    unset, as in local tests.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset, a temporary folder
+    serves a local session, as in tests; on a cluster it is an error.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        place = sc.getConf().get("spark.checkpoint.dir")
+        if not place and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -69,6 +76,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns of these names, in any spelling."""
+    gone = {n.lower() for n in names}
+    return df.select(*[df[quoted(c)] for c in df.columns if c.lower() not in gone])
+
+
+def aliased(df: DataFrame, *names: str) -> tuple[list[Column], list[Column]]:
+    """The columns of ``df`` but those of these names (in any spelling) as ``c0``, ``c1`` and so on, and the way back.
+
+    So no column of a user's meets an operator's own, and Python sees plain names.
+    """
+    gone = {n.lower() for n in names}
+    own = [c for c in df.columns if c.lower() not in gone]
+    return [df[quoted(c)].alias(f"c{i}") for i, c in enumerate(own)], [F.col(f"c{i}").alias(c) for i, c in enumerate(own)]
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast only if its counted rows are within ``limit``.
 
@@ -80,7 +107,7 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def row_hash(df: DataFrame) -> Column:
     """A 64-bit hash of all columns of a row; equal rows have equal hashes."""
-    return F.xxhash64(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns])
+    return F.xxhash64(*[F.col(quoted(c)) for c in df.columns])
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side
+from .common import quoted, small_side, without
 
 
 def hashed(text: Column, pattern: str) -> Column:
@@ -24,13 +24,13 @@ def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, (off - off[0]).astype(np.int64)
 
 
-def label_table(labels: DataFrame, label: str, train: Column) -> DataFrame:
+def label_table(labels: DataFrame, label: str, train: Column, id_column: str = "doc_id") -> DataFrame:
     """``id``, ``label`` (0 or 1) of the rows that ``train`` (on column ``id``) admits.
 
     Null ids and labels are left out; of contradictory labels of one id the mean decides,
     a half counting as 1.
     """
-    rows = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("y")).where("id is not null and y is not null")
+    rows = labels.select(F.col(id_column).alias("id"), F.col(label).cast("double").alias("y")).where("id is not null and y is not null")
     return rows.groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("label")).where(train)
 
 
@@ -66,16 +66,22 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.01, steps: int = 50)
     return np.append(w[:-1] / scale, w[-1])
 
 
-def mapped(df: DataFrame, tokens: str, function, fields: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
-    """``df`` without ``tokens``, with columns that ``function(values, offsets)`` makes, one value a row."""
-    keep = [c for c in df.columns if c != tokens]
-    df = df.select(*[df[f"`{c}`"] for c in keep], df[tokens])
-    schema = df.drop(tokens).withColumns({k: F.lit(None).cast(t) for k, (t, _) in fields.items()}).schema
+def mapped(df: DataFrame, tokens: str, function, fields: dict[str, tuple[str, pa.DataType]], also: str | None = None) -> DataFrame:
+    """``df`` without ``tokens``, with columns that ``function(values, offsets)`` makes, one value a row.
+
+    An own column of a made one's name is replaced.  With ``also``, the values of that column
+    are a third argument.
+    """
+    df = without(df.select(*[c for c in map(quoted, df.columns) if c != quoted(tokens)], df[tokens].alias("0tokens")), *fields)
+    keep = df.columns[:-1]
+    at = keep.index(also) if also else None
+    schema = without(df, "0tokens").withColumns({k: F.lit(None).cast(t) for k, (t, _) in fields.items()}).schema
     kinds = [t for _, t in fields.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = function(*lists(b.column(b.num_columns - 1)))
+            more = () if at is None else (b.column(at).to_numpy(),)
+            made = function(*lists(b.column(b.num_columns - 1)), *more)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(m, t) for m, t in zip(made, kinds, strict=True)]], names=[*keep, *fields])
 
     return df.mapInArrow(run, schema)

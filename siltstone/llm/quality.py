@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, prepare, text_of
+from .common import aliased, prepare, text_of
 from .labelled import bounded_sample, hashed, label_table, lists, mapped
 
 BUCKETS, DIMS, FILLED, BLOCK = 1 << 14, 48, 4, 256
@@ -187,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, id_column: str = "
     """
     prepare(docs.sparkSession)
     vectors = word_vectors(docs, text)
-    known = label_table(labels, label, train_on)
+    known = label_table(labels, label, train_on, id_column)
     rows = docs.select(docs[id_column].alias("id"), text_of(docs, text).alias("text"))
     sample = rows.join(bounded_sample(known, training_rows), "id").select(F.xxhash64("id", "text").alias("o"), "label", hashed(F.col("text"), PATTERN).alias("h"))
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -200,11 +200,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, id_column: str = "
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:
     """``docs`` with the probability ``out`` (double, 0 to 1) that a text is good.
 
-    The text column goes unless ``keep_text``.  Null and empty texts get the score of a zero
-    vector.  Texts are scored whole; rows stay one to one.  ``out`` must be a new name.
+    The text column goes unless ``keep_text``; an own column called ``out`` is replaced.  Null
+    and empty texts get the score of a zero vector.  Texts are scored whole; rows stay one to one.
     """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    h = fresh(docs, "h")
-    df = docs.withColumn(h, hashed(text_of(docs, text), PATTERN))
-    return mapped(df if keep_text else df.drop(text), h, lambda v, o: (sent.value.score(v, o),), {out: ("double", pa.float64())})
+    given, back = aliased(docs, out, *([] if keep_text else [text]))
+    df = docs.select(*given, hashed(text_of(docs, text), PATTERN).alias("h"))
+    made = mapped(df, "h", lambda v, o: (sent.value.score(v, o),), {"p": ("double", pa.float64())})
+    return made.select(*back, F.col("p").alias(out))

@@ -2,19 +2,20 @@
 
 Two bigram models, one of toxic and one of ordinary labelled documents, score every text;
 the difference of their log-likelihoods, divided by the length, is the evidence.  Each class
-discounts its own pairs by a constant and gives the mass so freed, its number of distinct words
-after the context, to its word level: the number of distinct contexts that a word follows in the
-class, discounted in turn.  What that frees goes to the *shared* continuation counts of all
-labelled documents, weighed by how likely the class makes the word's beginning.
-
-A pair counts once a document.  All labelled rows are counted, by one distributed aggregate
-over (context, word) pairs.  Words
-are hashed to buckets, and each of ``PAIRS`` places holds the most frequent of the pairs that
-hash to it; the others are left to the word level.  So the finished model is a few arrays of
-fixed size (about 30 MB) whatever the corpus; only those are broadcast.  A logistic curve turns
-evidence into a probability; it is fitted on at most ``CALIBRATION_ROWS`` labelled rows, with
-evidence from a second set of tables that leaves just these rows out.
-
+discounts its own pairs by a constant and gives the mass so freed after a context to its word
+level: the number of distinct contexts that a word follows in the class, discounted in turn.
+What that frees goes to the *shared* continuation counts of all labelled documents, weighed by
+how likely the class makes the word's beginning.
+
+A pair counts once a document, and all labelled rows count.  Pairs are counted by one
+distributed aggregate; a second one sums them up by word, context and beginning.  Counts up to the
+discount are freed whole, so what has no larger count takes no part in the *difference* of
+two models.  Just those rows go; the rest, named by 64-bit hashes, are the model.  It grows with the
+corpus.  Up to ``MODEL_ROWS`` rows it is broadcast; beyond that it stays a table, to which the
+pairs of the texts are joined, with equal results.
+
+A logistic curve turns evidence into a probability.  It is fitted on at most
+``CALIBRATION_ROWS`` labelled rows, each scored without its own counts.
 Evidence is the mean over the text's distinct pairs, the highest mean over a window, so that a
 short outburst in a long text is not diluted, and the mean of the decisive part.
 """
@@ -22,243 +23,392 @@ short outburst in a long text is not diluted, and the mean of the decisive part.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, prepare, text_of
+from .common import aliased, fresh, handed_over, prepare, text_of, without
 from .labelled import bounded_sample, label_table, lists, logistic, mapped, with_labels
 
-WORDS, PAIRS, BEGINNINGS, BEGINNING = 1 << 18, 1 << 20, 1 << 15, 4
+BEGINNING = 4
 CALIBRATION_ROWS = 20_000
-#: Counts of the rows held for calibration lie above this bit of a long, so that both add up at once.
-HELD = 34
+#: Rows of a model that may be broadcast, about 100 MB.
+MODEL_ROWS = 4_000_000
 PATTERN = r"[\p{L}\p{N}]+"
 WINDOW, PRIOR_WORDS = 64, 8.0
 #: Counts that an even split stands for, at a beginning; the discounts, of smaller counts all; the largest log-ratio of a token.
 BACKOFF_BEGINNING = 30.0
-DISCOUNT_PAIR, DISCOUNT_WORD, CLIP = np.float32(2), np.float32(3), 6.0
+DISCOUNT_PAIR, DISCOUNT_WORD, DISCOUNT_BEGINNING, CLIP = 2, 3, 1, 6.0
 #: Evidence beyond which a token's log-ratio counts as decisive.
 DECISIVE = 1.5
 
-
-def _place(key: np.ndarray) -> np.ndarray:
-    """Where in the pair table a pair's key belongs."""
-    x = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64) % PAIRS
+#: Kinds of rows: pairs, words, contexts, beginnings, and two of sums over all words.
+PAIR, WORD, CONTEXT, BEGIN, SUMS, MORE = range(6)
+#: The context of a text's first word, and what marks a count of a beginning among counts of pairs.
+START, MARK = 0, -(1 << 63)
+#: Rows that a task adds up before it hands them on.
+BUFFER = 1 << 20
+#: Tokens whose probabilities are computed at once.
+STEP = 1 << 17
 
 
 def _tokens(text: Column) -> Column:
-    """Lower-cased words as longs: 15 bits of the beginning's hash, 48 of the word's."""
-    beginning = lambda w: F.shiftleft(F.xxhash64(F.substring(w, 1, BEGINNING)), 48)
+    """Hashes of the lower-cased words, each followed by that of its beginning."""
     words = F.regexp_extract_all(F.lower(text), F.lit(PATTERN), F.lit(0))
-    return F.transform(words, lambda w: beginning(w).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 48) - 1))))
+    return F.flatten(F.transform(words, lambda w: F.array(F.xxhash64(w), F.xxhash64(F.substring(w, 1, BEGINNING)))))
+
+
+def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two columns of longs."""
+    h = (x.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (y.view(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+@dataclass
+class Pairs:
+    """The distinct (context, word) pairs of each text, where they first occur."""
+
+    context: np.ndarray
+    word: np.ndarray
+    begin: np.ndarray
+    text: np.ndarray
+    at: np.ndarray  # the place among all tokens
+    offsets: np.ndarray  # of the texts' tokens
+
+    @classmethod
+    def of(cls, values: np.ndarray, offsets: np.ndarray) -> Pairs:
+        word, begin, offsets = np.ascontiguousarray(values[0::2]), values[1::2], offsets // 2
+        context = np.empty_like(word)
+        context[1:] = word[:-1]
+        context[offsets[:-1][offsets[:-1] < len(word)]] = START
+        text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        first = np.sort(np.unique(_mix(_mix(context, word).view(np.int64), text), return_index=True)[1])
+        return cls(context[first], word[first], begin[first], text[first], first, offsets)
+
+
+def add_up(x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of (columns, rows) ``counts`` by (x, y)."""
+    key = _mix(x, y)
+    order = np.argsort(key, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]])) if len(key) else order
+    return x[order[start]], y[order[start]], np.add.reduceat(counts[:, order], start, axis=1) if len(start) else counts
+
+
+class _Buffer:
+    """Adds rows up until there are ``BUFFER`` of them."""
+
+    def __init__(self, columns: int):
+        self.columns, self.parts, self.rows = columns, [], 0
+
+    def add(self, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+        self.parts.append(add_up(x, y, counts))
+        self.rows += len(self.parts[-1][0])
+        if self.rows >= BUFFER:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple]:
+        if self.parts:
+            x, y = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+            counts = np.concatenate([p[2] for p in self.parts], axis=1)
+            self.parts, self.rows = [], 0
+            x, y, counts = add_up(x, y, counts)
+            for i in range(0, len(x), 50_000):
+                yield x[i : i + 50_000], y[i : i + 50_000], counts[:, i : i + 50_000]
+
+
+def _batch(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents by class (0 ordinary, 1 toxic) that hold each pair; under ``MARK``, pairs by beginning."""
+    held = _Buffer(2)
+    batch = lambda r: _batch("u w o t", r[0], r[1], *r[2])
+    for b in batches:
+        p = Pairs.of(*lists(b.column(1)))
+        toxic = b.column(0).to_numpy()[p.text].astype(np.int64)
+        counts = np.stack([1 - toxic, toxic])
+        mark = np.full(len(toxic), MARK)
+        yield from map(batch, held.add(np.concatenate([p.context, p.begin]), np.concatenate([p.word, mark]), np.concatenate([counts, counts], axis=1)))
+    yield from map(batch, held.flush())
+
+
+LEVELS = "kind int, x long, y long, a long, b long, c long, d long"
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From counted pairs: those above the discount, and sums by word (contexts by class, both, and those of kept pairs), context (pairs, and what exceeds the discount) and beginning."""
+    words, contexts = _Buffer(4), _Buffer(4)
+
+    def out(kind: int, rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+        for x, y, counts in rows:
+            yield _batch("kind x y a b c d", np.full(len(x), kind, np.int32), x, y, *counts)
+
+    for b in batches:
+        u, w, *n = (b.column(i).to_numpy() for i in range(4))
+        n, begins = np.stack(n), w == MARK
+        more = np.maximum(n - DISCOUNT_PAIR, 0)
+        zero = np.zeros_like(n)
+        yield from out(BEGIN, [(u[begins], zero[0][begins], np.concatenate([n, zero])[:, begins])])
+        kept = ~begins & (more > 0).any(axis=0)
+        yield from out(PAIR, [(u[kept], w[kept], np.concatenate([n, zero])[:, kept])])
+        u, w, n, more, kept = u[~begins], w[~begins], n[:, ~begins], more[:, ~begins], kept[~begins]
+        none = np.zeros(len(u), np.int64)
+        yield from out(WORD, words.add(w, none, np.stack([n[0] > 0, n[1] > 0, none == 0, kept]).astype(np.int64)))
+        yield from out(CONTEXT, contexts.add(u, none, np.concatenate([n, more])))
+    yield from out(WORD, words.flush())
+    yield from out(CONTEXT, contexts.flush())
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that a difference of models depends on, and sums over all words and beginnings."""
+    sums, more = np.zeros(4, np.int64), np.zeros(4, np.int64)
+    for b in batches:
+        kind, a = b.column(0).to_numpy(), np.stack([b.column(i).to_numpy() for i in range(3, 7)])
+        word, begin = kind == WORD, kind == BEGIN
+        sums += np.concatenate([a[:2, word].sum(axis=1), np.minimum(a[:2, word], DISCOUNT_WORD).sum(axis=1)])
+        more += np.concatenate([[word.sum(), a[2, word].sum()], a[:2, begin].sum(axis=1)])
+        least = np.select([word, begin], [DISCOUNT_WORD, DISCOUNT_BEGINNING], 0)
+        over = np.where(kind == CONTEXT, a[2:].max(axis=0, initial=0), a[:2].max(axis=0, initial=0)) > least
+        over |= word & (a[3] > 0)  # a kept pair needs its word's shared count
+        yield b.filter(pa.array(over))
+    for kind, x in ((SUMS, sums), (MORE, more)):
+        yield _batch("kind x y a b c d", np.array([kind], np.int32), *np.zeros((2, 1), np.int64), *x[:, None])
+
 
+@dataclass
+class Sums:
+    """Over all words: distinct pairs of each class, what discounts free of them, words, distinct pairs of both, and pairs of texts."""
+
+    pairs: np.ndarray
+    freed: np.ndarray
+    words: float
+    either: float
+    texts: np.ndarray
+
+    @property
+    def usable(self) -> bool:
+        return bool((self.pairs > 0).all())
+
+    def word_level(self, follows: np.ndarray, either: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """(2, n): each class's discounted continuation counts, and the shared ones weighed by beginnings."""
+        shared = (either + 0.5) / (self.either + 0.5 * self.words)
+        share = (self.texts / self.texts.sum())[:, None]
+        b = np.maximum(begin - DISCOUNT_BEGINNING, 0)
+        weight = (b + share * BACKOFF_BEGINNING) / (share * (b.sum(axis=0) + BACKOFF_BEGINNING))
+        return (np.maximum(follows - DISCOUNT_WORD, 0) + self.freed[:, None] * shared * weight) / self.pairs[:, None]
+
+    def pair_level(self, pair: np.ndarray, total: np.ndarray, over: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """(2, n): discounted pairs after a context, and the word level for the rest; that alone where nothing follows the context."""
+        known = (np.maximum(pair - DISCOUNT_PAIR, 0) + (total - over) * word) / np.maximum(total, 1)
+        return np.where(total > 0, known, word)
 
-def _keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Each token's context bucket (0 at a text's start), word bucket and beginning's bucket, in one long."""
-    word = (values & ((1 << 48) - 1)) % (WORDS - 1) + 1
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    context[offsets[:-1][offsets[:-1] < len(word)]] = 0
-    return (context * WORDS + word) << 15 | (values >> 48 & (BEGINNINGS - 1))
 
+def log_ratio(p: np.ndarray) -> np.ndarray:
+    """Of toxic over ordinary probabilities."""
+    return np.clip(np.log(np.maximum(p[1], 1e-300)) - np.log(np.maximum(p[0], 1e-300)), -CLIP, CLIP)
 
-def _once(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where a key first occurs in each text: its place, text and key."""
-    key, doc = _keys(values, offsets), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    if len(offsets) > 4096:
-        raise ValueError("at most 4095 texts a batch")
-    first = np.unique(doc << 51 | key, return_index=True)[1]
-    return first, doc[first], key[first]
 
+#: Columns of the rows of each kind: by class, and over both.
+WIDTH = {PAIR: 2, WORD: 3, CONTEXT: 4, BEGIN: 2}
 
-def _parts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return key >> 33, key >> 15 & (WORDS - 1), key & (BEGINNINGS - 1)
+
+class Tables:
+    """A model's rows as sorted keys and columns, with a row of zeros for what is not there."""
+
+    def __init__(self, got: pa.Table):
+        kind, x, y = (got.column(i).to_numpy() for i in range(3))
+        self.keys, self.columns = {}, {}
+        for k, width in WIDTH.items():
+            at = np.flatnonzero(kind == k)
+            key = _mix(x[at], y[at]) if k == PAIR else x[at].view(np.uint64)
+            order = np.argsort(key)
+            self.keys[k] = np.append(key[order], np.uint64(0xFFFFFFFFFFFFFFFF))
+            counts = np.stack([got.column(3 + i).to_numpy()[at[order]] for i in range(width)])
+            counts = np.concatenate([counts, np.zeros((width, 1), np.int64)], axis=1)
+            self.columns[k] = counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts
+
+    def find(self, kind: int, key: np.ndarray) -> np.ndarray:
+        """(columns, n) counts of each key."""
+        at = np.searchsorted(self.keys[kind], key)
+        at[self.keys[kind][at] != key] = len(self.keys[kind]) - 1
+        return self.columns[kind][:, at]
 
 
 @dataclass
 class Model:
-    """Count arrays by class (row 0 ordinary, row 1 toxic), and the logistic weights."""
-
-    word: np.ndarray  # (2, WORDS) pairs that end in the word
-    begin: np.ndarray  # (2, BEGINNINGS) pairs whose word has the beginning
-    follows: np.ndarray  # (2, WORDS) distinct contexts in the class
-    context: np.ndarray  # (2, WORDS) pairs that start with the word
-    kinds: np.ndarray  # (2, WORDS) what discounts free after a context
-    either: np.ndarray  # (WORDS,) distinct contexts, both classes together
-    key: np.ndarray  # (PAIRS,) context, word and beginning, or -1
-    pair: np.ndarray  # (2, PAIRS) its count
-    weights: np.ndarray
-
-    def __post_init__(self):
-        total = self.word.sum(axis=1, dtype=np.float64)
-        self.usable = bool((total > 0).all())
-        self.share = (total / max(total.sum(), 1)).astype(np.float32)
-        # the shared word level, and how much more or less likely each class makes a beginning
-        shared = (self.either + 0.5) / (self.either.sum(dtype=np.float64) + 0.5 * WORDS)
-        self.shared = shared.astype(np.float32)
-        self.more = [self._weight(c, self.begin, BACKOFF_BEGINNING) for c in (0, 1)]
-        self.pairs = self.follows.sum(axis=1, dtype=np.float64)  # distinct pairs of each class
-        self.freed = np.minimum(self.follows, DISCOUNT_WORD).sum(axis=1, dtype=np.float64)
-
-    def _weight(self, c: int, counts: np.ndarray, strength: float) -> np.ndarray:
-        """How much more likely class ``c`` makes events than both do, given a prior worth ``strength`` counts."""
-        share = np.float32(self.share[c])
-        return ((counts[c] + share * strength) / (share * (counts.sum(axis=0) + strength) + np.float32(1e-9))).astype(np.float32)
-
-    def log_probability(self, c: int, u: np.ndarray, w: np.ndarray, begin: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Kneser-Ney of class ``c``: discounted pairs, the class's continuation counts, the shared ones."""
-        word = (np.maximum(self.follows[c, w] - DISCOUNT_WORD, 0) + self.freed[c] * self.shared[w] * self.more[c][begin]) / max(self.pairs[c], 1)
-        n = self.context[c, u]
-        return np.log(np.where(n > 0, (np.maximum(pair[c] - DISCOUNT_PAIR, 0) + self.kinds[c, u] * word) / np.maximum(n, 1), word))
-
-    def ratios(self, key: np.ndarray) -> np.ndarray:
-        """The log of toxic over ordinary probability of each key's word after its context."""
-        u, w, begin = _parts(key)
-        b = _place(key)
-        pair = np.where(self.key[b] == key, self.pair[:, b], 0).astype(np.float32)
-        ordinary, toxic = (self.log_probability(c, u, w, begin, pair) for c in (0, 1))
-        return np.clip(toxic - ordinary, -CLIP, CLIP)
-
-    def evidence(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """(texts, 3): the mean log-ratio, the highest mean over a window, and the mean of what exceeds ``DECISIVE``.
-
-        A pair counts where it first occurs in a text; means are shrunk towards 0.
-        """
-        if not self.usable or not len(values):
-            return np.zeros((len(offsets) - 1, 3))
-        first, _, key = _once(values, offsets)
-        ratio, one = np.zeros(len(values)), np.zeros(len(values))
-        ratio[first], one[first] = self.ratios(key), 1
-        total, strong, count = (np.concatenate([[0.0], np.cumsum(x)]) for x in (ratio, np.maximum(ratio - DECISIVE, 0), one))
-        n = count[offsets[1:]] - count[offsets[:-1]] + PRIOR_WORDS
-        mean, decided = ((t[offsets[1:]] - t[offsets[:-1]]) / n for t in (total, strong))
-        best = mean.copy()
-        for i in np.flatnonzero(np.diff(offsets) > WINDOW):
-            t = total[offsets[i] : offsets[i + 1] + 1]
-            best[i] = max(best[i], (t[WINDOW:] - t[:-WINDOW]).max() / (WINDOW + PRIOR_WORDS))
-        return np.column_stack([mean, best, decided])
-
-    def score(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        z = self.evidence(values, offsets) @ self.weights[:3] + self.weights[3]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counted (context, word) pairs of each batch: place, key, ordinary, toxic; from bit ``HELD`` on, those of the rows held for calibration."""
-    for b in batches:
-        _, doc, keys = _once(*lists(b.column(2)))
-        key, at = np.unique(keys, return_inverse=True)
-        kind = (b.column(0).to_numpy() + 2 * b.column(1).to_numpy())[doc]
-        n = [np.bincount(at, weights=kind == k, minlength=len(key)).astype(np.int64) for k in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(_place(key).astype(np.int32)), *map(pa.array, (key, n[0] + n[2] + (n[2] << HELD), n[1] + n[3] + (n[3] << HELD)))], names=["place", "key", "o", "t"])
-
-
-KINDS = {"word": WORDS, "begin": BEGINNINGS, "follows": WORDS, "context": WORDS, "kinds": WORDS, "either": WORDS}
-
-
-class _Tables:
-    """The fixed-size arrays of distinct pairs."""
-
-    def __init__(self):
-        self.at = {k: np.zeros((2, n), np.float32) for k, n in KINDS.items()}
-        self.key, self.kept = np.full(PAIRS, -1, np.int64), np.zeros((2, PAIRS), np.float32)
-
-    def add(self, key: np.ndarray, o: np.ndarray, t: np.ndarray) -> None:
-        u, w, begin = _parts(key)
-        for c, n in ((0, o), (1, t)):
-            self.at["word"][c] += np.bincount(w, weights=n, minlength=WORDS)
-            self.at["begin"][c] += np.bincount(begin, weights=n, minlength=BEGINNINGS)
-            self.at["context"][c] += np.bincount(u, weights=n, minlength=WORDS)
-            self.at["follows"][c] += np.bincount(w, weights=n > 0, minlength=WORDS)
-            self.at["kinds"][c] += np.bincount(u, weights=np.minimum(n, DISCOUNT_PAIR), minlength=WORDS)
-        self.at["either"][0] += np.bincount(w, minlength=WORDS)
-        order = np.lexsort((-key, o + t))[::-1]  # the best first
-        key, o, t = key[order], o[order], t[order]
-        place, first = np.unique(_place(key), return_index=True)
-        key, o, t, n = key[first], o[first], t[first], (o + t)[first]
-        best = self.kept[:, place].sum(axis=0)
-        won = (n > best) | (n == best) & (key < self.key[place])
-        place = place[won]
-        self.key[place], self.kept[0, place], self.kept[1, place] = key[won], o[won], t[won]
-
-
-def _rows(kind: int, places: np.ndarray, key: np.ndarray, x: np.ndarray, held: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(places), 50_000):
-        p = places[i : i + 50_000]
-        n = [pa.array(y[p].astype(np.int64) + (h[p].astype(np.int64) << HELD)) for y, h in zip(x, held, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), kind, np.int32)), pa.array(p.astype(np.int32)), pa.array(key[p]), *n], names=["kind", "place", "key", "o", "t"])
-
-
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition of distinct pairs as the filled places of fixed-size arrays: kind, place, key, ordinary, toxic, and packed with both what the held rows add.
-
-    The last two kinds hold the most frequent pair of each place, ties to the smaller key, of
-    all rows and without the held ones.
+    """Sums over all words, the rows as arrays (or, where too many, as a table), and the logistic weights."""
+
+    sums: Sums
+    tables: Tables | None
+    frame: DataFrame | None = None
+    weights: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, 0.0, -30.0]))
+
+
+def ratios(sums: Sums, tables: Tables, p: Pairs) -> np.ndarray:
+    """The log-ratio of each pair."""
+    word, first, at = np.unique(p.word, return_index=True, return_inverse=True)
+    counts, begins = tables.find(WORD, word.view(np.uint64)), tables.find(BEGIN, p.begin[first].view(np.uint64))
+    level = sums.word_level(counts[:2].astype(float), counts[2].astype(float), begins.astype(float))
+    context, to = np.unique(p.context, return_inverse=True)
+    after = tables.find(CONTEXT, context.view(np.uint64))
+    known = (after[2:] > 0).any(axis=0)  # contexts with a pair above the discount; after others the word level decides
+    out = np.empty(len(at))
+    for i in range(0, len(at), STEP):
+        s = slice(i, i + STEP)
+        r = log_ratio(level[:, at[s]])
+        some = np.flatnonzero(known[to[s]])
+        total = after[:, to[s][some]].astype(float)
+        pair = tables.find(PAIR, _mix(p.context[s][some], p.word[s][some])).astype(float)
+        r[some] = log_ratio(sums.pair_level(pair, total[:2], total[2:], level[:, at[s][some]]))
+        out[s] = r
+    return out
+
+
+def own_ratios(sums: Sums, c: int, ids: dict[str, np.ndarray], n: dict[str, np.ndarray]) -> np.ndarray:
+    """The log-ratios of the distinct pairs of one text of class ``c``, without what that text itself adds to the counts.
+
+    ``ids`` name each pair's context, word and beginning; ``n`` has its counts.  Of a pair that
+    is in no table it is not known whether others have it too; it is taken for the text's alone.
     """
-    whole, less = _Tables(), _Tables()
-    for b in batches:
-        key, both, t = (np.asarray(b.column(i)) for i in range(3))
-        o, t, ho, ht = both & ((1 << HELD) - 1), t & ((1 << HELD) - 1), both >> HELD, t >> HELD
-        whole.add(key, o, t)
-        some = o + t > ho + ht
-        less.add(key[some], (o - ho)[some], (t - ht)[some])
-    none = np.zeros(PAIRS, np.int64)
-    for i, (k, x) in enumerate(whole.at.items()):
-        yield from _rows(i, np.flatnonzero(x.any(axis=0)), none, x, x - less.at[k])
-    for i, x in enumerate((whole, less)):
-        yield from _rows(len(KINDS) + i, np.flatnonzero(x.key >= 0), x.key, x.kept, np.broadcast_to(none, (2, PAIRS)))
-
-
-def _models(kind: np.ndarray, place: np.ndarray, keys: np.ndarray, n: list[np.ndarray]) -> Iterator[Model]:
-    """The model of all rows, and that without the held ones."""
-    for less in (False, True):
-        arrays = {}
-        for i, (name, size) in enumerate([*KINDS.items(), ("pair", PAIRS)]):
-            a = np.zeros((2, size), np.float32)
-            at = kind == (i + less if name == "pair" else i)
-            for c in (0, 1):
-                a[c, place[at]] = n[c][at] - n[c + 2][at] if less else n[c][at]
-            arrays[name] = a[0] if name == "either" else a
-        key = np.full(PAIRS, -1, np.int64)
-        key[place[at]] = keys[at]
-        yield Model(**arrays, key=key, weights=np.array([0.0, 0.0, 0.0, -30.0]))
-
-
-def fit(docs: DataFrame, labels: DataFrame, train: Column, id_column: str = "doc_id", text: str = "text", label: str = "toxic", calibration_rows: int = CALIBRATION_ROWS, seed: int = 7) -> Model:
+    n = {k: v.astype(float) for k, v in n.items()}
+    over = n["pair"][c] > DISCOUNT_PAIR
+    for name, columns, mine in (("context", [("total", c)], None), ("context", [("over", c)], over), ("word", [("follows", c), ("either", 0)], ~over), ("begin", [("begin", c)], None)):
+        at = np.unique(ids[name], return_inverse=True)[1]
+        less = np.bincount(at, weights=mine)[at]
+        for column, row in columns:
+            n[column][row] = np.maximum(n[column][row] - less, 0)
+    n["pair"][c] = np.maximum(n["pair"][c] - 1, 0)
+    # a context that keeps no pair above the discount frees all
+    return log_ratio(sums.pair_level(n["pair"], n["total"], n["over"], sums.word_level(n["follows"], n["either"][0], n["begin"])))
+
+
+def summed(ratio: np.ndarray, at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(texts, 3): the mean log-ratio, the highest mean over a window, and the mean of what exceeds ``DECISIVE``.
+
+    ``at`` has the pairs' places among all tokens, ``offsets`` those of the texts; means are shrunk towards 0.
+    """
+    size = int(offsets[-1])
+    r, one = np.zeros(size), np.zeros(size)
+    r[at], one[at] = ratio, 1
+    total, strong, count = (np.concatenate([[0.0], np.cumsum(x)]) for x in (r, np.maximum(r - DECISIVE, 0), one))
+    n = count[offsets[1:]] - count[offsets[:-1]] + PRIOR_WORDS
+    mean, decided = ((t[offsets[1:]] - t[offsets[:-1]]) / n for t in (total, strong))
+    best = mean.copy()
+    for i in np.flatnonzero(np.diff(offsets) > WINDOW):
+        t = total[offsets[i] : offsets[i + 1] + 1]
+        best[i] = max(best[i], (t[WINDOW:] - t[:-WINDOW]).max() / (WINDOW + PRIOR_WORDS))
+    return np.column_stack([mean, best, decided])
+
+
+EVIDENCE = {f"e{i}": ("double", pa.float64()) for i in range(3)}
+
+
+def _evidence(sums: Sums, tables: Tables, values: np.ndarray, offsets: np.ndarray, own: np.ndarray | None = None) -> np.ndarray:
+    """(texts, 3) evidence; where ``own`` names a text's class, without its own counts."""
+    if not sums.usable or not len(values):
+        return np.zeros((len(offsets) - 1, 3))
+    p = Pairs.of(values, offsets)
+    if own is None:
+        return summed(ratios(sums, tables, p), p.at, p.offsets)
+    cut, out = np.searchsorted(p.text, np.arange(len(own) + 1)), []
+    for c, i, j in zip(own, cut, cut[1:], strict=False):
+        ids = {"context": p.context[i:j], "word": p.word[i:j], "begin": p.begin[i:j]}
+        found = {k: tables.find(kind, key) for k, kind, key in ((PAIR, PAIR, _mix(ids["context"], ids["word"])), *((k, k, ids[x].view(np.uint64)) for k, x in ((WORD, "word"), (CONTEXT, "context"), (BEGIN, "begin"))))}
+        n = {"pair": found[PAIR], "total": found[CONTEXT][:2], "over": found[CONTEXT][2:], "follows": found[WORD][:2], "either": found[WORD][2:], "begin": found[BEGIN]}
+        out.append(own_ratios(sums, int(c), ids, n))
+    return summed(np.concatenate(out), p.at, p.offsets)
+
+
+def _joined(df: DataFrame, model: Model, tokens: str, own: str | None) -> DataFrame:
+    """As ``mapped`` with ``_evidence``, but by joins to the model's table: ``df`` without ``tokens``, with ``e0`` to ``e2``."""
+    row = fresh(df, "row")
+    kept = handed_over(df.withColumn(row, F.monotonically_increasing_id()))
+    label = F.lit(None).cast("int") if own is None else kept[own]
+    parts = kept.select(kept[row].alias("r"), label.alias("own"), kept[tokens].alias("h"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = Pairs.of(*lists(b.column(2)))
+            n = np.diff(p.offsets)[p.text]
+            for i in range(0, len(p.at), 50_000):
+                s = slice(i, i + 50_000)
+                at = pa.array(p.text[s])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(n[s]), pa.array(p.at[s] - p.offsets[p.text[s]]), *map(pa.array, (p.context[s], p.word[s], p.begin[s]))], names=["r", "own", "n", "at", "u", "w", "g"])
+
+    met = parts.mapInArrow(split, "r long, own int, n long, at long, u long, w long, g long")
+    count, names = {}, {PAIR: ["u", "w"], WORD: ["w"], CONTEXT: ["u"], BEGIN: ["g"]}
+    for kind, on in names.items():
+        count[kind] = [f"k{kind}{c}" for c in "abcd"[: WIDTH[kind]]]
+        side = model.frame.where(F.col("kind") == kind).select(*[F.col(c).alias(k) for c, k in zip("xy", on, strict=False)], *[F.col(c).alias(k) for c, k in zip("abcd", count[kind], strict=False)])
+        met = met.join(side, on, "left")
+    flat = [c for k in WIDTH for c in count[k]]
+    one = F.struct("at", "u", "w", "g", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in flat])
+    gathered = met.groupBy("r", "own", "n").agg(F.sort_array(F.collect_list(one)).alias("rows"))
+    sums = model.sums
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = np.zeros((b.num_rows, 3))
+            for i in range(b.num_rows if sums.usable else 0):
+                at, u, w, g, *x = (c.to_numpy(zero_copy_only=False) for c in b.column(3)[i].values.flatten())
+                n, x = dict(zip(("pair", "follows", "total", "begin"), (np.stack(x[s]) for s in (slice(0, 2), slice(2, 4), slice(5, 7), slice(9, 11))), strict=True)), x
+                n |= {"either": np.stack(x[4:5]), "over": np.stack(x[7:9])}
+                c = b.column(1)[i].as_py()
+                if c is None:
+                    n = {k: v.astype(float) for k, v in n.items()}
+                    r = log_ratio(sums.pair_level(n["pair"], n["total"], n["over"], sums.word_level(n["follows"], n["either"][0], n["begin"])))
+                else:
+                    r = own_ratios(sums, c, {"context": u, "word": w, "begin": g}, n)
+                out[i] = summed(r, at, np.array([0, b.column(2)[i].as_py()]))[0]
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out.T)], names=["r", *EVIDENCE])
+
+    made = gathered.mapInArrow(finish, "r long, " + ", ".join(f"{c} double" for c in EVIDENCE))
+    # texts without words have no rows and so no evidence
+    met = kept.drop(tokens).join(made.withColumnRenamed("r", row), row, "left").drop(row)
+    return met.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in EVIDENCE})
+
+
+def evidence(df: DataFrame, model: Model, tokens: str = "h", own: str | None = None) -> DataFrame:
+    """``df`` without ``tokens``, with the evidence ``e0`` to ``e2``; without a text's own counts where ``own`` has its class."""
+    df = without(df, *EVIDENCE)
+    if model.tables is None:
+        return _joined(df, model, tokens, own)
+    sent = df.sparkSession.sparkContext.broadcast((model.sums, model.tables))
+    return mapped(df, tokens, lambda v, o, y=None: tuple(_evidence(*sent.value, v, o, y).T), EVIDENCE, own)
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column, id_column: str = "doc_id", text: str = "text", label: str = "toxic", calibration_rows: int = CALIBRATION_ROWS, model_rows: int = MODEL_ROWS, seed: int = 7) -> Model:
     """Fits the models on the rows of ``docs`` whose id has a label that ``train`` (over ``id``) admits.
 
-    All of those rows are counted.  The logistic curve is fitted on at most
-    ``calibration_rows`` of a fifth of the ids, with evidence from counts that leave just
-    these out.  Without rows of both classes every score is the share of label 1, or 0
-    without any label.
+    ``labels`` has the columns ``id_column`` and ``label``.  All of those rows are counted,
+    repeated ones too.  The logistic curve is fitted on at most ``calibration_rows`` ids.
+    Without rows of both classes every score is the share of label 1, or 0 without any label.
+    Null texts count as empty; of very long texts every word counts.
     """
     prepare(docs.sparkSession)
-    known = label_table(labels, label, train)
-    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(5))
-    chosen = bounded_sample(known.where(part == 0), calibration_rows)
-    marked = known.join(chosen.select("id", F.lit(1).alias("held")), "id", "left").withColumn("held", F.coalesce("held", F.lit(0)))
+    known = label_table(labels, label, train, id_column)
     rows = docs.select(docs[id_column].alias("id"), text_of(docs, text).alias("text"))
-    counted = with_labels(rows, marked).select("label", "held", _tokens(F.col("text")).alias("h"))
-    sums = [F.sum(c).alias(c) for c in ("o", "t")]
-    pairs = counted.mapInArrow(_pairs, "place int, key long, o long, t long").repartition("place").groupBy("place", "key").agg(*sums).drop("place")
-    made = pairs.mapInArrow(_tables, "kind int, place int, key long, o long, t long")
-    # the pairs of one place are in one partition, so each place of the last kinds has one row already
-    tables = made.groupBy("kind", "place").agg(F.max("key").alias("key"), *sums)
-    got = tables.toArrow()
-    kind, place, keys, *n = (got.column(i).to_numpy() for i in range(5))  # at most 5 * WORDS + BEGINNINGS + 2 * PAIRS rows
-    n = [x & ((1 << HELD) - 1) for x in n] + [x >> HELD for x in n]
-    model, less = _models(kind, place, keys, n)
-    got = kind = place = keys = n = None
-    sample = rows.join(chosen, "id").select("label", _tokens(F.col("text")).alias("h"))
-    got = evidence(sample, less).orderBy(F.xxhash64("label", "e0", "e1", "e2")).limit(calibration_rows).toArrow()
+    counted = with_labels(rows, known).select("label", _tokens(F.col("text")).alias("h")).mapInArrow(_counted, "u long, w long, o long, t long")
+    pairs = counted.repartition("u", "w").groupBy("u", "w").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
+    levels = pairs.mapInArrow(_levels, LEVELS).repartition("kind", "x", "y").groupBy("kind", "x", "y").agg(*[F.sum(c).alias(c) for c in "abcd"])
+    kept = handed_over(levels.mapInArrow(_kept, LEVELS))
+    whole = F.col("kind").isin(SUMS, MORE)
+    total = {r.kind: [float(r[c]) for c in "abcd"] for r in kept.where(whole).groupBy("kind").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect()}
+    first, more = (np.array(total.get(k, [0.0] * 4)) for k in (SUMS, MORE))
+    sums, kept = Sums(first[:2], first[2:], more[0], more[1], more[2:]), kept.where(~whole)
+    small = kept.count() <= model_rows
+    model = Model(sums, Tables(kept.toArrow()) if small else None, None if small else kept)
+    sample = rows.join(bounded_sample(known, calibration_rows), "id").select("label", _tokens(F.col("text")).alias("h"))
+    got = evidence(sample, model, own="label").orderBy(F.xxhash64("label", *EVIDENCE)).limit(calibration_rows).toArrow()
     y = got.column("label").to_numpy().astype(float)
-    x = np.column_stack([got.column(f"e{i}").to_numpy() for i in range(3)])
-    if len(y) and 0 < y.sum() < len(y) and less.usable:
+    x = np.column_stack([got.column(c).to_numpy() for c in EVIDENCE])
+    if len(y) and 0 < y.sum() < len(y) and sums.usable:
         model.weights = logistic(x, y)
     elif len(y):
         share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
@@ -266,32 +416,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_column: str = "doc
     return model
 
 
-def _shared(df: DataFrame, model: Model):
-    """The model broadcast once, as plain arrays; a function that builds it in a worker."""
-    sent = df.sparkSession.sparkContext.broadcast({f.name: getattr(model, f.name) for f in fields(Model)})
-    kept: dict = {}
-
-    def get() -> Model:
-        if "model" not in kept:
-            kept["model"] = Model(**sent.value)
-        return kept["model"]
-
-    return get
-
-
-def evidence(df: DataFrame, model: Model) -> DataFrame:
-    get = _shared(df, model)
-    return mapped(df, "h", lambda v, o: tuple(get().evidence(v, o).T), {f"e{i}": ("double", pa.float64()) for i in range(3)})
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:
     """``docs`` with the probability ``out`` (double, 0 to 1) that a text is toxic.
 
-    The text column goes unless ``keep_text``.  Null and empty texts get the score of no
-    evidence.  Texts are scored whole; rows stay one to one.  ``out`` must be a new name.
+    The text column goes unless ``keep_text``; an own column called ``out`` is replaced.  Null
+    and empty texts get the score of no evidence.  Texts are scored whole; rows stay one to one.
     """
     prepare(docs.sparkSession)
-    get = _shared(docs, model)
-    h = fresh(docs, "h")
-    df = docs.withColumn(h, _tokens(text_of(docs, text)))
-    return mapped(df if keep_text else df.drop(text), h, lambda v, o: (get().score(v, o),), {out: ("double", pa.float64())})
+    given, back = aliased(docs, out, *([] if keep_text else [text]))
+    df = docs.select(*given, _tokens(text_of(docs, text)).alias("h"))
+    w = model.weights
+    z = sum((F.col(c) * float(w[i]) for i, c in enumerate(EVIDENCE)), F.lit(float(w[3])))
+    p = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+    return evidence(df, model).select(*back, p.alias(out))

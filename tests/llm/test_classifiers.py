@@ -93,44 +93,129 @@ def test_temperature_lowers_the_loss():
     assert 2.4 < quality._temperature(z, y) < 3.7
 
 
-def test_toxicity_is_the_difference_of_two_discounted_models(spark, corpus):
+SMALL = [
+    ("vile nasty vile dog saw a vile nasty cat", 1), ("the dog saw a cat", 0), ("the dog saw the dog", 0), ("a vile nasty dog", 1), ("vile nasty vile cat", 1), ("the vile nasty cat saw", 1),
+    ("vile nasty", 1), ("a dog saw a cat", 0), ("the cat saw the dog", 0), ("the dog saw the cat saw a dog", 0), ("the dog", 0), (None, 0), ("", 1), ("nasty cat nasty dog nasty nasty saw nasty a nasty", 1), ("Vilest nastiest", 1),
+]
+
+
+def plain_ratios(rows, text):
+    """The log-ratio of each distinct pair of ``text``: two Kneser-Ney models, from their definition."""
+    pairs_of = lambda t: list(dict.fromkeys(zip([None, *(t or "").lower().split()], (t or "").lower().split(), strict=False)))
+    n = [{}, {}]
+    for t, y in rows:
+        for pair in pairs_of(t):
+            n[y][pair] = n[y].get(pair, 0) + 1
+    both = set(n[0]) | set(n[1])
+    total = sum(sum(x.values()) for x in n)
+    out = []
+    for u, w in pairs_of(text):
+        p = []
+        for x in n:
+            follows = {}
+            for _, b in x:
+                follows[b] = follows.get(b, 0) + 1
+            shared = (sum(b == w for _, b in both) + 0.5) / (len(both) + 0.5 * len({b for _, b in both}))
+            of = lambda x: max(sum(k for (_, b), k in x.items() if b[:4] == w[:4]) - 1, 0)  # noqa: B023, E731
+            share = sum(x.values()) / total
+            weight = (of(x) + share * 30) / (share * (of(n[0]) + of(n[1]) + 30))
+            word = (max(follows.get(w, 0) - 3, 0) + sum(min(f, 3) for f in follows.values()) * shared * weight) / len(x)
+            after = {b: k for (a, b), k in x.items() if a == u}
+            if after:
+                word = (max(after.get(w, 0) - 2, 0) + sum(min(k, 2) for k in after.values()) * word) / sum(after.values())
+            p.append(word)
+        out.append(np.clip(np.log(p[1] / p[0]), -6, 6))
+    return out
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SMALL)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, (_, y) in enumerate(SMALL)], LABELS)
+    return docs, labels
+
+
+def hashes(spark, text):
+    h = spark.createDataFrame([(text,)], "t string").select(toxicity._tokens(F.col("t"))).first()[0]
+    return np.array(h, np.int64), np.array([0, len(h)])
+
+
+def test_toxicity_equals_two_plain_kneser_ney_models(spark, small):
+    model = toxicity.fit(*small, F.lit(True))
+    for text in ["vile nasty vile dog saw", "the dog saw a cat", "new words the vilely cat a nasty nasty", "nasty"]:
+        p = toxicity.Pairs.of(*hashes(spark, text))
+        got = toxicity.ratios(model.sums, model.tables, p)
+        assert np.allclose(got, plain_ratios(SMALL, text), rtol=0, atol=1e-9)
+        assert np.abs(got).max() > 0.05
+        mean = np.sum(plain_ratios(SMALL, text)) / (len(got) + toxicity.PRIOR_WORDS)
+        assert abs(toxicity._evidence(model.sums, model.tables, *hashes(spark, text))[0, 0] - mean) < 1e-9
+    # continuation counts and discounts decide the scores
+    p = toxicity.Pairs.of(*hashes(spark, "the nasty dog saw a vile nasty cat"))
+    before = toxicity.ratios(model.sums, model.tables, p)
+    follows = model.tables.columns[toxicity.WORD]
+    model.tables.columns[toxicity.WORD] = follows + 2 * (follows > 0)
+    assert not np.allclose(toxicity.ratios(model.sums, model.tables, p), before)
+    model.tables.columns[toxicity.WORD] = follows
+    assert not np.allclose(toxicity.ratios(replace(model.sums, freed=model.sums.freed / 2), model.tables, p), before)
+
+
+def test_own_counts_are_taken_out(spark, small):
+    docs, labels = small
+    every = toxicity.fit(docs, labels, F.lit(True))
+    # a text whose pairs are all frequent: leaving it out is the same as never having counted it, but for sums over all words
+    text = "vile nasty"
+    found = toxicity._evidence(every.sums, every.tables, *hashes(spark, text), np.array([1]))
+    less = toxicity.fit(docs.where("doc_id <> 6"), labels, F.lit(True))
+    want = toxicity._evidence(every.sums, less.tables, *hashes(spark, text))
+    assert np.allclose(found, want, atol=0.05) and not np.allclose(found, toxicity._evidence(every.sums, every.tables, *hashes(spark, text)))
+
+
+def test_a_model_too_large_to_broadcast_gives_the_same_scores(spark, corpus):
     docs, labels = corpus
-    model = toxicity.fit(docs, labels, F.lit(True))
-    texts = [r.text for r in docs.orderBy("doc_id").limit(3).collect()]
-    h = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", toxicity._tokens(F.col("text")).alias("h")).orderBy("i").collect()
-    values, offsets = np.concatenate([np.array(r.h) for r in h]), np.concatenate([[0], np.cumsum([len(r.h) for r in h])])
-    key = np.unique(toxicity._keys(values, offsets))
-    u, w, begin = toxicity._parts(key)
-    at = toxicity._place(key)
-    n = np.where(model.key[at] == key, model.pair[:, at], 0)
-    logs = []
-    for c in (0, 1):
-        f = model.follows[c].astype(float)
-        base = model.shared[w] * model.more[c][begin] * np.minimum(f, 3).sum()
-        word = (np.maximum(f[w] - 3, 0) + base) / f.sum()
-        # what discounts free after a context, from the pairs themselves
-        pu = toxicity._parts(model.key[model.key >= 0])[0]
-        freed = np.bincount(pu, weights=np.minimum(model.pair[c][model.key >= 0], 2), minlength=toxicity.WORDS)
-        total = model.context[c][u]
-        p = np.where(total > 0, (np.maximum(n[c] - 2, 0) + model.kinds[c][u] * word) / np.maximum(total, 1), word)
-        logs.append(np.log(p))
-        assert (freed <= model.kinds[c] + 1e-3).all() and freed.sum() > 0.9 * model.kinds[c].sum()
-    assert np.allclose(model.ratios(key), np.clip(logs[1] - logs[0], -6, 6), atol=1e-4)
-    # discounts and continuation counts decide the scores
-    assert not np.allclose(replace(model, kinds=model.kinds / 2).ratios(key), model.ratios(key))
-    assert not np.allclose(replace(model, follows=model.follows**2).ratios(key), model.ratios(key))
-
-
-def test_all_labelled_rows_are_counted(spark, corpus):
+    docs = docs.limit(200).unionByName(spark.createDataFrame([(None, None, "x"), (3, "", "y"), (3, "nasty " * 3000, "y"), (3, "nasty " * 3000, "y")], "doc_id long, text string, h string"))
+    one, two = (toxicity.fit(docs, labels, F.lit(True), model_rows=n) for n in (10**6, 0))
+    assert one.tables is not None and two.tables is None
+    assert np.allclose(one.weights, two.weights, rtol=1e-6)
+    a, b = (sorted((str(r.doc_id), r.h, round(r.score, 9)) for r in toxicity.score(docs, m).collect()) for m in (one, two))
+    assert a == b and len(a) == docs.count()
+
+
+def test_no_counted_row_or_pair_is_left_out(spark, corpus):
     docs, labels = corpus
-    # without repeated ids, a pair that occurs in each text is counted once a labelled row
+    # a pair that occurs in each text is counted once a labelled row, whatever the bound on calibration
     every = docs.withColumn("text", F.concat(F.col("text"), F.lit(" same pair")))
-    model = toxicity.fit(every, labels, F.lit(True))
     n, toxic = labels.agg(F.count("*"), F.sum("toxic")).first()
-    h = spark.range(1).select(toxicity._tokens(F.lit("same pair"))).first()[0]
-    key = toxicity._keys(np.array(h), np.array([0, 2]))[1:]
-    at = toxicity._place(key)
-    assert model.key[at] == key and model.pair[:, at].ravel().tolist() == [n - toxic, toxic]
-    # rows held for calibration are bounded, and no others are left out of the evidence
-    few = toxicity.fit(every, labels, F.lit(True), calibration_rows=10)
-    assert np.array_equal(few.word, model.word) and not np.array_equal(few.weights, model.weights)
+    for rows in (20_000, 10):
+        model = toxicity.fit(every, labels, F.lit(True), calibration_rows=rows)
+        p = toxicity.Pairs.of(*hashes(spark, "same pair"))
+        assert model.tables.find(toxicity.PAIR, toxicity._mix(p.context, p.word))[:, 1].tolist() == [n - toxic, toxic]
+    # all pairs above the discount are there
+    counts = [{}, {}]
+    for r in every.join(labels, "doc_id").collect():
+        w = r.text.replace("*", "").split()
+        for pair in set(zip([None, *w], w, strict=False)):
+            counts[r.toxic][pair] = counts[r.toxic].get(pair, 0) + 1
+    assert len(model.tables.keys[toxicity.PAIR]) - 1 == len({p for x in counts for p, k in x.items() if k > 2})
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_clashing_names_and_other_id_columns(spark, small, module):
+    docs, labels = small
+    odd = docs.selectExpr("doc_id as key", "text", "1 as e0", "2 as h", "3 as Score", "4 as row", "5 as r", "6 as c0", "7 as `a.b`", "8 as x")
+    for options in ({}, {"model_rows": 0}) if module is toxicity else ({},):
+        model = module.fit(odd, labels.withColumnRenamed("doc_id", "key"), F.lit(True), id_column="key", **options)
+        got = module.score(odd, model, keep_text=True)
+        assert got.columns == ["key", "text", "e0", "h", "row", "r", "c0", "a.b", "x", "score"]
+        rows = got.collect()
+        assert len(rows) == len(SMALL) and {(r.e0, r.h, r.row, r["a.b"]) for r in rows} == {(1, 2, 4, 7)} and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_batch_size_does_not_matter(spark, corpus):
+    docs, labels = corpus
+    model = toxicity.fit(docs, labels, F.lit(True))
+    seen, key = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for size in ("10000", "7"):
+        scored = toxicity.score(docs, model)
+        spark.conf.set(key, size)
+        seen.append(sorted((r.doc_id, round(r.score, 12)) for r in scored.collect()))
+    assert seen[0] == seen[1]
