@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_of
+from .common import aliased, prepare, text_of
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -182,10 +182,14 @@ def cutter(pairs: frozenset[str], runs: bool = True) -> re.Pattern | None:
     return re.compile(f"{space}[^{SPACE}\n{LETTERS}]*[{LETTERS}]+|{space}[^{SPACE}\n{LETTERS}]+|\n|{spaces}")
 
 
+#: Segments that a worker remembers while it works on a partition, in either of two generations: some 60 MB.
+CACHED = 120_000
+
+
 class PieceBPE:
     """Encoder for one BPE model; ``data`` are the bytes of its file."""
 
-    def __init__(self, data: bytes, cached: int = 250_000, longest: int = 64):
+    def __init__(self, data: bytes, cached: int = CACHED, longest: int = 64):
         m = self.model = PieceModel.parse(data)
         if m.model_type != 2 or UNUSED in m.types or USER_DEFINED in m.types:
             raise ValueError("needs a BPE model without unused and user-defined pieces")
@@ -305,6 +309,12 @@ class PieceBPE:
 
     # -- whole texts -------------------------------------------------------------------------
 
+    def forget(self) -> None:
+        """Empties the caches; what belongs to the model stays."""
+        for cache in (self.words, self.fits):
+            cache.clear()
+            cache.old = {}
+
     def encode_bytes(self, text: str) -> bytes:
         """The ids as 32-bit numbers in the machine's order, joined from remembered segments."""
         found = self.segments(self.model.normalise(text))
@@ -342,33 +352,40 @@ def tokenize(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids"
     """``docs`` with the ids of ``text`` as an array of ints, ``out``, in place of the text.
 
     Null counts as the empty text and gives an empty array.  Whole texts are encoded, of any
-    length; rows are kept one to one, repeated rows too.  ``out`` replaces no other column.
-    The model, half a megabyte, is broadcast.
+    length; rows are kept one to one, repeated rows too.  An own column called ``out`` is
+    replaced.  The model, half a megabyte, is broadcast.
     """
     spark = docs.sparkSession
     prepare(spark)
-    keep = [c for c in docs.columns if c != text]
-    df = docs.select(*[docs[f"`{c}`"] for c in keep], text_of(docs, text).alias(text))
-    schema = df.drop(text).withColumn(out, F.array().cast("array<int>")).schema
+    given, back = aliased(docs, text, out)
+    df = docs.select(*given, text_of(docs, text).alias("text"))
+    schema, names = df.drop("text").withColumn("made", F.array().cast("array<int>")).schema, [*df.columns[:-1], "made"]
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load(shared.value).encode_bytes
+        encoder = load(shared.value)
         for b in batches:
-            made = [encode(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            made = [encoder.encode_bytes(t) for t in b.column(b.num_columns - 1).to_pylist()]
             offsets = np.concatenate([[0], np.cumsum([len(m) // 4 for m in made])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=names)
+        encoder.forget()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).select(*back, F.col("made").alias(out))
 
 
 def detokenize(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the text of the array ``ids`` as ``out`` beside it; null ids give the empty text."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    schema = df.withColumn(out, F.lit("").cast("string")).schema
-    names, at = [*df.columns, out], df.columns.index(ids)
+    """``df`` with the text of the array ``ids`` as ``out`` beside it; null ids give the empty text.
+
+    An own column called ``out``, other than ``ids``, is replaced.
+    """
+    if ids.lower() == out.lower():
+        raise ValueError("ids and out must have different names")
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    given, back = aliased(df, out)
+    at = [c.lower() for c in df.columns if c.lower() != out.lower()].index(ids.lower())
+    df = df.select(*given)
+    schema, names = df.withColumn("made", F.lit("").cast("string")).schema, [*df.columns, "made"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = load_decoder(shared.value).decode
@@ -379,4 +396,4 @@ def detokenize(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decode
             texts = [decode(flat[i:j]) if there else "" for i, j, there in spans]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).select(*back, F.col("made").alias(out))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, prepare, row_hash, text_of
+from .common import aliased, cut, fresh, prepare, row_hash, text_of
 from .components import connected_components
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -58,19 +58,19 @@ def majority(hashes: np.ndarray, step: int = 1 << 15) -> int:
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed: int = 42, out: str = "fp") -> DataFrame:
     """``docs`` with the column ``out`` (long, the signed form) in place of ``text``.
 
-    Null texts count as empty and get 0.  ``out`` must not be a column of ``docs``.
+    Null texts count as empty and get 0.  An own column called ``out`` is replaced.
     """
     prepare(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text]
-    df = docs.select(*[docs[f"`{c}`"] for c in keep], text_of(docs, text).alias(text))
-    schema = df.drop(text).withColumn(out, F.lit(0).cast("long")).schema
+    given, back = aliased(docs, text, out)
+    df = docs.select(*given, text_of(docs, text).alias("text"))
+    schema, names = df.drop("text").withColumn("made", F.lit(0).cast("long")).schema, [*df.columns[:-1], "made"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py(), words, seed) for t in b.column(b.num_columns - 1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).select(*back, F.col("made").alias(out))
 
 
 def _count(planes: np.ndarray, own: np.ndarray, radius: int, shape: tuple) -> np.ndarray:

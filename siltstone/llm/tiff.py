@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, prepare
+from .common import aliased, prepare
 
 #: Tags and codes of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -148,10 +148,11 @@ def compress(data: bytes, method: int, level: int = 6) -> bytes:
     return {NONE: lambda: data, PACKBITS: lambda: pack_bits(data), LZW: lambda: lzw_encode(data)}.get(method, lambda: zlib.compress(data, level))()
 
 
-def decompress(data: bytes, method: int) -> bytes:
+def decompress(data: bytes, method: int, most: int) -> bytes:
+    """The bytes of a strip or tile; of a deflate stream no more than ``most``."""
     if method not in (NONE, PACKBITS, LZW, DEFLATE, OLD_DEFLATE):
         raise ValueError(f"compression {method} is not supported")
-    return {NONE: lambda: data, PACKBITS: lambda: unpack_bits(data), LZW: lambda: lzw_decode(data)}.get(method, lambda: zlib.decompress(data))()
+    return {NONE: lambda: data, PACKBITS: lambda: unpack_bits(data), LZW: lambda: lzw_decode(data)}.get(method, lambda: zlib.decompressobj().decompress(data, most))()
 
 
 # -- pages -----------------------------------------------------------------------------------
@@ -237,6 +238,8 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
     one = lambda tag, default: tags.get(tag, (default,))[0]
     w, h, s = tags[WIDTH][0], tags[HEIGHT][0], one(SAMPLES, 1)
     bits, method, predictor = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
+    if min(w, h, s, one(ROWS_PER_STRIP, 1), one(TILE_WIDTH, 1), one(TILE_HEIGHT, 1)) < 1:
+        raise ValueError("a page without samples")
     if bits not in (8, 16) or predictor not in (1, 2) or one(SAMPLE_FORMAT, 1) != 1:
         raise ValueError(f"{bits}-bit samples with predictor {predictor} are not supported")
     kind = np.dtype("u1" if bits == 8 else order + "u2")
@@ -248,16 +251,20 @@ def _page(data: bytes, order: str, tags: dict[int, tuple]) -> Page:
         ph, pw, offsets = min(one(ROWS_PER_STRIP, h), h), w, tags[STRIP_OFFSETS]
         counts = tags.get(STRIP_COUNTS) or (len(data) - offsets[0],)
     down, across = -(-h // ph), -(-w // pw)
-    pixels = np.zeros((h, w, s), kind.newbyteorder("="))
+    if len(offsets) != planes * down * across or len(counts) != len(offsets):
+        raise ValueError(f"{len(offsets)} strips or tiles in place of {planes * down * across}")
+    # a page is laid out only when all its parts are there, so that forged sizes claim no memory
+    parts = []
     for i, (at, n) in enumerate(zip(offsets, counts, strict=True)):
+        rows = ph if TILE_OFFSETS in tags else min(ph, h - i % (down * across) // across * ph)
+        raw = decompress(data[at : at + n], method, rows * pw * deep * kind.itemsize)
+        part = np.frombuffer(raw, kind, rows * pw * deep).reshape(rows, pw, deep).astype(kind.newbyteorder("="))
+        parts.append(np.cumsum(part, axis=1, dtype=part.dtype) if predictor == 2 else part)
+    pixels = np.empty((h, w, s), kind.newbyteorder("="))
+    for i, part in enumerate(parts):
         plane, k = divmod(i, down * across)
         y, x = k // across * ph, k % across * pw
-        rows = ph if TILE_OFFSETS in tags else min(ph, h - y)
-        raw = decompress(data[at : at + n], method)
-        part = np.frombuffer(raw, kind, rows * pw * deep).reshape(rows, pw, deep).astype(pixels.dtype)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=pixels.dtype)
-        pixels[y : y + rows, x : x + pw, plane * deep : (plane + 1) * deep] = part[: h - y, : w - x]
+        pixels[y : y + ph, x : x + pw, plane * deep : (plane + 1) * deep] = part[: h - y, : w - x]
     return Page(pixels, {"width": w, "height": h, "samples": s, "bits": bits, "compression": method, "predictor": predictor, "tiled": TILE_OFFSETS in tags})
 
 
@@ -292,13 +299,13 @@ def store(docs: DataFrame, text: str = "text", out: str = "media", level: int =
     """``docs`` with each text as a one-page file in the binary column ``out``, and ``n_bytes``.
 
     The page is 576 samples wide, in deflated strips of 64 rows with the horizontal
-    predictor.  Null counts as empty.  Texts are stored whole; the text column goes.
+    predictor.  Null counts as empty.  Texts are stored whole; the text column goes.  Own
+    columns called ``out`` or ``n_bytes`` are replaced.
     """
     prepare(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text]
-    size = fresh(docs, "n_bytes")
-    df = docs.select(*[docs[f"`{c}`"] for c in keep], docs[text].cast("string").alias(text))
-    schema = df.drop(text).withColumns({size: F.lit(0).cast("long"), out: F.lit(b"").cast("binary")}).schema
+    given, back = aliased(docs, text, out, "n_bytes")
+    df = docs.select(*given, docs[text].cast("string").alias("text"))
+    schema, names = df.drop("text").withColumns({"size": F.lit(0).cast("long"), "made": F.lit(b"").cast("binary")}).schema, [*df.columns[:-1], "size", "made"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,9 +314,9 @@ def store(docs: DataFrame, text: str = "text", out: str = "media", level: int =
                 data = payload(t.as_py())
                 sizes.append(len((t.as_py() or "").encode("utf-8", "surrogatepass")))
                 files.append(write([np.frombuffer(data, np.uint8).reshape(-1, UNIT)], level=level))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=[*keep, size, out])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).select(*back, F.col("size").alias("n_bytes"), F.col("made").alias(out))
 
 
 PAGE_FIELDS = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, mean double, deviation double, error string"
@@ -319,13 +326,19 @@ def pages(files: DataFrame, media: str = "media") -> DataFrame:
     """One row a page: the columns of ``files`` and those of ``PAGE_FIELDS``.
 
     ``pixels`` are the samples in row order, low byte first.  A null or damaged file gives
-    the pages before the damage and one row with ``page`` null and an ``error``.
+    the pages before the damage and one row with ``page`` null and an ``error``.  Own columns
+    called like one of ``PAGE_FIELDS`` are replaced; ``media`` must not be called so.
     """
     prepare(files.sparkSession)
     import pyspark.sql.types as T
 
     more = T.StructType.fromDDL(PAGE_FIELDS)
-    schema, names, at = T.StructType([*files.schema.fields, *more.fields]), [*files.columns, *more.names], files.columns.index(media)
+    if media.lower() in more.names:
+        raise ValueError(f"{media} is the name of a result")
+    given, back = aliased(files, *more.names)
+    at = [c.lower() for c in files.columns if c.lower() not in more.names].index(media.lower())
+    files = files.select(*given)
+    schema, names = T.StructType([*files.schema.fields, *more.fields]), [*files.columns, *more.names]
     kinds = [pa.int32()] * 7 + [pa.bool_(), pa.binary(), pa.float64(), pa.float64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,10 +360,10 @@ def pages(files: DataFrame, media: str = "media") -> DataFrame:
                         if held > 16 << 20:
                             yield flush()
                             of, rows, held = [], [], 0
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, IndexError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
                     of.append(i)
                     rows.append((*[None] * 11, str(e) or type(e).__name__))
             if rows:
                 yield flush()
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(run, schema).select(*back, *more.names)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, text_of
+from .common import aliased, prepare, text_of
 from .piece_bpe import BYTE, NORMAL, SPACE, USER_DEFINED, Cache, PieceModel, adjacent, cutter
 
 UNKNOWN_PENALTY = 10.0
@@ -118,17 +118,18 @@ def count_tokens(docs: DataFrame, model: bytes, text: str = "text", out: str = "
     """``docs`` with the number of tokens ``out`` (long) in place of ``text``.
 
     Null counts as empty and has no tokens.  Texts are counted whole; rows stay one to one.
+    An own column called ``out`` is replaced.
     """
     prepare(docs.sparkSession)
-    keep = [c for c in docs.columns if c != text]
-    df = docs.select(*[docs[f"`{c}`"] for c in keep], text_of(docs, text).alias(text))
-    schema = df.drop(text).withColumn(out, F.lit(0).cast("long")).schema
+    given, back = aliased(docs, text, out)
+    df = docs.select(*given, text_of(docs, text).alias("text"))
+    schema, names = df.drop("text").withColumn("made", F.lit(0).cast("long")).schema, [*df.columns[:-1], "made"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = load(shared.value).count
         for b in batches:
             n = pa.array([count(t.as_py()) for t in b.column(b.num_columns - 1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema).select(*back, F.col("made").alias(out))

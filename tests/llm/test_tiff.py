@@ -76,3 +76,34 @@ def test_query(spark, data):
     for r in op10_tiff(spark, data).collect():
         p = tiff.payload(texts[r.doc_id])
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+
+
+@pytest.mark.parametrize("tag, value", [(256, 0), (257, 0), (278, 0), (277, 0), (256, 2**31 - 1), (257, 2**31 - 1), (258, 3), (259, 7)])
+def test_forged_directories_give_an_error(spark, tag, value):
+    good = bytearray(tiff.write([np.arange(64, dtype=np.uint8).reshape(8, 8)], tiff.DEFLATE, 1, rows_per_strip=4))
+    (at,) = __import__("struct").unpack_from("<I", good, 4)
+    for i in range(int.from_bytes(good[at : at + 2], "little")):
+        entry = at + 2 + 12 * i
+        if int.from_bytes(good[entry : entry + 2], "little") == tag:
+            good[entry + 2 : entry + 4] = (4).to_bytes(2, "little")
+            good[entry + 8 : entry + 12] = value.to_bytes(4, "little")
+    (row,) = tiff.pages(spark.createDataFrame([(1, bytes(good))], "id int, media binary")).collect()
+    assert row.page is None and row.error
+
+
+def test_missing_strips_and_long_streams():
+    pixels = np.arange(64, dtype=np.uint8).reshape(8, 8)
+    good = tiff.write([pixels], tiff.DEFLATE, 1, rows_per_strip=4)
+    directory = tiff._directory(good, "<", int.from_bytes(good[4:8], "little"))[0]
+    with pytest.raises(ValueError):
+        tiff._page(good, "<", directory | {tiff.STRIP_OFFSETS: directory[tiff.STRIP_OFFSETS][:1], tiff.STRIP_COUNTS: directory[tiff.STRIP_COUNTS][:1]})
+    assert len(tiff.decompress(zlib.compress(bytes(10**7)), tiff.DEFLATE, 100)) == 100
+
+
+def test_names_that_clash(spark):
+    df = spark.createDataFrame([(1, "hello", 1, 2, 3, 4)], "doc_id long, text string, N_bytes int, page int, `a.b` int, c0 int")
+    got = tiff.pages(tiff.store(df))
+    assert got.columns[:5] == ["doc_id", "a.b", "c0", "n_bytes", "media"] and got.columns.count("page") == 1
+    assert got.select("doc_id", "`a.b`", "c0", "n_bytes", "page").first() == (1, 3, 4, 5, 0)
+    with pytest.raises(ValueError):
+        tiff.pages(df.withColumn("pixels", df.text.cast("binary")), "pixels")

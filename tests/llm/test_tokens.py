@@ -93,3 +93,19 @@ def test_count_column(spark, data):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "the word"), (3, "the word")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_tokens) for r in unigram.count_tokens(df, data).collect()) == [(1, 0), (2, 0), (3, n), (3, n)]
     assert unigram.count_tokens(df.where("false"), data).count() == 0
+
+
+def test_names_that_clash(spark):
+    from siltstone.llm import piece_bpe, simhash, unigram
+
+    df = spark.createDataFrame([(1, "some text", "a", 1, 2, 3), (1, None, "b", 1, 2, 3)], "doc_id long, text string, Ids string, n_tokens int, made int, `x.y` int")
+    model = piece_bpe.read_model()
+    got = piece_bpe.detokenize(piece_bpe.tokenize(df, model), model, out="made")
+    assert got.columns == ["doc_id", "n_tokens", "x.y", "ids", "made"]
+    assert sorted(r.made for r in got.collect()) == ["", "some text"]
+    counted = unigram.count_tokens(df, model)
+    assert counted.columns == ["doc_id", "Ids", "made", "x.y", "n_tokens"] and sorted(r.Ids for r in counted.collect()) == ["a", "b"]
+    marked = simhash.fingerprints(df, out="MADE")
+    assert marked.columns == ["doc_id", "Ids", "n_tokens", "x.y", "MADE"] and 0 in {r.MADE for r in marked.collect()}
+    with pytest.raises(ValueError):
+        piece_bpe.detokenize(df.selectExpr("doc_id", "array(1) as ids"), model, out="ids")
