@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, fresh, prepare, row_hash, text_of
+from .common import WORD, aliased, cut, fresh, handed_over, prepare, row_hash, small_side, text_of
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -133,43 +133,53 @@ def _pivot(names: list[str], at: dict[str, int], last: bool):
     return run
 
 
-def mix(docs: DataFrame, source: str = "source", size: str | None = None, text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, groups: int = 1024, copies: str = "copies") -> DataFrame:
+def _groups(rows: int) -> int:
+    """Streams that the rows of a source are dealt to: some 2,000 rows of the whole table each."""
+    return max(64, 1 << (rows // 2048).bit_length())
+
+
+def mix(docs: DataFrame, source: str = "source", size: str | None = None, text: str = "text", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, groups: int | None = None, copies: str = "copies") -> DataFrame:
     """``docs`` with the column ``copies`` (int): how often the mix takes each row.
 
     The size of a row is the column ``size``, or the number of words of ``text`` if that is
     not given; null sizes and texts count 0, and such rows are never taken.  A null source is
-    a source of its own.  All other columns stay as they are.  Repeated rows are drawn one
-    by one.  Also adds ``copies`` + ``_size``, ``_source_size`` and ``_target``.
+    a source of its own.  All other columns stay as they are; only an own column ``copies`` is
+    replaced.  Repeated rows are drawn one by one.  Long texts do not matter: only keys and
+    sizes are sorted.  Also adds ``copies`` + ``_size``, ``_source_size`` and ``_target`` (with ``_`` more where
+    such a column is there).  No rows give none.
     """
     spark = docs.sparkSession
     prepare(spark)
-    own = list(docs.columns)
-    n = {c: fresh(docs, f"{copies}_{c}") for c in ("size", "source_size", "target", "group", "fraction", "weight", "key", "taken", "whole", "place")}
+    results = [copies, *[fresh(docs, f"{copies}_{c}") for c in ("size", "source_size", "target")]]
+    given, back = aliased(docs, *results)
     count = F.regexp_count(text_of(docs, text), F.lit(WORD)) if size is None else F.coalesce(docs[size], F.lit(0))
-    sized = docs.withColumn(n["size"], count.cast("long"))
-    goal = targets(sized.select(F.col(f"`{source}`").alias("source"), F.col(n["size"]).alias("size")), weights=weights, share=share, most=most)
-    goal = goal.toDF("goal_source", n["source_size"], n["target"])
+    # written once, so that a number can name each row
+    kept = handed_over(docs.select(*given, docs[source].alias("source"), count.cast("long").alias("size"), row_hash(docs).alias("key"), F.monotonically_increasing_id().alias("row")))
+    groups = groups or _groups(kept.count())
+    light = kept.select("source", "size", "key", "row")
+    goal = targets(light, weights=weights, share=share, most=most).toDF("goal_source", "source_size", "target")
     # one row a source; whether it is broadcast is left to Spark, which knows its size by then
-    met = sized.join(goal, sized[f"`{source}`"].eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    rate = F.when(F.col(n["source_size"]) > 0, F.col(n["target"]) / F.col(n["source_size"])).otherwise(0.0)
-    key = row_hash(docs)
+    met = light.join(goal, light.source.eqNullSafe(F.col("goal_source"))).drop("goal_source")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    group = lambda place: F.xxhash64("source", F.col("source").isNull(), place)
+    place = F.pmod(F.col("key"), F.lit(groups)).cast("int")
     ready = met.select(
-        *own, n["size"], n["source_size"], n["target"],
-        F.pmod(key, F.lit(groups)).cast("int").alias(n["place"]), key.alias(n["key"]),
-        F.floor(rate).cast("int").alias(n["whole"]), (rate - F.floor(rate)).alias(n["fraction"]),
-        F.col(n["size"]).cast("double").alias(n["weight"]), F.lit(-1).alias(n["taken"]),
-        F.xxhash64(F.col(f"`{source}`"), F.col(f"`{source}`").isNull(), F.pmod(key, F.lit(groups))).alias(n["group"]),
+        "source", "size", "source_size", "target", "row", "key", place.alias("place"), F.floor(rate).cast("int").alias("whole"), (rate - F.floor(rate)).alias("fraction"),
+        F.col("size").cast("double").alias("weight"), F.lit(-1).alias("taken"), group(place).alias("group"),
     )
     done, level = None, groups
     while True:
         names = list(ready.columns)
-        at = {c: names.index(n[c]) for c in ("group", "fraction", "weight", "key", "taken")}
-        run = ready.repartition(n["group"]).sortWithinPartitions(n["group"], F.col(n["weight"]).desc(), n["key"]).mapInArrow(_pivot(names, at, level == 1), ready.schema)
+        at = {c: names.index(c) for c in ("group", "fraction", "weight", "key", "taken")}
+        run = ready.repartition("group").sortWithinPartitions("group", F.col("weight").desc(), "key").mapInArrow(_pivot(names, at, level == 1), ready.schema)
         run = cut(run)
-        done = run.where(F.col(n["taken"]) >= 0) if done is None else done.unionByName(run.where(F.col(n["taken"]) >= 0))
+        done = run.where("taken >= 0") if done is None else done.unionByName(run.where("taken >= 0"))
         if level == 1:
             break
         level = -(-level // 64)
-        place = F.floor(F.col(n["place"]) / 64).cast("int")
-        ready = run.where(F.col(n["taken"]) < 0).withColumn(n["place"], place).withColumn(n["group"], F.xxhash64(F.col(f"`{source}`"), F.col(f"`{source}`").isNull(), F.col(n["place"])))
-    return done.select(*own, F.when(F.col(n["size"]) > 0, F.col(n["whole"]) + F.col(n["taken"])).otherwise(0).alias(copies), n["size"], n["source_size"], n["target"])
+        upper = F.floor(F.col("place") / 64).cast("int")
+        ready = run.where("taken < 0").withColumn("place", upper).withColumn("group", group(upper))
+    took = F.when(F.col("size") > 0, F.col("whole") + F.col("taken")).otherwise(0)
+    decided = done.select("row", took.alias("copies"), "source_size", "target")
+    out = kept.drop("source", "key").join(small_side(decided), "row")
+    return out.select(*back, *[F.col(c).alias(r) for c, r in zip(("copies", "size", "source_size", "target"), results, strict=True)])

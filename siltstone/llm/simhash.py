@@ -22,10 +22,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aliased, cut, fresh, prepare, row_hash, text_of
+from .common import aliased, cut, fresh, prepare, quoted, row_hash, small_side, text_of
 from .components import connected_components
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -260,16 +260,22 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", fin
     ``find`` marks the components as ``near_duplicates`` does.  Of several rows with that id, the one with the smallest hash stays, and of rows equal in
     every column one.  Columns stay as they are.
     """
-    # the id and a hash of the whole row name a row; texts are shuffled once, to be cut down
+    # the id and a hash of the whole row name a row; texts stay where they are, unless the kept rows are too many to broadcast
     row = fresh(docs, "row")
     named = docs.withColumn(row, row_hash(docs))
-    marked = find(named, id_column, text, also=(row,), **options).withColumnRenamed(id_column, "keep_id")
-    first = F.min(F.struct(F.col("keep_id").isNull().alias("none"), F.col("keep_id"), F.col(row).alias("keep_row"))).alias("x")
+    marked = find(named, id_column, text, also=(row,), **options).withColumnRenamed(id_column, "keep_id").withColumnRenamed(row, "keep_row")
+    alike = marked.groupBy("keep_id", "keep_row").agg(F.first("fp").alias("fp"), F.first("component_id").alias("component_id"), F.count("*").alias("times"))
+    first = F.min(F.struct(F.col("keep_id").isNull().alias("none"), F.col("keep_id"), F.col("keep_row"), F.col("times"))).alias("x")
     # one component has one fingerprint group of equal component ids; null ids make one group a fingerprint
     group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")))
-    kept = marked.groupBy(group.alias("g")).agg(first).select("x.keep_id", "x.keep_row").distinct()
-    met = named.join(kept, named[f"`{id_column}`"].eqNullSafe(F.col("keep_id")) & (named[row] == F.col("keep_row")))
-    # equal rows: the join has them together already, so this window costs no shuffle of its own
-    n = fresh(met, "n")
-    one = met.withColumn(n, F.row_number().over(Window.partitionBy("keep_id", "keep_row").orderBy(F.lit(0)))).where(F.col(n) == 1)
-    return one.select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = cut(alike.groupBy(group.alias("g")).agg(first).select("x.keep_id", "x.keep_row", "x.times").distinct())
+
+    def rows(of: DataFrame) -> DataFrame:
+        met = named.join(small_side(of.drop("times")), named[quoted(id_column)].eqNullSafe(F.col("keep_id")) & (named[row] == F.col("keep_row")))
+        return met.select(*[F.col(quoted(c)) for c in [*docs.columns, row]])
+
+    one, more = rows(kept.where("times = 1")), kept.where("times > 1")
+    if not more.isEmpty():
+        # of rows that equal each other one stays, found with map-side combining
+        one = one.unionByName(rows(more).dropDuplicates([id_column, row]))
+    return one.drop(row)

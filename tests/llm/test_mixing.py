@@ -52,7 +52,7 @@ def test_mix(spark):
     rows += [(1000, None, "s1", 1), (1001, "", None, 1), (1002, "a b c", None, 1), (None, "x y", "s2", 1), (None, "x y", "s2", 1), (None, "x y", "s2", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, copies_size int")
     got = mixing.mix(df, groups=128)
-    assert got.columns[:5] == ["doc_id", "text", "source", "copies_size", "copies"]
+    assert got.columns == ["doc_id", "text", "source", "copies_size", "copies", "copies_size_", "copies_source_size", "copies_target"]
     out = got.collect()
     assert len(out) == len(rows)
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
@@ -67,3 +67,27 @@ def test_mix(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, out))
     assert mixing.mix(df.where("false")).count() == 0
     assert {r.copies for r in mixing.mix(df.where(F.length(F.coalesce("text", F.lit(""))) == 0)).collect()} == {0}
+
+
+def test_query_on_all_documents(spark, data):
+    from siltstone.llm.queries import op5_mixing
+
+    out = op5_mixing(spark, data).collect()
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    assert len(out) == len(docs)
+    sizes, taken, target = {}, {}, {}
+    for r in out:
+        d = docs[r.doc_id]
+        assert r.size == len(re.findall(r"[^\x20\x09-\x0D]+", d.text or "")) and r.taken in (0, r.size, 2 * r.size)
+        for x, n in ((sizes, r.size), (taken, r.taken)):
+            x[d.source] = x.get(d.source, 0) + n
+        target[d.source] = r.target
+    names = sorted(n for n in sizes if n is not None) + [n for n in sizes if n is None]
+    want = water([sizes[n] for n in names], [mixing.WEIGHTS[i % 3] for i in range(len(names))])
+    assert np.allclose([target[n] for n in names], want) and all(r.source_size == sizes[docs[r.doc_id].source] for r in out)
+    most = max(r.size for r in out)
+    assert all(abs(taken[n] - target[n]) <= most / 2 for n in names)
+
+
+def test_streams_follow_the_rows():
+    assert mixing._groups(0) == 64 and 10**9 / 2048 <= mixing._groups(10**9) <= 10**9 / 1024
