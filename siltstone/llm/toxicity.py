@@ -176,9 +176,12 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = np.select([word, begin], [DISCOUNT_WORD, DISCOUNT_BEGINNING], 0)
         over = np.where(kind == CONTEXT, a[2:].max(axis=0, initial=0), a[:2].max(axis=0, initial=0)) > least
         over |= word & (a[3] > 0)  # a kept pair needs its word's shared count
-        yield b.filter(pa.array(over))
+        kept = b.filter(pa.array(over))
+        x, y = kept.column(1).to_numpy(), kept.column(2).to_numpy()
+        key = np.where(kept.column(0).to_numpy() == PAIR, _mix(x, y).view(np.int64), x)
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(key)], names=[*"kind x y a b c d key".split()])
     for kind, x in ((SUMS, sums), (MORE, more)):
-        yield _batch("kind x y a b c d", np.array([kind], np.int32), *np.zeros((2, 1), np.int64), *x[:, None])
+        yield _batch("kind x y a b c d key", np.array([kind], np.int32), *np.zeros((2, 1), np.int64), *x[:, None], np.zeros(1, np.int64))
 
 
 @dataclass
@@ -221,17 +224,16 @@ WIDTH = {PAIR: 2, WORD: 3, CONTEXT: 4, BEGIN: 2}
 class Tables:
     """A model's rows as sorted keys and columns, with a row of zeros for what is not there."""
 
-    def __init__(self, got: pa.Table):
-        kind, x, y = (got.column(i).to_numpy() for i in range(3))
+    def __init__(self, kept: DataFrame):
         self.keys, self.columns = {}, {}
-        for k, width in WIDTH.items():
-            at = np.flatnonzero(kind == k)
-            key = _mix(x[at], y[at]) if k == PAIR else x[at].view(np.uint64)
+        for k, width in WIDTH.items():  # one kind after the other, in as few bytes as its counts need
+            rows, counts = kept.where(F.col("kind") == k), list("abcd"[:width])
+            most = rows.agg(F.max(F.greatest(*counts))).first()[0] or 0
+            got = rows.select("key", *[F.col(c).cast("int" if most < 1 << 31 else "long") for c in counts]).toArrow()
+            key = got.column(0).to_numpy().view(np.uint64)
             order = np.argsort(key)
             self.keys[k] = np.append(key[order], np.uint64(0xFFFFFFFFFFFFFFFF))
-            counts = np.stack([got.column(3 + i).to_numpy()[at[order]] for i in range(width)])
-            counts = np.concatenate([counts, np.zeros((width, 1), np.int64)], axis=1)
-            self.columns[k] = counts.astype(np.int32) if counts.max(initial=0) < 1 << 31 else counts
+            self.columns[k] = np.stack([np.append(c.to_numpy()[order], c.type.to_pandas_dtype()(0)) for c in got.columns[1:]])
 
     def find(self, kind: int, key: np.ndarray) -> np.ndarray:
         """(columns, n) counts of each key."""
@@ -397,13 +399,13 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_column: str = "doc
     counted = with_labels(rows, known).select("label", _tokens(F.col("text")).alias("h")).mapInArrow(_counted, "u long, w long, o long, t long")
     pairs = counted.repartition("u", "w").groupBy("u", "w").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
     levels = pairs.mapInArrow(_levels, LEVELS).repartition("kind", "x", "y").groupBy("kind", "x", "y").agg(*[F.sum(c).alias(c) for c in "abcd"])
-    kept = handed_over(levels.mapInArrow(_kept, LEVELS))
+    kept = handed_over(levels.mapInArrow(_kept, LEVELS + ", key long"))
     whole = F.col("kind").isin(SUMS, MORE)
     total = {r.kind: [float(r[c]) for c in "abcd"] for r in kept.where(whole).groupBy("kind").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect()}
     first, more = (np.array(total.get(k, [0.0] * 4)) for k in (SUMS, MORE))
     sums, kept = Sums(first[:2], first[2:], more[0], more[1], more[2:]), kept.where(~whole)
     small = kept.count() <= model_rows
-    model = Model(sums, Tables(kept.toArrow()) if small else None, None if small else kept)
+    model = Model(sums, Tables(kept) if small else None, None if small else kept)
     sample = rows.join(bounded_sample(known, calibration_rows), "id").select("label", _tokens(F.col("text")).alias("h"))
     got = evidence(sample, model, own="label").orderBy(F.xxhash64("label", *EVIDENCE)).limit(calibration_rows).toArrow()
     y = got.column("label").to_numpy().astype(float)
