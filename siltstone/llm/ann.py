@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, prepare
+from .common import cut, in_arrow, prepare
 from .labelled import lists
 
 #: Rows of the sample, trees, rows of a leaf, least rows of the sample in a leaf.
@@ -260,9 +260,9 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_column: str
     shift = max(0, min(depth, int(np.floor(np.log2(max(group_rows / max(total / 2**depth, 1), 1))))))
     chunks = max(1, int(np.ceil(total / 2 ** (depth - shift) / group_rows / 2)))
     askers = max(1, int(np.ceil(asked_rows * min(1.0, share * 2**shift) / group_queries)))
-    members = unique.select("v", "least", "x").mapInArrow(_members(forest, shift), f"tree int, group int, leaf int, v long, least long, x {kind}")
+    members = in_arrow(unique.select("v", "least", "x"), _members(forest, shift), f"tree int, group int, leaf int, v long, least long, x {kind}")
     asked = asking.select("v").distinct().join(unique.select("v", "x"), "v").select("v", "x")
-    probes = asked.mapInArrow(_probes(forest, shift, share), f"tree int, group int, leaves array<int>, v long, x {kind}")
+    probes = in_arrow(asked, _probes(forest, shift, share), f"tree int, group int, leaves array<int>, v long, x {kind}")
     part = lambda n: F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     members = members.withColumn("chunk", part(chunks)).withColumn("asker", every(askers))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, small_side, without
+from .common import in_arrow, quoted, small_side, without
 
 
 def hashed(text: Column, pattern: str) -> Column:
@@ -84,4 +84,4 @@ def mapped(df: DataFrame, tokens: str, function, fields: dict[str, tuple[str, pa
             made = function(*lists(b.column(b.num_columns - 1)), *more)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(m, t) for m, t in zip(made, kinds, strict=True)]], names=[*keep, *fields])
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)

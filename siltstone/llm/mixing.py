@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, aliased, cut, fresh, handed_over, prepare, row_hash, small_side, text_of
+from .common import WORD, aliased, cut, fresh, handed_over, in_arrow, prepare, row_hash, small_side, text_of
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -171,7 +171,7 @@ def mix(docs: DataFrame, source: str = "source", size: str | None = None, text:
     while True:
         names = list(ready.columns)
         at = {c: names.index(c) for c in ("group", "fraction", "weight", "key", "taken")}
-        run = ready.repartition("group").sortWithinPartitions("group", F.col("weight").desc(), "key").mapInArrow(_pivot(names, at, level == 1), ready.schema)
+        run = in_arrow(ready.repartition("group").sortWithinPartitions("group", F.col("weight").desc(), "key"), _pivot(names, at, level == 1), ready.schema)
         run = cut(run)
         done = run.where("taken >= 0") if done is None else done.unionByName(run.where("taken >= 0"))
         if level == 1:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aliased, prepare, text_of
+from .common import aliased, in_arrow, prepare, text_of
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -371,7 +371,7 @@ def tokenize(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids"
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], names=names)
         encoder.forget()
 
-    return df.mapInArrow(run, schema).select(*back, F.col("made").alias(out))
+    return in_arrow(df, run, schema).select(*back, F.col("made").alias(out))
 
 
 def detokenize(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -396,4 +396,4 @@ def detokenize(df: DataFrame, model: bytes, ids: str = "ids", out: str = "decode
             texts = [decode(flat[i:j]) if there else "" for i, j, there in spans]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
 
-    return df.mapInArrow(run, schema).select(*back, F.col("made").alias(out))
+    return in_arrow(df, run, schema).select(*back, F.col("made").alias(out))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aliased, prepare, text_of
+from .common import aliased, in_arrow, prepare, text_of
 from .labelled import bounded_sample, hashed, label_table, lists, mapped
 
 BUCKETS, DIMS, FILLED, BLOCK = 1 << 14, 48, 4, 256
@@ -78,7 +78,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     prepare(docs.sparkSession)
     tokens = docs.select(hashed(text_of(docs, text), PATTERN).alias("h"))
     schema = "block int, part int, sums binary"
-    sums, parts = tokens.mapInArrow(_context_sums, schema), max(1, tokens.rdd.getNumPartitions())
+    sums, parts = in_arrow(tokens, _context_sums, schema), max(1, tokens.rdd.getNumPartitions())
     for _ in range(max(1, math.ceil(math.log(parts, 64)))):  # a tree with a fan-in of 64
         sums = sums.groupBy("block", F.expr("part div 64").alias("of")).applyInArrow(_add, schema)
     table = np.zeros((BUCKETS, DIMS + 1))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aliased, cut, fresh, prepare, quoted, row_hash, small_side, text_of
+from .common import aliased, cut, fresh, in_arrow, prepare, quoted, row_hash, small_side, text_of
 from .components import connected_components
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed: int
             fps = np.array([fingerprint(t.as_py(), words, seed) for t in b.column(b.num_columns - 1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps.view(np.int64))], names=names)
 
-    return df.mapInArrow(run, schema).select(*back, F.col("made").alias(out))
+    return in_arrow(df, run, schema).select(*back, F.col("made").alias(out))
 
 
 def _count(planes: np.ndarray, own: np.ndarray, radius: int, shape: tuple) -> np.ndarray:
@@ -228,12 +228,12 @@ def links(fps: DataFrame, radius: int = 2, bands: int = 4, cap: int = 4096) -> D
         counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
         met = keyed.join(counts, "key")
         blocks = met.where(F.col("n") <= cap).groupBy("key").agg(F.collect_list("fp").alias("fps")).select("fps")
-        made = blocks.mapInArrow(_compare(radius), "a long, b long")
+        made = in_arrow(blocks, _compare(radius), "a long, b long")
         found = made if found is None else found.unionByName(made)
         hot = cut(met.where(F.col("n") > cap).select("key", "fp", "mask"))
         if hot.isEmpty():
             return found
-        keyed = cut(hot.mapInArrow(_again(radius), "key long, fp long, mask long").distinct())
+        keyed = cut(in_arrow(hot, _again(radius), "key long, fp long, mask long").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2, bands: int = 4, cap: int = 4096, seed: int = 42, also: tuple[str, ...] = ()) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aliased, prepare
+from .common import aliased, in_arrow, prepare
 
 #: Tags and codes of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -316,7 +316,7 @@ def store(docs: DataFrame, text: str = "text", out: str = "media", level: int =
                 files.append(write([np.frombuffer(data, np.uint8).reshape(-1, UNIT)], level=level))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], names=names)
 
-    return df.mapInArrow(run, schema).select(*back, F.col("size").alias("n_bytes"), F.col("made").alias(out))
+    return in_arrow(df, run, schema).select(*back, F.col("size").alias("n_bytes"), F.col("made").alias(out))
 
 
 PAGE_FIELDS = "page int, width int, height int, samples int, bits int, compression int, predictor int, tiled boolean, pixels binary, mean double, deviation double, error string"
@@ -366,4 +366,4 @@ def pages(files: DataFrame, media: str = "media") -> DataFrame:
             if rows:
                 yield flush()
 
-    return files.mapInArrow(run, schema).select(*back, *more.names)
+    return in_arrow(files, run, schema).select(*back, *more.names)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aliased, fresh, handed_over, prepare, text_of, without
+from .common import aliased, fresh, handed_over, in_arrow, prepare, text_of, without
 from .labelled import bounded_sample, label_table, lists, logistic, mapped, with_labels
 
 BEGINNING = 4
@@ -118,7 +118,7 @@ class _Buffer:
             self.parts, self.rows = [], 0
             x, y, counts = add_up(x, y, counts)
             for i in range(0, len(x), 50_000):
-                yield x[i : i + 50_000], y[i : i + 50_000], counts[:, i : i + 50_000]
+                yield x[i : i + 50_000], y[i : i + 50_000], counts[:, i : i + 50_000].astype(np.int64)
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:
@@ -131,7 +131,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     batch = lambda r: _batch("u w o t", r[0], r[1], *r[2])
     for b in batches:
         p = Pairs.of(*lists(b.column(1)))
-        toxic = b.column(0).to_numpy()[p.text].astype(np.int64)
+        toxic = b.column(0).to_numpy()[p.text].astype(np.int32)
         counts = np.stack([1 - toxic, toxic])
         mark = np.full(len(toxic), MARK)
         yield from map(batch, held.add(np.concatenate([p.context, p.begin]), np.concatenate([p.word, mark]), np.concatenate([counts, counts], axis=1)))
@@ -343,7 +343,7 @@ def _joined(df: DataFrame, model: Model, tokens: str, own: str | None) -> DataFr
                 at = pa.array(p.text[s])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(n[s]), pa.array(p.at[s] - p.offsets[p.text[s]]), *map(pa.array, (p.context[s], p.word[s], p.begin[s]))], names=["r", "own", "n", "at", "u", "w", "g"])
 
-    met = parts.mapInArrow(split, "r long, own int, n long, at long, u long, w long, g long")
+    met = in_arrow(parts, split, "r long, own int, n long, at long, u long, w long, g long")
     count, names = {}, {PAIR: ["u", "w"], WORD: ["w"], CONTEXT: ["u"], BEGIN: ["g"]}
     for kind, on in names.items():
         count[kind] = [f"k{kind}{c}" for c in "abcd"[: WIDTH[kind]]]
@@ -370,7 +370,7 @@ def _joined(df: DataFrame, model: Model, tokens: str, own: str | None) -> DataFr
                 out[i] = summed(r, at, np.array([0, b.column(2)[i].as_py()]))[0]
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, out.T)], names=["r", *EVIDENCE])
 
-    made = gathered.mapInArrow(finish, "r long, " + ", ".join(f"{c} double" for c in EVIDENCE))
+    made = in_arrow(gathered, finish, "r long, " + ", ".join(f"{c} double" for c in EVIDENCE))
     # texts without words have no rows and so no evidence
     met = kept.drop(tokens).join(made.withColumnRenamed("r", row), row, "left").drop(row)
     return met.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in EVIDENCE})
@@ -396,10 +396,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_column: str = "doc
     prepare(docs.sparkSession)
     known = label_table(labels, label, train, id_column)
     rows = docs.select(docs[id_column].alias("id"), text_of(docs, text).alias("text"))
-    counted = with_labels(rows, known).select("label", _tokens(F.col("text")).alias("h")).mapInArrow(_counted, "u long, w long, o long, t long")
+    counted = in_arrow(with_labels(rows, known).select("label", _tokens(F.col("text")).alias("h")), _counted, "u long, w long, o long, t long")
     pairs = counted.repartition("u", "w").groupBy("u", "w").agg(F.sum("o").alias("o"), F.sum("t").alias("t"))
-    levels = pairs.mapInArrow(_levels, LEVELS).repartition("kind", "x", "y").groupBy("kind", "x", "y").agg(*[F.sum(c).alias(c) for c in "abcd"])
-    kept = handed_over(levels.mapInArrow(_kept, LEVELS + ", key long"))
+    levels = in_arrow(pairs, _levels, LEVELS).repartition("kind", "x", "y").groupBy("kind", "x", "y").agg(*[F.sum(c).alias(c) for c in "abcd"])
+    kept = handed_over(in_arrow(levels, _kept, LEVELS + ", key long"))
     whole = F.col("kind").isin(SUMS, MORE)
     total = {r.kind: [float(r[c]) for c in "abcd"] for r in kept.where(whole).groupBy("kind").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect()}
     first, more = (np.array(total.get(k, [0.0] * 4)) for k in (SUMS, MORE))

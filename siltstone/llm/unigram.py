@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aliased, prepare, text_of
+from .common import aliased, in_arrow, prepare, text_of
 from .piece_bpe import BYTE, NORMAL, SPACE, USER_DEFINED, Cache, PieceModel, adjacent, cutter
 
 UNKNOWN_PENALTY = 10.0
@@ -132,4 +132,4 @@ def count_tokens(docs: DataFrame, model: bytes, text: str = "text", out: str = "
             n = pa.array([count(t.as_py()) for t in b.column(b.num_columns - 1)], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=names)
 
-    return df.mapInArrow(run, schema).select(*back, F.col("made").alias(out))
+    return in_arrow(df, run, schema).select(*back, F.col("made").alias(out))
