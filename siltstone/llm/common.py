@@ -75,10 +75,18 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+#: Rows of a few numbers that a file of a checkpoint is meant to hold.
+FILE_ROWS = 250_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cuts the lineage with a reliable checkpoint in the shared folder.
+
+    With a known bound on ``rows`` it has no more files than those need: small steps of a long
+    loop would else write a file a partition each.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
 
 
 def handed_over(df: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     edges = cut(edges.where("ok and a <> b").select("a", "b").distinct())
     seen = _mark(edges)
     for _ in range(max_rounds if seen[0] else 0):
-        edges = cut(_star(_star(edges, True), False))
+        edges = cut(_star(_star(edges, True), False), seen[0])
         now = _mark(edges)
         if now == seen:
             break
