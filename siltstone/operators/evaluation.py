@@ -45,22 +45,39 @@ def ranking_metrics(lists: DataFrame, totals: DataFrame, cuts: tuple[int, ...] =
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    last = F.size(tokens) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
+    """All runs of ``n`` tokens, joined by spaces: shifted copies of the array side by side, so linear in its length.
 
+    ``tokens`` should be a column that is there already, since it is named ``n`` times.
+    """
+    many = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    return reduce(lambda g, i: F.zip_with(g, F.slice(tokens, i, many), lambda x, y: F.concat_ws(" ", x, y)), range(2, n + 1), F.slice(tokens, 1, many))
 
-def rouge_n(pairs: DataFrame, n: int, key: str = "id", hyp: str = "hyp", ref: str = "ref") -> DataFrame:
-    """(key, precision, recall, f1): clipped n-gram overlap; nothing in common or an empty side gives 0.
 
-    Multisets meet in one aggregate over (key, gram): both sides' counts, then their minimum.
+def rouge(pairs: DataFrame, sizes: tuple[int, ...] = (1, 2), key: str = "id", hyp: str = "hyp", ref: str = "ref") -> DataFrame:
+    """(key, n, precision, recall, f1): clipped n-gram overlap for each of ``sizes``; nothing in common or an empty side gives 0.
+
+    Texts are split once and both sides' grams of all sizes leave in one pass; multisets meet in
+    one aggregate over (key, n, gram): both sides' counts, then their minimum.
     """
-    gram = lambda c, side: pairs.select(key, F.explode(ngrams(overlap_tokens(F.coalesce(F.col(c), F.lit(""))), n)).alias("g"), F.lit(side).alias("side"))
-    counts = gram(hyp, 1).unionByName(gram(ref, 0)).groupBy(key, "g").agg(F.sum("side").alias("h"), F.sum(1 - F.col("side")).alias("r"))
-    sums = counts.groupBy(key).agg(F.sum(F.least("h", "r")).alias("both"), F.sum("h").alias("h"), F.sum("r").alias("r"))
-    all_keys = pairs.select(key).join(sums, key, "left").fillna(0, ["both", "h", "r"])
+    split = lambda c: overlap_tokens(F.coalesce(F.col(c), F.lit("")))
+    t = pairs.select(key, F.explode(F.array(F.struct(F.lit(1).alias("side"), split(hyp).alias("t")), F.struct(F.lit(0).alias("side"), split(ref).alias("t")))).alias("s"))
+    t = t.select(key, "s.side", F.col("s.t").alias("t"))
+
+    def sized(n: int) -> Column:
+        return F.transform(ngrams(F.col("t"), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("g")))
+
+    parts = [sized(n) for n in sizes]
+    grams = t.select(key, "side", F.explode(F.concat(*parts)).alias("x")).select(key, "x.n", "x.g", "side")
+    counts = grams.groupBy(key, "n", "g").agg(F.sum("side").alias("h"), F.sum(1 - F.col("side")).alias("r"))
+    sums = counts.groupBy(key, "n").agg(F.sum(F.least("h", "r")).alias("both"), F.sum("h").alias("h"), F.sum("r").alias("r"))
+    every = pairs.select(key, F.explode(F.array(*map(F.lit, sizes))).alias("n")).join(sums, [key, "n"], "left").fillna(0, ["both", "h", "r"])
     p, r = ratio(F.col("both"), F.col("h")), ratio(F.col("both"), F.col("r"))
-    return all_keys.select(key, p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+    return every.select(key, "n", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
+
+
+def rouge_n(pairs: DataFrame, n: int, key: str = "id", hyp: str = "hyp", ref: str = "ref") -> DataFrame:
+    """(key, precision, recall, f1) of one size."""
+    return rouge(pairs, (n,), key, hyp, ref).drop("n")
 
 
 @F.pandas_udf(T.LongType())
@@ -160,20 +177,28 @@ def failure_predictors(df: DataFrame, properties: dict[str, Column], fails: Colu
     return agg.crossJoin(F.broadcast(base)).select("property", "n", "failure_rate", delta.alias("delta"), note.alias("note"))  # one row
 
 
-def bootstrap_means(observed: DataFrame, resamples: int = 1000, seed: int = 42, group: str = "group", value: str = "value") -> DataFrame:
+#: Draws that one row stands for before they are told apart.
+DRAWS = 1 << 14
+
+
+def bootstrap_means(observed: DataFrame, resamples: int = 10_000, seed: int = 42, group: str = "group", value: str = "value") -> DataFrame:
     """(group, resample, mean): means of samples with replacement of the observed rows.
 
     Each resample draws as many rows as its group has, by numbers from a linear congruence
     over (resample, draw), the same in any engine.  Rows are numbered by ``position``.
+    Resamples are dealt to all tasks and draws come in blocks, so that no row holds an array of
+    a group's size; sums of a resample are made where its draws are.
     """
+    spark = observed.sparkSession
     n = observed.groupBy(group).agg(F.count("*").alias("n"))
-    draws = n.select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample"))
-    draws = draws.select(group, "n", "resample", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("draw"))
-    x = (F.col("resample").cast("bigint") * 1_000_003 + F.col("draw") * 7_919 + seed) * 1_103_515_245 + 12_345
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / DRAWS)))
+    draws = spark.range(resamples).withColumnRenamed("id", "resample").crossJoin(n).select(group, "n", "resample", blocks.alias("block"))
+    first = F.col("block") * DRAWS
+    draws = draws.select(group, "n", "resample", F.explode(F.sequence(first, F.least(first + DRAWS, F.col("n")) - 1)).alias("draw"))
+    x = F.pmod(F.col("resample") * 1_000_003 + F.col("draw") * 7_919 + seed, F.lit(2**31)) * 1_103_515_245 + 12_345
     position = F.pmod(F.shiftright(F.pmod(x, F.lit(2**31)), 8), F.col("n"))
-    picked = draws.select(group, "resample", position.alias("position")).groupBy(group, "resample", "position").agg(F.count("*").alias("times"))
-    met = picked.join(observed, [group, "position"])
-    return met.groupBy(group, "resample").agg((F.sum(F.col(value) * F.col("times")) / F.sum("times")).alias("mean"))
+    met = draws.select(group, "resample", position.alias("position")).join(observed, [group, "position"])
+    return met.groupBy(group, "resample").agg(F.avg(value).alias("mean"))
 
 
 def bootstrap_interval(means: DataFrame, group: str = "group", level: float = 0.95) -> DataFrame:

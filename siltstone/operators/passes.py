@@ -37,8 +37,11 @@ def model_pass(df: DataFrame, name: str, instruction: str, schema: str, generato
 
 def unique_commitments(c: Column) -> Column:
     """Commitments of all cycles, the first of those whose texts begin with the same 100 characters; dirty values cleaned."""
-    start = lambda x: F.substring(x.text, 1, 100)
-    kept = F.filter(c, lambda x, i: ~F.exists(F.slice(c, 1, i), lambda y: start(y).eqNullSafe(start(x))))
+    # sorted by beginning and place, the first of each beginning stays; then back to the order of places
+    numbered = F.array_sort(F.transform(c, lambda x, i: F.struct(F.substring(x.text, 1, 100).alias("start"), i.alias("i"), x.alias("x"))))
+    firsts = lambda s: F.filter(s, lambda e, k: (k == 0) | ~e.start.eqNullSafe(F.get(s, k - 1).start))
+    kept = F.get(F.transform(F.array(numbered), lambda s: F.array_sort(F.transform(firsts(s), lambda e: F.struct(e.i.alias("i"), e.x.alias("x"))))), F.lit(0))
+    kept = F.transform(kept, lambda e: e.x)
     return F.transform(kept, lambda x: F.struct(x.text.alias("text"), dirty_null(x.target_value).alias("target_value"), x.target_year.try_cast("int").alias("target_year"), F.coalesce(x.conditional, F.lit(False)).alias("conditional"), F.coalesce(x.confidence, F.lit(0.5)).alias("confidence")))
 
 

@@ -128,6 +128,6 @@ def judge_overlap(claims: DataFrame, least: float = 0.5) -> DataFrame:
     """Adds ``verdict`` to (claim, context): the stand-in judge, by the share of a claim's words in the context."""
     from siltstone.functions.text import overlap_tokens
 
-    c, x = overlap_tokens(F.col("claim")), overlap_tokens(F.col("context"))
-    share = F.size(F.filter(F.array_distinct(c), lambda w: F.array_contains(x, w))) / F.greatest(F.size(F.array_distinct(c)), F.lit(1))
-    return claims.withColumn("verdict", F.when(share >= 0.8, "SUPPORTED").when(share >= least, "PARTIAL").otherwise("UNSUPPORTED"))
+    words = claims.withColumns({"__c": F.array_distinct(overlap_tokens(F.col("claim"))), "__x": overlap_tokens(F.col("context"))})
+    share = F.size(F.array_intersect("__c", "__x")) / F.greatest(F.size("__c"), F.lit(1))
+    return words.withColumn("verdict", F.when(share >= 0.8, "SUPPORTED").when(share >= least, "PARTIAL").otherwise("UNSUPPORTED")).drop("__c", "__x")

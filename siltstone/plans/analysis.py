@@ -76,9 +76,8 @@ def normalised_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rouge_1_2(spark: SparkSession, d: str) -> DataFrame:
-    ex = exchanges(spark, d)
-    one, two = (evaluation.rouge_n(ex, n).select("id", F.round("precision", 6).alias(f"p{n}"), F.round("recall", 6).alias(f"r{n}"), F.round("f1", 6).alias(f"f{n}")) for n in (1, 2))
-    return one.join(two, "id")
+    r = evaluation.rouge(exchanges(spark, d))
+    return r.groupBy("id").agg(*[F.round(F.max(F.when(F.col("n") == n, F.col(c))), 6).alias(f"{c[0]}{n}") for n in (1, 2) for c in ("precision", "recall", "f1")])
 
 
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
@@ -116,8 +115,10 @@ def layer_attribution(spark: SparkSession, d: str) -> DataFrame:
 def failure_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Each mode's count, share, mean overlap and worst three answers."""
     t = evaluation.failure_taxonomy(_answers(spark, d)).select("id", "rouge1", F.explode("modes").alias("mode"))
-    t = t.withColumn("place", F.row_number().over(Window.partitionBy("mode").orderBy("rouge1", "id")))
-    agg = t.groupBy("mode").agg(F.count("*").alias("n"), F.round(F.avg("rouge1"), 5).alias("mean_rouge1"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.col("id")))).cast("array<string>"), ",").alias("exemplars"))
+    # the three worst are limited in each task before the shuffle; counts and means combine there too
+    worst = t.withColumn("place", F.row_number().over(Window.partitionBy("mode").orderBy("rouge1", "id"))).where("place <= 3")
+    named = worst.groupBy("mode").agg(F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("exemplars"))
+    agg = t.groupBy("mode").agg(F.count("*").alias("n"), F.round(F.avg("rouge1"), 5).alias("mean_rouge1")).join(named, "mode")
     return agg.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 4))
 
 
@@ -173,14 +174,14 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    means = evaluation.bootstrap_means(_outcomes(spark, d), 200)
+    means = evaluation.bootstrap_means(_outcomes(spark, d))
     ci = evaluation.bootstrap_interval(means)
     return ci.select("group", *[F.round(c, 6).alias(c) for c in ("estimate", "lower", "upper")])
 
 
 def bootstrap_difference(spark: SparkSession, d: str) -> DataFrame:
     """Interval and two-sided probability of the difference of resampled means."""
-    means = evaluation.bootstrap_means(_outcomes(spark, d), 200)
+    means = evaluation.bootstrap_means(_outcomes(spark, d))
     both = means.groupBy("resample").pivot("group", ["plain", "toxic"]).agg(F.first("mean")).select((F.col("plain") - F.col("toxic")).alias("mean"), F.lit("plain-toxic").alias("group"))
     ci = evaluation.bootstrap_interval(both)
     p = both.groupBy("group").agg(F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("mean") <= 0).cast("double")), F.avg((F.col("mean") >= 0).cast("double")))).alias("p_value"))
@@ -248,8 +249,8 @@ tt AS (SELECT *, modes[1] AS primary_mode FROM t)"""
 _LAYER = "CASE " + " ".join(f"WHEN primary_mode = '{k}' THEN '{v}'" for k, v in evaluation.LAYERS.items()) + " ELSE 'other' END"
 _BOOT = """o AS (SELECT CASE WHEN toxic = 1 THEN 'toxic' ELSE 'plain' END AS g, quality::DOUBLE AS value, row_number() OVER (PARTITION BY CASE WHEN toxic = 1 THEN 'toxic' ELSE 'plain' END ORDER BY doc_id) - 1 AS position FROM labels),
 n AS (SELECT g, count(*) AS n FROM o GROUP BY g),
-dr AS (SELECT g, n, b.range AS resample, w.range AS draw FROM n, range(200) b, range((SELECT max(n) FROM n)) w WHERE w.range < n),
-pk AS (SELECT g, resample, ((((resample * 1000003 + draw * 7919 + 42) * 1103515245 + 12345) % 2147483648) >> 8) % n AS position FROM dr),
+dr AS (SELECT g, n, b.range AS resample, w.range AS draw FROM n, range(10000) b, range((SELECT max(n) FROM n)) w WHERE w.range < n),
+pk AS (SELECT g, resample, (((((resample * 1000003 + draw * 7919 + 42) % 2147483648) * 1103515245 + 12345) % 2147483648) >> 8) % n AS position FROM dr),
 mean AS (SELECT pk.g, resample, avg(value) AS mean FROM pk JOIN o ON o.g = pk.g AND o.position = pk.position GROUP BY ALL)"""
 _PROPS = {"factual": "category = 0", "comparative": "category = 1", "gap_detection": "category = 2", "insufficient": "insufficient", "long_question": "question_length > 250", "long_answer": "answer_length > 600", "numbers": "numbers", "later_turn": "turn > 2"}
 

@@ -203,3 +203,47 @@ def test_metadata(spark):
     assert {r.name: r.found for r in names.collect()} == {"usa": "USA", "UK": "UK", "x": None}
     done = spark.createDataFrame([("a", "d")], "entity string, dimension string")
     assert metadata.unfinished(spark.createDataFrame([("a", "d"), ("b", "d")], "entity string, dimension string"), done).first().entity == "b"
+
+
+def test_ngrams_are_linear_and_whole(spark):
+    import time
+
+    from siltstone.operators import evaluation
+
+    df = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "t array<string>")
+    assert [r[0] for r in df.select(evaluation.ngrams(F.col("t"), 2)).collect()] == [["a b", "b c"], [], []]
+    assert df.select(evaluation.ngrams(F.col("t"), 3)).first()[0] == ["a b c"]
+    long = " ".join(f"w{i % 5000}" for i in range(64_000))
+    pairs = spark.createDataFrame([(1, long, long + " x")], "id int, hyp string, ref string")
+    start = time.perf_counter()
+    got = {r.n: r for r in evaluation.rouge(pairs).collect()}
+    assert time.perf_counter() - start < 20 and got[2].precision == 1.0 and abs(got[2].recall - 63_999 / 64_000) < 1e-12
+
+
+def test_bootstrap_means_against_plain_numbers(spark):
+    from siltstone.operators import evaluation
+
+    rows = [("a", i, float(i * i % 7)) for i in range(23)] + [("b", 0, 5.0)]
+    df = spark.createDataFrame(rows, "group string, position long, value double")
+    before = evaluation.DRAWS
+    try:
+        evaluation.DRAWS = 10  # several blocks a resample
+        got = {(r["group"], r.resample): r["mean"] for r in evaluation.bootstrap_means(df, 50).collect()}
+    finally:
+        evaluation.DRAWS = before
+    for g, n in (("a", 23), ("b", 1)):
+        x = {p: v for k, p, v in rows if k == g}
+        for b in range(50):
+            want = [x[((b * 1_000_003 + i * 7_919 + 42) % 2**31 * 1_103_515_245 + 12_345) % 2**31 // 256 % n] for i in range(n)]
+            assert abs(got[g, b] - sum(want) / n) < 1e-12
+    assert evaluation.bootstrap_means(df.where("false"), 5).count() == 0
+
+
+def test_first_commitments_of_each_beginning(spark):
+    from siltstone.operators import passes
+
+    kind = passes.COMMITMENTS[len("struct<commitments:") : -1]
+    a, b = "x" * 100, "y" * 100
+    rows = [[(t, "5", "2030", None, None) for t in (b + "1", a + "1", b + "2", None, a + "2", "short", None)]]
+    df = spark.createDataFrame([(r,) for r in rows], f"c {kind}")
+    assert [x.text for x in df.select(passes.unique_commitments(F.col("c"))).first()[0]] == [b + "1", a + "1", None, "short"]
