@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def store(spark: SparkSession) -> str:
+    """A folder that all executors see, for what queries keep: the checkpoint folder; a temporary one only in a local session without it."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not hasattr(store, "place"):
+            store.place = tempfile.mkdtemp(prefix="siltstone-")
+        place = store.place
+    return f"{place.rstrip('/')}/siltstone-store"
+
+
 def exchanges(spark: SparkSession, d: str) -> DataFrame:
     """A user's turn and the assistant's next: id, conv_id, turn, ref, hyp."""
     c = table(spark, d, "conversations")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.predicate import compile_filter
 from siltstone.operators import evaluation, retrieval
 
-from .common import sql_bm25, sql_garbled, sql_sparse, table
+from .common import sql_bm25, sql_garbled, sql_sparse, store, table
 
 FILTER = {"$and": [{"$or": [{"lang": "fr"}, {"lang": "de"}]}, {"n_chars": {"$gte": 500}}, {"source": {"$nin": ["src0", "src3"]}}]}
 
@@ -35,14 +35,19 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("query_label"))
 
 
+def _index(spark: SparkSession, d: str) -> retrieval.SparseIndex:
+    """The stored index of the documents, shared by all queries that search them."""
+    return retrieval.sparse_index(table(spark, d, "documents").select("doc_id", "text"), store(spark))
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25_topk(_questions(spark, d), table(spark, d, "documents")).select("query_id", "doc_id", "score", "rank")
+    return retrieval.bm25_topk(_questions(spark, d), table(spark, d, "documents"), _index(spark, d)).select("query_id", "doc_id", "score", "rank")
 
 
 def sparse_post_filter(spark: SparkSession, d: str) -> DataFrame:
     """The filter after the ranking: 80 rows ranked, filtered, 40 kept."""
     docs = table(spark, d, "documents")
-    top = retrieval.bm25_topk(_questions(spark, d), docs, 80)
+    top = retrieval.bm25_topk(_questions(spark, d), docs, _index(spark, d), 80)
     kept = top.drop("rank").join(docs.where(compile_filter({"lang": "en"})).select("doc_id"), "doc_id", "left_semi")
     return retrieval.ranked(kept, 40, F.desc("score"), F.col("doc_id")).select("query_id", "doc_id", "score", "rank")
 
@@ -60,12 +65,12 @@ COLUMNS = ("query_id", "doc_id", "dense_score", "dense_rank", "sparse_score", "s
 
 
 def rrf_hybrid(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.hybrid(_with_vectors(spark, d), _documents(spark, d), 10, where=compile_filter({"lang": "en"})).select(*COLUMNS, "rank")
+    return retrieval.hybrid(_with_vectors(spark, d), _documents(spark, d), _index(spark, d), 10, where=compile_filter({"lang": "en"})).select(*COLUMNS, "rank")
 
 
 def hybrid_debug(spark: SparkSession, d: str) -> DataFrame:
     """All fused candidates, with what the gate says of each."""
-    return retrieval.hybrid(_with_vectors(spark, d), _documents(spark, d), 10, debug=True).select(*COLUMNS, "garbled")
+    return retrieval.hybrid(_with_vectors(spark, d), _documents(spark, d), _index(spark, d), 10, debug=True).select(*COLUMNS, "garbled")
 
 
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +108,7 @@ def metrics_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 def ablation_rrf_k(spark: SparkSession, d: str) -> DataFrame:
     """Hit, reciprocal rank and NDCG of the first five fused rows for three constants, from the same lists."""
     asked, docs = _with_vectors(spark, d), _documents(spark, d)
-    dense, sparse = retrieval.dense_topk(asked, docs, 40), retrieval.bm25_topk(asked, docs, 40)
+    dense, sparse = retrieval.dense_topk(asked, docs, 40), retrieval.bm25_topk(asked, docs, _index(spark, d), 40)
     settings = F.broadcast(spark.createDataFrame([(30.0,), (60.0,), (120.0,)], "rrf_k double"))
     fused = retrieval.fuse(dense, sparse).drop("rrf_score").crossJoin(settings)
     part = lambda r: F.coalesce(1 / (F.col("rrf_k") + F.col(r)), F.lit(0.0))
@@ -120,11 +125,60 @@ def ablation_bm25_k1(spark: SparkSession, d: str) -> DataFrame:
     """Mean best score and list overlap for three saturation constants: one pass, the constant is a column."""
     settings = F.broadcast(spark.createDataFrame([(12,), (16,), (20,)], "k1 int"))
     asked = _questions(spark, d).crossJoin(settings).withColumn("query_id", F.col("query_id") * 100 + F.col("k1"))
-    top = retrieval.ranked(retrieval.bm25_scores(asked, table(spark, d, "documents"), k1=F.col("k1") / 10.0), 10, F.desc("score"), F.col("doc_id"))
+    top = retrieval.ranked(retrieval.bm25_scores(asked, _index(spark, d), k1=F.col("k1") / 10.0), 10, F.desc("score"), F.col("doc_id"))
     return top.groupBy((F.col("query_id") % 100).alias("k1_tenths")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("rank") == 1, F.col("score"))), 4).alias("best_score"), F.sum("doc_id").alias("doc_id_sum"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, sparse_post_filter, dense_topk, dense_pre_filter, rrf_hybrid, hybrid_debug, metadata_filter, ir_metrics_at_k, metrics_grouping_sets, ablation_rrf_k, ablation_bm25_k1)}
+def bm25_index(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index's terms: document frequency, weight, and postings summed up."""
+    index = _index(spark, d)
+    sums = index.postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("dl").alias("dl"))
+    return index.terms.join(sums, "term").select("term", "df", F.round("idf", 6).alias("idf"), "tf", "dl")
+
+
+def dense_only(spark: SparkSession, d: str) -> DataFrame:
+    """The dense variant behind the gate."""
+    return retrieval.dense_only(_with_vectors(spark, d), _documents(spark, d), 10).select("query_id", "doc_id", "score", "rank")
+
+
+def sparse_only(spark: SparkSession, d: str) -> DataFrame:
+    """The sparse variant behind the gate, filtered after ranking."""
+    return retrieval.sparse_only(_with_vectors(spark, d), _documents(spark, d), _index(spark, d), 10, compile_filter({"lang": "en"})).select("query_id", "doc_id", "score", "rank")
+
+
+def _at_five(spark: SparkSession, d: str, lists: DataFrame, setting: str) -> DataFrame:
+    """Hit, reciprocal rank and NDCG of the first five rows of each (query_id, ``setting``), by equal labels; means by setting."""
+    label = table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), "label")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id")).join(label.toDF("query_id", "ql"), "query_id")
+    counts = label.groupBy(F.col("label").alias("ql")).agg(F.count("*").alias("n_relevant"))
+    judged = lists.where("rank <= 5").join(asked, "query_id").join(label.toDF("doc_id", "dl"), "doc_id", "left")
+    rel = F.coalesce((F.col("ql") == F.col("dl")).cast("int"), F.lit(0))
+    per = judged.groupBy("query_id", "ql", setting).agg(F.max(rel).cast("double").alias("hit"), F.coalesce(F.max(F.when(rel == 1, 1 / F.col("rank"))), F.lit(0.0)).alias("rr"), F.sum(rel / F.log2(F.col("rank") + 1)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(5), F.col("n_relevant").cast("int"))), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    per = per.join(counts, "ql").withColumn("ndcg", F.col("dcg") / ideal)
+    return per.groupBy(setting).agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit_at_5"), F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("ndcg"), 6).alias("ndcg_at_5"))
+
+
+def ablation_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The hybrid search with and without a metadata filter."""
+    asked, docs, index = _with_vectors(spark, d), _documents(spark, d), _index(spark, d)
+    runs = [retrieval.hybrid(asked, docs, index, 5, where=w).select("query_id", "doc_id", "rank", F.lit(name).alias("setting")) for name, w in (("filtered", compile_filter({"lang": "en"})), ("open", None))]
+    return _at_five(spark, d, runs[0].unionByName(runs[1]), "setting")
+
+
+def ablation_pool(spark: SparkSession, d: str) -> DataFrame:
+    """The hybrid search over candidate pools of 2, 4 and 8 times the result, from lists of the deepest."""
+    asked, docs, k = _with_vectors(spark, d), _documents(spark, d), 5
+    dense = retrieval.dense_topk(asked, docs, 8 * k)
+    sparse = retrieval.bm25_topk(asked, docs, _index(spark, d), 8 * k)
+    pools = F.explode(F.array(F.lit(2), F.lit(4), F.lit(8)))
+    cut = lambda x: x.withColumn("pool", pools).where(F.col("rank") <= F.col("pool") * k).withColumn("query_id", F.col("query_id") * 10 + F.col("pool")).drop("pool")
+    fused = retrieval.ranked(retrieval.fuse(cut(dense), cut(sparse)), k, *retrieval.fused_order())
+    lists = fused.select(F.floor(F.col("query_id") / 10).alias("query_id"), (F.col("query_id") % 10).alias("pool"), "doc_id", "rank")
+    return _at_five(spark, d, lists, "pool")
+
+
+QUERIES = {f.__name__: f for f in (bm25_topk, sparse_post_filter, dense_topk, dense_pre_filter, rrf_hybrid, hybrid_debug, metadata_filter, ir_metrics_at_k, metrics_grouping_sets, ablation_rrf_k, ablation_bm25_k1, bm25_index, dense_only, sparse_only, ablation_filter, ablation_pool)}
 
 _Q = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
 _QV = "q AS (SELECT item_id AS query_id, text, embedding FROM benchmark JOIN embeddings ON item_id = vec_id)"
@@ -156,6 +210,11 @@ m AS (SELECT query_id, k, n_relevant, hit / k AS p, CASE WHEN n_relevant = 0 THE
     CASE WHEN n_relevant > 0 THEN ps / least(k, n_relevant) ELSE 0.0 END AS ap, mrr FROM g),
 mm AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM m)"""
 
+_AT_FIVE = """j AS (SELECT t.query_id, SETTING, rank, a.label AS ql, CASE WHEN a.label = b.label THEN 1 ELSE 0 END AS rel FROM t JOIN embeddings a ON a.vec_id = t.query_id LEFT JOIN embeddings b ON b.vec_id = t.doc_id WHERE rank <= 5),
+      p AS (SELECT query_id, ql, SETTING, max(rel) AS hit, coalesce(max(1 / rank) FILTER (rel = 1), 0) AS rr, sum(rel / log2(rank + 1)) AS dcg FROM j GROUP BY ALL),
+      e AS (SELECT label, list_sum(list_transform(range(1, least(5, count(*)) + 1), lambda i: 1 / log2(i + 1))) AS ideal FROM embeddings GROUP BY label)
+      SELECT SETTING, count(*) AS n, round(avg(hit), 6) AS hit_at_5, round(avg(rr), 6) AS mrr, round(avg(dcg / ideal), 6) AS ndcg_at_5 FROM p JOIN e ON ql = label GROUP BY SETTING"""
+
 ORACLE_SQL = {
     "bm25_topk": f"WITH {_Q}, {sql_bm25('q')}, {sql_sparse(10)} SELECT query_id, doc_id, score, rank FROM sparse",
     "sparse_post_filter": f"""WITH {_Q}, {sql_bm25('q')}, {sql_sparse(80)} SELECT query_id, doc_id, score, rank FROM (
@@ -183,4 +242,24 @@ ORACLE_SQL = {
     "ablation_bm25_k1": "WITH " + _Q + ", " + sql_bm25("q", "k1 / 10.0").replace("idf USING (term) JOIN tf USING (term), s GROUP BY ALL", "idf USING (term) JOIN tf USING (term), s, (SELECT unnest([12, 16, 20]) AS k1) GROUP BY ALL").replace("SELECT query_id, doc_id, round(sum", "SELECT query_id, doc_id, k1, round(sum") + """,
       t AS (SELECT *, row_number() OVER (PARTITION BY query_id, k1 ORDER BY score DESC, doc_id) AS rank FROM sc)
       SELECT k1::BIGINT AS k1_tenths, count(*) AS n, round(avg(score) FILTER (rank = 1), 4) AS best_score, sum(doc_id)::BIGINT AS doc_id_sum FROM t WHERE rank <= 10 GROUP BY k1""",
+    "bm25_index": f"""WITH {_Q}, {sql_bm25('q')} SELECT term, count(*) AS df, round(any_value(idf), 6) AS idf, sum(tf)::BIGINT AS tf, sum(dl)::BIGINT AS dl FROM tf JOIN idf USING (term) GROUP BY term""",
+    "dense_only": f"""WITH {_QV}, {_dense_sql(30)}, g AS (SELECT dense.* FROM dense JOIN documents a USING (doc_id) WHERE NOT {sql_garbled('a.text')})
+      SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g) WHERE rank <= 10""",
+    "sparse_only": f"""WITH {_QV}, {sql_bm25('q')}, {sql_sparse(60)},
+      f AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sparse JOIN documents USING (doc_id) WHERE lang = 'en') WHERE rank <= 30),
+      g AS (SELECT f.* FROM f JOIN documents a USING (doc_id) WHERE NOT {sql_garbled('a.text')})
+      SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g) WHERE rank <= 10""",
+    "ablation_filter": f"""WITH {_QV}, {sql_bm25('q')}, {sql_sparse(40)}, w AS (SELECT unnest(['filtered', 'open']) AS setting),
+      v AS (SELECT setting, q.query_id, a.doc_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM q, documents a JOIN embeddings v ON a.doc_id = v.vec_id, w WHERE setting = 'open' OR lang = 'en'),
+      dn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY setting, query_id ORDER BY score DESC, doc_id) AS rank FROM v) WHERE rank <= 20),
+      sp AS (SELECT * FROM (SELECT setting, query_id, doc_id, score, row_number() OVER (PARTITION BY setting, query_id ORDER BY score DESC, doc_id) AS rank FROM sparse JOIN documents USING (doc_id), w WHERE setting = 'open' OR lang = 'en') WHERE rank <= 20),
+      f AS (SELECT setting, query_id, doc_id, dn.rank AS dr, sp.rank AS sr, round(coalesce(1.0 / (60 + dn.rank), 0) + coalesce(1.0 / (60 + sp.rank), 0), 6) AS rrf FROM dn FULL OUTER JOIN sp USING (setting, query_id, doc_id)),
+      o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY setting, query_id ORDER BY rrf DESC, dr NULLS LAST, sr NULLS LAST) AS place FROM f) WHERE place <= 15),
+      t AS (SELECT setting, query_id, doc_id, row_number() OVER (PARTITION BY setting, query_id ORDER BY place) AS rank FROM o JOIN documents a USING (doc_id) WHERE NOT {sql_garbled('a.text')}),
+      {_AT_FIVE.replace('SETTING', 'setting')}""",
+    "ablation_pool": f"""WITH {_QV}, {sql_bm25('q')}, {sql_sparse(40)}, {_dense_sql(40)}, w AS (SELECT unnest([2, 4, 8]) AS pool),
+      dn AS (SELECT * FROM dense, w WHERE rank <= 5 * pool), sp AS (SELECT * FROM sparse, w WHERE rank <= 5 * pool),
+      f AS (SELECT pool, query_id, doc_id, dn.rank AS dr, sp.rank AS sr, round(coalesce(1.0 / (60 + dn.rank), 0) + coalesce(1.0 / (60 + sp.rank), 0), 6) AS rrf FROM dn FULL OUTER JOIN sp USING (pool, query_id, doc_id)),
+      t AS (SELECT pool::BIGINT AS pool, query_id, doc_id, row_number() OVER (PARTITION BY pool, query_id ORDER BY rrf DESC, dr NULLS LAST, sr NULLS LAST) AS rank FROM f),
+      {_AT_FIVE.replace('SETTING', 'pool')}""",
 }

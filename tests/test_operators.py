@@ -20,10 +20,10 @@ def test_fusion_scores_and_ties(spark):
     assert [r.doc_id for r in tie.orderBy("rank").collect()] == [9, 2]
 
 
-def test_bm25_by_hand_and_zero_rows(spark):
+def test_bm25_by_hand_and_zero_rows(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red fish"), (2, "blue fish fish"), (3, "green bird"), (4, None), (5, "tree")], "doc_id long, text string")
     asked = spark.createDataFrame([(7, "blue blue fish"), (8, "zzz"), (9, None)], "query_id long, text string")
-    got = {(r.query_id, r.rank): (r.doc_id, r.score) for r in retrieval.bm25_topk(asked, docs, 3).collect()}
+    got = {(r.query_id, r.rank): (r.doc_id, r.score) for r in retrieval.bm25_topk(asked, docs, retrieval.sparse_index(docs, str(tmp_path)), 3).collect()}
     n, avg = 5, 8 / 5
     idf = lambda df: math.log(n - df + 0.5) - math.log(df + 0.5)
     part = lambda w, tf, dl: w * tf * 2.6 / (tf + 1.6 * (0.25 + 0.75 * dl / avg))
@@ -32,9 +32,9 @@ def test_bm25_by_hand_and_zero_rows(spark):
     assert [got[8, i] for i in (1, 2, 3)] == [(1, 0.0), (2, 0.0), (3, 0.0)] and got[9, 1] == (1, 0.0)
 
 
-def test_negative_weights_have_a_floor(spark):
+def test_negative_weights_have_a_floor(spark, tmp_path):
     docs = spark.createDataFrame([(i, "common" + (" rare" if i == 0 else "")) for i in range(5)], "doc_id long, text string")
-    w = {r.term: r.idf for r in retrieval.idf(retrieval.postings(docs), retrieval.corpus_statistics(docs)).collect()}
+    w = {r.term: r.idf for r in retrieval.sparse_index(docs, str(tmp_path)).terms.collect()}
     raw = {"common": math.log(0.5) - math.log(5.5), "rare": math.log(4.5) - math.log(1.5)}
     assert math.isclose(w["common"], 0.25 * sum(raw.values()) / 2) and math.isclose(w["rare"], raw["rare"])
 
@@ -247,3 +247,16 @@ def test_first_commitments_of_each_beginning(spark):
     rows = [[(t, "5", "2030", None, None) for t in (b + "1", a + "1", b + "2", None, a + "2", "short", None)]]
     df = spark.createDataFrame([(r,) for r in rows], f"c {kind}")
     assert [x.text for x in df.select(passes.unique_commitments(F.col("c"))).first()[0]] == [b + "1", a + "1", None, "short"]
+
+
+def test_stored_index_is_reused_and_follows_the_content(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "gaps in plans"), (2, None), (3, "plans plans")], "doc_id long, text string")
+    first, again = (retrieval.sparse_index(docs, str(tmp_path)) for _ in range(2))
+    assert first.built and not again.built and (again.n_docs, again.avgdl) == (3, 4 / 3)
+    assert {(r.doc_id, r.term, r.tf, r.dl) for r in again.postings.collect()} == {(1, "gaps", 1, 2), (1, "plans", 1, 2), (3, "plans", 2, 2)}
+    changed = retrieval.sparse_index(docs.unionByName(docs.where("doc_id = 3")), str(tmp_path))
+    assert changed.built and changed.n_docs == 4
+    assert retrieval.sparse_index(docs.orderBy("text"), str(tmp_path)).built is False
+    empty = retrieval.sparse_index(docs.where("false"), str(tmp_path))
+    asked = spark.createDataFrame([(7, "plans")], "query_id long, text string")
+    assert empty.n_docs == 0 and retrieval.bm25_topk(asked, docs.where("false"), empty, 3).count() == 0
