@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 # Words that carry no signal for ranking.
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by from as is are was were be been being have "
-    "has had do does did will would could should may might shall this that these those it its also such "
-    "their they them we our can which into per under through between among above below than more "
-    "most not no nor so if then each other all any"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is", "are", "was", "were", "be",
+    "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "this", "that",
+    "these", "those", "it", "its", "also", "such", "their", "they", "them", "we", "our", "can", "which", "into", "per", "under", "through",
+    "between", "among", "above", "below", "than", "more", "most", "not", "no", "nor", "so", "if", "then", "each", "other", "all", "any",
+)
 
 # Characters that PDF extraction leaves behind, and what they stand for.
 LIGATURES = {
@@ -47,31 +47,33 @@ HEADING = (
 
 # Abbreviations whose dots end no sentence.
 ABBREVIATIONS = (
-    r"No\.|para\.|Fig\.|Eq\.|Vol\.|pp\.|et al\.|e\.g\.|i\.e\.|vs\.|approx\.|govt\.|dept\.|MtCO2e?\.|GtCO2e?\.|GWP\.|INDC\.|NDC\.|AR[0-9]\."
+    r"No\.|para\.|Fig\.|Eq\.|Vol\.|pp\.|et al\.|e\.g\.|i\.e\.|vs\.|approx\.|govt\.|dept\.|MtCO2e?\.|GtCO2e?\.|GWP\.|NDC\.|INDC\.|AR[0-9]\."
 )
 
 # Arrows and triangles of figures.
 ARROWS = "▲▼▶◀→←↑↓►◄▸◂△▽"
 
-WORD_EDGE = r"[^\p{L}\p{N}_]"
-SPACES = r"[\x09-\x0D\x20]+"
+#: Characters of words, and of anything but white space.
+WORD, VISIBLE = r"[\p{L}\p{N}_]", r"[^\x09-\x0D\x20]"
 
 
 def split_words(text: Column) -> Column:
     """Runs of non-white-space; no empty strings."""
-    return F.filter(F.split(text, SPACES), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(f"{VISIBLE}+"), F.lit(0))
 
 
 def tokenise(text: Column) -> Column:
-    """Ranking tokens: edges stripped of punctuation, lower case, no stop words, no single characters."""
-    bare = F.transform(split_words(text), lambda w: F.regexp_replace(w, f"^{WORD_EDGE}+|{WORD_EDGE}+$", ""))
-    kept = F.filter(bare, lambda w: (F.length(w) > 1) & ~F.lower(w).isin(STOP_WORDS))
-    return F.transform(kept, F.lower)
+    """Ranking tokens: edges stripped of punctuation, lower case, no stop words, no single characters.
+
+    One match a token: from the first to the last word character of a run without white space.
+    """
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}(?:{VISIBLE}*{WORD})?"), F.lit(0))
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
 
 
 def overlap_tokens(text: Column) -> Column:
-    """Tokens for n-gram overlap: lower case, everything but words to spaces."""
-    return split_words(F.regexp_replace(F.lower(text), WORD_EDGE, " "))
+    """Tokens for n-gram overlap: lower case, runs of word characters."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}+"), F.lit(0))
 
 
 def fix_ligatures(text: Column) -> Column:
@@ -126,38 +128,38 @@ def sentences(text: Column) -> Column:
 
 
 def _letters(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+    return F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
 
 
 def _arrows(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, ARROWS, ""))
 
 
-def is_garbled(text: Column) -> Column:
-    """Whether a chunk is a figure, grid or other non-prose; the first of eight tests that hits decides."""
-    t = split_words(text)
-    n, window = F.size(t), F.substring(text, 1, 150)
+def _uniform(t: Column) -> Column:
+    """Whether a text's words are numbers for the most part, one word over and over, or hardly any prose."""
+    n = F.size(t)
     numbers = F.size(F.filter(t, lambda w: F.translate(w, ".%-", "").rlike(r"^\p{Nd}+$")))
-    sorted_tokens = F.array_sort(t)
-    # the longest run of equal tokens in sorted order: one pass, not one search a token
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+    # a word that occurs m times stands m - 1 places after itself in sorted order
+    m = F.greatest(F.floor(n / 5).cast("int") + 1, F.lit(5))
+    many = lambda s: F.exists(F.zip_with(F.slice(s, 1, n - m + 1), F.slice(s, m, n - m + 1), lambda x, y: x == y), lambda same: same)
+    repeated = F.get(F.transform(F.array(F.sort_array(t)), many), F.lit(0))
+    long_words = F.size(F.filter(t, lambda w: (F.length(w) > 3) & w.rlike(r"^\p{L}+$")))
+    return (n == 0) | (numbers / n > 0.55) | ((n >= 6) & repeated) | ((n > 10) & (long_words < 8))
 
-    def step(s: Column, w: Column) -> Column:
-        run = F.when(s.last == w, s.run + 1).otherwise(F.lit(1))
-        return F.struct(w.alias("last"), run.alias("run"), F.greatest(s.best, run).alias("best"))
 
-    top = F.aggregate(sorted_tokens, start, step, lambda s: s.best)
-    long_words = F.size(F.filter(t, lambda w: (F.length(w) > 3) & w.rlike(r"^\p{L}+$")))
+def is_garbled(text: Column) -> Column:
+    """Whether a chunk is a figure, grid or other non-prose; the first of eight tests that hits decides.
+
+    The text is split into words once, and only if no test of its characters decides.
+    """
+    window = F.substring(text, 1, 150)
     return (
         F.when(text.isNull() | (F.length(strip(text)) < 20), True)
         .when(_arrows(window) >= 2, True)
         .when((F.length(window) > 30) & (_letters(window) / F.length(window) < 0.25), True)
         .when(_arrows(text) >= 4, True)
         .when(_letters(text) / F.length(text) < 0.35, True)
-        .when((n == 0) | (numbers / n > 0.55), True)
-        .when((n >= 6) & (top / n > 0.20) & (top >= 5), True)
-        .when((n > 10) & (long_words < 8), True)
-        .otherwise(False)
+        .otherwise(F.get(F.transform(F.array(split_words(text)), _uniform), F.lit(0)))
     )
 
 

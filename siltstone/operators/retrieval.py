@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import is_garbled, tokenise
+from siltstone.session import spread
 
 #: Queries (vectors of a batch) that one pass may hold; more are searched in several.
 QUERY_ROWS = 4096
@@ -69,7 +70,7 @@ def sparse_index(docs: DataFrame, place: str, floor: float = 0.25, text: str = "
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        postings(docs, text).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/postings")
+        postings(spread(docs.select("doc_id", text)), text).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/postings")
         index, n_docs = spark.read.parquet(f"{at}/postings"), docs.count()
         raw = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
         raw = raw.withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
@@ -202,9 +203,14 @@ def fused_order() -> list[Column]:
     return [f(c) for f, c in FUSED_ORDER]
 
 
+def _dealt(candidates: DataFrame) -> DataFrame:
+    """Candidates in tasks of their own: reading their texts costs more than moving them, and a join of small sides ends in one task."""
+    return candidates.repartition(candidates.sparkSession.sparkContext.defaultParallelism, "query_id", "doc_id")
+
+
 def gated(lists: DataFrame, docs: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first ``k`` rows of each list whose texts pass the quality gate; only the listed texts are read."""
-    met = lists.join(docs.select("doc_id", "text"), "doc_id").withColumn("garbled", is_garbled(F.col("text")))
+    met = _dealt(lists.join(docs.select("doc_id", "text"), "doc_id")).withColumn("garbled", is_garbled(F.col("text")))
     return ranked(met.where(~F.col("garbled")).drop("text", "garbled", "rank"), k, *order)
 
 
@@ -238,7 +244,7 @@ def hybrid(queries: DataFrame, docs: DataFrame, index: SparseIndex, k: int = 10,
     sparse = ranked(sparse.drop("rank"), depth, F.desc("score"), F.col("doc_id"))
     fused = ranked(fuse(dense, sparse, rrf_k), 2 * depth if debug else 3 * k, *fused_order()).withColumnRenamed("rank", "fused_rank")
     # few candidates are left: the gate reads only their texts
-    met = fused.join(docs.select("doc_id", "text"), "doc_id").withColumn("garbled", is_garbled(F.col("text"))).drop("text")
+    met = _dealt(fused.join(docs.select("doc_id", "text"), "doc_id")).withColumn("garbled", is_garbled(F.col("text"))).drop("text")
     if debug:
         return met
     kept = met.where(~F.col("garbled")) if gate else met

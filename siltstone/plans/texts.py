@@ -7,32 +7,33 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import chunking, gap, prompts
+from siltstone.session import spread
 
 from .common import SQL_EXCHANGES, WS, exchanges, sql_garbled, sql_overlap, sql_split, sql_strip, sql_tokenise, table
 
 
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.is_garbled(F.col("text")).alias("garbled"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.is_garbled(F.col("text")).alias("garbled"))
 
 
 def tokenise(spark: SparkSession, d: str) -> DataFrame:
     t = T.tokenise(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).cast("bigint").alias("n"), F.md5(F.array_join(t, " ").cast("binary")).alias("digest"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(t).cast("bigint").alias("n"), F.md5(F.array_join(t, " ").cast("binary")).alias("digest"))
 
 
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     c = T.clean_page(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.length(c).cast("bigint").alias("n"), F.md5(c.cast("binary")).alias("digest"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.length(c).cast("bigint").alias("n"), F.md5(c.cast("binary")).alias("digest"))
 
 
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     s = T.sentences(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(s).cast("bigint").alias("n"), F.md5(F.array_join(s, "|").cast("binary")).alias("digest"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(s).cast("bigint").alias("n"), F.md5(F.array_join(s, "|").cast("binary")).alias("digest"))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
     """The lines of a document as its pages."""
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text"))
+    lines = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "text"))
     return lines.select("doc_id", (F.col("p") + 1).cast("bigint").alias("page"), "text", F.col("text").contains("|").alias("has_table"))
 
 
@@ -43,7 +44,7 @@ def section_assign(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     """Greedy chunks of the cleaned texts; no SQL, the fold is sequential."""
-    docs = table(spark, d, "documents").select("doc_id", T.clean_page(F.col("text")).alias("text"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.clean_page(F.col("text")).alias("text"))
     return chunking.chunks(docs, least=64, most=128)
 
 
@@ -78,7 +79,7 @@ def citation_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 def json_repair(spark: SparkSession, d: str) -> DataFrame:
     """Event properties in the shapes that models write them in, read back."""
-    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), "props")
+    e = spread(table(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), "props"))
     p = F.col("props")
     broken = F.array(p, F.concat(F.lit("Here:\n```json\n"), p, F.lit("\n```")), F.concat(F.lit("so "), p, F.lit(" done")), F.regexp_replace(F.translate(p, '"', "'"), r"\}$", ",}"), F.lit("nothing"))
     rows = e.select("event_id", F.posexplode(broken).alias("shape", "raw"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "siltstone", master: str | None = None, **conf: str) -> SparkSession:
@@ -18,3 +18,13 @@ def session(name: str = "siltstone", master: str | None = None, **conf: str) ->
         "spark.ui.showConsoleProgress": "false",
     } | conf
     return b.config(map=settings).getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many tasks as the session has cores, where it has fewer.
+
+    For work that costs far more than moving its rows, on files of few row groups; large
+    inputs have enough tasks and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
