@@ -7,8 +7,8 @@ so each choice of that many bands gives a block key and every linked pair shares
 
 Within a block the fingerprints lie *vertically*: plane ``p`` holds bit ``p`` of 64
 fingerprints per machine word.  One XOR per plane gives one bit of 64 distances at once, a
-carry-save adder counts them, and a block is abandoned as soon as every lane has passed the
-radius.  A block reports links that span its connected parts, not its pairs.
+carry-save adder counts them, and a fingerprint's comparison with a block is abandoned as soon as every
+other lane has passed the radius.  A block reports links that span its connected parts, not its pairs.
 
 A block above ``cap`` fingerprints is cut again: its free bits split into ``radius + 1``
 parts of which a linked pair shares one.  That repeats until each block fits, so no
@@ -73,14 +73,15 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed: int
     return in_arrow(df, run, schema).select(*back, F.col("made").alias(out))
 
 
-def _count(planes: np.ndarray, own: np.ndarray, radius: int, shape: tuple) -> np.ndarray:
-    """Words whose bits mark the lanes within the radius, by carry-save counting.
+def _count(planes: np.ndarray, own: np.ndarray, radius: int, live: np.ndarray) -> np.ndarray:
+    """Words whose bits mark the lanes of ``live`` within the radius, by carry-save counting.
 
-    ``planes[p]`` and ``own[p]`` broadcast to ``shape``; their XOR is bit p of each distance.
+    ``planes[p]`` and ``own[p]`` broadcast to the shape of ``live``; their XOR is bit p of each
+    distance.  Rows of which every live lane is beyond the radius are abandoned.
     """
-    width = max(1, radius.bit_length())
-    total = [np.zeros(shape, np.uint64) for _ in range(width)]
-    over = np.zeros(shape, np.uint64)
+    width, near, rows = max(1, radius.bit_length()), np.zeros(live.shape, np.uint64), np.arange(len(live))
+    total = [np.zeros(live.shape, np.uint64) for _ in range(width)]
+    over = np.zeros(live.shape, np.uint64)
     for p in range(64):
         carry = planes[p] ^ own[p]
         for k in range(width):
@@ -88,16 +89,21 @@ def _count(planes: np.ndarray, own: np.ndarray, radius: int, shape: tuple) -> np
         over |= carry
         if p % 8 == 7:
             # a lane is over when its counter overflowed or reads more than the radius
-            above, same = over.copy(), np.full(shape, FULL)
+            above, same = over.copy(), np.full(over.shape, FULL)
             for k in reversed(range(width)):
                 if radius >> k & 1:
                     same &= total[k]
                 else:
                     above |= same & total[k]
                     same &= ~total[k]
-            if (above == FULL).all():
-                return np.zeros(shape, np.uint64)
-    return ~above
+            on = (~above & live).any(axis=1)
+            if not on.any():
+                return near
+            if 2 * on.sum() <= len(on):
+                rows, live, over, above, own, total = rows[on], live[on], over[on], above[on], own[:, on], [t[on] for t in total]
+                planes = planes[:, on] if planes.shape[1] > 1 else planes
+    near[rows] = ~above & live
+    return near
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
@@ -139,7 +145,10 @@ def compare_block(fps: np.ndarray, radius: int = 2, step: int = 512) -> list[tup
     for i in range(0, n, step):
         q = fps[i : i + step].view(np.uint64)
         own = np.stack([((q >> np.uint64(p)) & np.uint64(1)) * FULL for p in range(64)])[:, :, None]
-        near[i : i + step] = _count(planes, own, radius, (len(q), lanes // 64)) & valid
+        live = np.repeat(valid[None], len(q), axis=0)
+        at = np.arange(i, i + len(q))
+        live[at - i, at // 64] &= ~(np.uint64(1) << (at % 64).astype(np.uint64))  # no fingerprint meets itself
+        near[i : i + step] = _count(planes, own, radius, live)
     return _links(near, fps)
 
 
@@ -153,12 +162,13 @@ def compare_small(blocks: list[np.ndarray], radius: int = 2) -> list[tuple[int,
     u = fps.view(np.uint64)
     planes = _planes(u)  # (64, blocks, 1)
     own = np.stack([((u[:, :most] >> np.uint64(p)) & np.uint64(1)) * FULL for p in range(64)])  # (64, blocks, queries)
-    near = _count(planes, own, radius, (len(blocks), most))
     valid = np.array([(1 << int(n)) - 1 for n in sizes], dtype=np.uint64)
-    near &= valid[:, None]
     alone = np.uint64(1) << np.arange(most, dtype=np.uint64)
+    # no fingerprint meets itself, and the places after a block's last one meet none
+    live = np.where(np.arange(most) < sizes[:, None], valid[:, None] & ~alone, np.uint64(0))
+    near = _count(planes, own, radius, live)
     out: list[tuple[int, int]] = []
-    for i in np.flatnonzero(((near & ~alone) != 0).any(axis=1)):
+    for i in np.flatnonzero(near.any(axis=1)):
         out += _links(near[i, : sizes[i], None], fps[i, : sizes[i]])
     return out
 
