@@ -11,6 +11,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,14 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(whole, schema)
 
 
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All UTF-8 bytes of a column of strings without nulls, and where each text begins and the last ends."""
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, data = texts.buffers()
+    off = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if offsets else np.zeros(1, np.int64)
+    return np.frombuffer(data or b"", np.uint8)[off[0] : off[-1]], off - off[0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data directory, through Spark's own reader, whatever the file system."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, piece_bpe, quality, simhash, tiff, toxicity, unigram, urls
+from . import ann, chat, lexical, mixing, piece_bpe, quality, simhash, tiff, toxicity, unigram, urls
 from .common import WORD, table
 
 
@@ -105,6 +105,11 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_sentencepiece": op2_sentencepiece,
@@ -116,9 +121,11 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_tiff": op10_tiff,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": chat.ORACLE_SQL,
     "op8_url_rules": urls.ORACLE_SQL,
+    "op13_lexical": lexical.ORACLE_SQL,
 }
