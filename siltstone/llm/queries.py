@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lexical, mixing, piece_bpe, quality, simhash, tiff, toxicity, unigram, urls
+from . import ann, chat, lexical, mixing, negatives, piece_bpe, quality, simhash, tiff, toxicity, unigram, urls
 from .common import WORD, table
 
 
@@ -105,6 +105,13 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three negatives for each of the five positives of every fiftieth vector; some labels are moved first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -121,11 +128,13 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_tiff": op10_tiff,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_lexical": op13_lexical,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_chat": chat.ORACLE_SQL,
     "op8_url_rules": urls.ORACLE_SQL,
+    "op12_hard_negatives": negatives.ORACLE_SQL,
     "op13_lexical": lexical.ORACLE_SQL,
 }
