@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lexical, mixing, negatives, piece_bpe, quality, simhash, tiff, toxicity, unigram, urls
+from . import ann, chat, digest, lexical, mixing, negatives, piece_bpe, quality, simhash, tiff, toxicity, unigram, urls
 from .common import WORD, table
 
 
@@ -105,6 +105,12 @@ def op10_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form; likeness to that and to the next document."""
+    made = digest.with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three negatives for each of the five positives of every fiftieth vector; some labels are moved first."""
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -128,6 +134,7 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_tiff": op10_tiff,
+    "op11_improbable_digest": op11_improbable_digest,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_lexical": op13_lexical,
 }
