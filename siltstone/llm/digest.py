@@ -108,10 +108,28 @@ def rarity(counts: np.ndarray) -> np.ndarray:
     return rank
 
 
-def features(data: np.ndarray, off: np.ndarray, ranks: np.ndarray, window: int = WINDOW, runs=RUNS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, length) of the features of each text of a buffer, in order.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads 64-bit numbers (fixed values: the multipliers of the splitmix64 finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """A 64-bit number for each feature, by its bytes alone."""
+    step = np.arange(-(-window // 8) * 8)
+    taken = np.where(step < size[:, None], np.append(data, np.uint8(0))[np.minimum(at[:, None] + step, len(data))], np.uint8(0))
+    h = _mixed(size.astype(np.uint64))
+    for word in np.ascontiguousarray(taken).view("<u8").T:
+        h = _mixed(h ^ word)
+    return h
+
 
-    Short texts have shorter runs (``runs``), whose winners include most of those of longer ones.  A text
+def features(data: np.ndarray, off: np.ndarray, ranks: np.ndarray, window: int = WINDOW, runs=RUNS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, length, hash) of the features of each text of a buffer, in order of their first place.
+
+    Points of equal windows of a text add up, so that a text of repeats has features too.  Short texts
+    have shorter runs (``runs``), whose winners include most of those of longer ones.  A text
     with fewer windows than a run of neighbours is one run; one shorter than a window is itself a
     feature; an empty one has none.
     """
@@ -121,53 +139,36 @@ def features(data: np.ndarray, off: np.ndarray, ranks: np.ndarray, window: int =
     # rarest first, ties to the first window; windows across texts never win
     key = (ranks[e] if n else np.zeros(0, np.int64)) * (n + 1) + np.arange(n)
     key[~_inside(off, window, n)] = np.iinfo(np.int64).max
-    text, at, size = (np.zeros(0, np.int64),) * 3
+    text, at, size, points = (np.zeros(0, np.int64),) * 4
     most = np.iinfo(np.int64).max
-    for least, neighbours, points in runs:
+    for least, neighbours, needed in runs:
         low, span = key, 1
         while span < neighbours:  # the smallest of each run, by doubling
             step = min(span, neighbours - span)
             low = np.minimum(low[:-step], low[step:])
             span += step
         run = window + neighbours - 1
-        won = low[_inside(off, run, len(low))] % (n + 1) if n >= run else key[:0]
-        new = np.flatnonzero(np.bincount(won, minlength=1) >= points)
+        times = np.bincount(low[_inside(off, run, len(low))] % (n + 1) if n >= run else key[:0], minlength=1)
+        new = np.flatnonzero(times)
         of = np.searchsorted(off, new, side="right") - 1
         mine = (sizes[of] >= least) & (sizes[of] < most) if len(of) else of.astype(bool)
-        text, at = np.append(text, of[mine]), np.append(at, new[mine])
+        text, at, points = np.append(text, of[mine]), np.append(at, new[mine]), np.append(points, times[new[mine]] / needed)
         size, most = np.append(size, np.full(int(mine.sum()), window)), least
     for t in np.flatnonzero((sizes < run) & (sizes > 0)):
         a, b = off[t], off[t + 1]
         one = a if b - a < window else int(key[a : b - window + 1].argmin()) + a
-        text, at, size = np.append(text, t), np.append(at, one), np.append(size, min(b - a, window))
+        text, at, size, points = np.append(text, t), np.append(at, one), np.append(size, min(b - a, window)), np.append(points, 1)
     order = np.lexsort((at, text))
-    return text[order], at[order], size[order]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit numbers (fixed values: the multipliers of the splitmix64 finaliser)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def hashes(data: np.ndarray, at: np.ndarray, size: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """A 64-bit number for each feature, by its bytes alone."""
-    step = np.arange(-(-window // 8) * 8)
-    taken = np.where(step < size[:, None], np.append(data, np.uint8(0))[np.minimum(at[:, None] + step, len(data))], np.uint8(0))
-    h = _mixed(size.astype(np.uint64))
-    for word in np.ascontiguousarray(taken).view("<u8").T:
-        h = _mixed(h ^ word)
-    return h
+    text, at, size, points = text[order], at[order], size[order], points[order]
+    h = hashes(data, at, size, window)
+    _, first, same = np.unique(_mixed(h ^ _mixed(text.astype(np.uint64))), return_index=True, return_inverse=True)
+    keep = np.sort(first[np.bincount(same, weights=points, minlength=len(first)) >= 1 - 1e-9])
+    return text[keep], at[keep], size[keep], h[keep]
 
 
 def digests(data: np.ndarray, off: np.ndarray, ranks: np.ndarray, window: int = WINDOW, **options) -> list[np.ndarray]:
     """The chain of each text: one line of ``BITS / 8`` bytes a filter."""
-    text, at, size = features(data, off, ranks, window, **options)
-    h = hashes(data, at, size, window)
-    # equal features of a text count once, so that repeats fill no filters
-    first = np.sort(np.unique(_mixed(h ^ _mixed(text.astype(np.uint64))), return_index=True)[1])
-    text, h = text[first], h[first]
+    text, _, _, h = features(data, off, ranks, window, **options)
     many = np.bincount(text, minlength=len(off) - 1)
     base = np.concatenate([[0], np.cumsum(-(-many // FEATURES))])
     place = (np.arange(len(text)) - (np.cumsum(many) - many)[text]) // FEATURES
