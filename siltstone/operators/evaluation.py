@@ -175,39 +175,3 @@ def failure_predictors(df: DataFrame, properties: dict[str, Column], fails: Colu
     delta = F.col("failure_rate") - F.col("base")
     note = F.when(delta > 0.05, "higher failure rate").when(delta < -0.05, "lower failure rate").otherwise("similar to baseline")
     return agg.crossJoin(F.broadcast(base)).select("property", "n", "failure_rate", delta.alias("delta"), note.alias("note"))  # one row
-
-
-#: Draws that one row stands for before they are told apart.
-DRAWS = 1 << 14
-
-
-def bootstrap_means(observed: DataFrame, resamples: int = 10_000, seed: int = 42, group: str = "group", value: str = "value") -> DataFrame:
-    """(group, resample, mean): means of samples with replacement of the observed rows.
-
-    Each resample draws as many rows as its group has, by numbers from a linear congruence
-    over (resample, draw), the same in any engine.  Rows are numbered by ``position``.
-    Resamples are dealt to all tasks and draws come in blocks, so that no row holds an array of
-    a group's size; sums of a resample are made where its draws are.
-    """
-    spark = observed.sparkSession
-    n = observed.groupBy(group).agg(F.count("*").alias("n"))
-    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / DRAWS)))
-    draws = spark.range(resamples).withColumnRenamed("id", "resample").crossJoin(n).select(group, "n", "resample", blocks.alias("block"))
-    first = F.col("block") * DRAWS
-    draws = draws.select(group, "n", "resample", F.explode(F.sequence(first, F.least(first + DRAWS, F.col("n")) - 1)).alias("draw"))
-    x = F.pmod(F.col("resample") * 1_000_003 + F.col("draw") * 7_919 + seed, F.lit(2**31)) * 1_103_515_245 + 12_345
-    position = F.pmod(F.shiftright(F.pmod(x, F.lit(2**31)), 8), F.col("n"))
-    met = draws.select(group, "resample", position.alias("position")).join(observed, [group, "position"])
-    return met.groupBy(group, "resample").agg(F.avg(value).alias("mean"))
-
-
-def bootstrap_interval(means: DataFrame, group: str = "group", level: float = 0.95) -> DataFrame:
-    """(group, estimate, lower, upper), by linear interpolation between resamples."""
-    tail = (1 - level) / 2
-    q = F.percentile("mean", F.array(F.lit(tail), F.lit(1 - tail)))
-    return means.groupBy(group).agg(F.avg("mean").alias("estimate"), q.alias("q")).select(group, "estimate", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
-
-
-def significance(lower: Column, upper: Column) -> Column:
-    """What an interval of a difference says."""
-    return F.when(lower > 0, "first higher").when(upper < 0, "second higher").otherwise("not significant")

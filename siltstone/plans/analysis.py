@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scores import canonical_gap_type, cost, dirty_null, safe_double, severity_label
-from siltstone.operators import evaluation, gap, passes
+from siltstone.operators import evaluation, gap, passes, resampling
 from siltstone.sources import files
 from siltstone.streaming.incremental import windowed_counts
 
@@ -168,25 +168,18 @@ def argmax_by_group(spark: SparkSession, d: str) -> DataFrame:
 # -- resampling ----------------------------------------------------------------------------
 
 
-def _outcomes(spark: SparkSession, d: str) -> DataFrame:
-    labels = table(spark, d, "labels").select(F.when(F.col("toxic") == 1, "toxic").otherwise("plain").alias("group"), F.col("quality").cast("double").alias("value"), "doc_id")
-    return labels.withColumn("position", (F.row_number().over(Window.partitionBy("group").orderBy("doc_id")) - 1).cast("bigint")).drop("doc_id")
-
-
 def bootstrap_ci(spark: SparkSession, d: str) -> DataFrame:
-    means = evaluation.bootstrap_means(_outcomes(spark, d))
-    ci = evaluation.bootstrap_interval(means)
-    return ci.select("group", *[F.round(c, 6).alias(c) for c in ("estimate", "lower", "upper")])
+    """The mean quality of toxic and of other labels, with its interval."""
+    labels = table(spark, d, "labels").select(F.when(F.col("toxic") == 1, "toxic").otherwise("plain").alias("group"), F.col("quality").alias("value"))
+    ci = resampling.intervals(labels)
+    return ci.select("group", "n", *[F.round(c, 6).alias(c) for c in ("estimate", "lower", "upper")])
 
 
 def bootstrap_difference(spark: SparkSession, d: str) -> DataFrame:
-    """Interval and two-sided probability of the difference of resampled means."""
-    means = evaluation.bootstrap_means(_outcomes(spark, d))
-    both = means.groupBy("resample").pivot("group", ["plain", "toxic"]).agg(F.first("mean")).select((F.col("plain") - F.col("toxic")).alias("mean"), F.lit("plain-toxic").alias("group"))
-    ci = evaluation.bootstrap_interval(both)
-    p = both.groupBy("group").agg(F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("mean") <= 0).cast("double")), F.avg((F.col("mean") >= 0).cast("double")))).alias("p_value"))
-    out = ci.join(p, "group")
-    return out.select("group", *[F.round(c, 6).alias(c) for c in ("estimate", "lower", "upper", "p_value")], evaluation.significance(F.col("lower"), F.col("upper")).alias("verdict"))
+    """Paired difference of two measures of a document: both sides of a resample are the same rows."""
+    labels = table(spark, d, "labels").select(F.lit("quality-toxic").alias("group"), (F.col("quality") - F.col("toxic")).alias("value"))
+    out = resampling.intervals(labels)
+    return out.select("group", "n", *[F.round(c, 6).alias(c) for c in ("estimate", "lower", "upper", "p_value")], resampling.verdict(F.col("lower"), F.col("upper")).alias("verdict"))
 
 
 # -- ingestion -----------------------------------------------------------------------------
@@ -247,11 +240,20 @@ b5 AS (SELECT *, list_filter([CASE WHEN t1 THEN 'FM1_RETRIEVAL_MISS' END, CASE W
 t AS (SELECT *, CASE WHEN insufficient THEN ['FM7_CORPUS_GAP'] WHEN len(fired) > 0 THEN fired WHEN rouge1 > 0.25 AND hallucination < 0.3 THEN ['NONE'] WHEN hallucination > 0.2 AND rouge1 < 0.25 THEN ['FM4_HALLUCINATION'] WHEN rouge1 < 0.2 THEN ['FM5_OVER_CONSTRAINED'] ELSE ['FM6_METRIC_MISMATCH'] END AS modes FROM b5),
 tt AS (SELECT *, modes[1] AS primary_mode FROM t)"""
 _LAYER = "CASE " + " ".join(f"WHEN primary_mode = '{k}' THEN '{v}'" for k, v in evaluation.LAYERS.items()) + " ELSE 'other' END"
-_BOOT = """o AS (SELECT CASE WHEN toxic = 1 THEN 'toxic' ELSE 'plain' END AS g, quality::DOUBLE AS value, row_number() OVER (PARTITION BY CASE WHEN toxic = 1 THEN 'toxic' ELSE 'plain' END ORDER BY doc_id) - 1 AS position FROM labels),
-n AS (SELECT g, count(*) AS n FROM o GROUP BY g),
-dr AS (SELECT g, n, b.range AS resample, w.range AS draw FROM n, range(10000) b, range((SELECT max(n) FROM n)) w WHERE w.range < n),
-pk AS (SELECT g, resample, (((((resample * 1000003 + draw * 7919 + 42) % 2147483648) * 1103515245 + 12345) % 2147483648) >> 8) % n AS position FROM dr),
-mean AS (SELECT pk.g, resample, avg(value) AS mean FROM pk JOIN o ON o.g = pk.g AND o.position = pk.position GROUP BY ALL)"""
+_INTERVAL = "quantile_cont(mean, 0.025) AS l, quantile_cont(mean, 0.975) AS u"
+_BOOT = f"""WITH o AS (SELECT CASE WHEN toxic = 1 THEN 'toxic' ELSE 'plain' END AS grp, quality FROM labels),
+h AS (SELECT grp, count(*) AS n, count(*) FILTER (quality = 0) AS zeros, avg(quality) AS seen FROM o GROUP BY grp),
+d AS (SELECT grp, range AS resample, n AS m, zeros / n AS p FROM h, range(10000)), {resampling.sql_binomial('z', 'd', "'0'")},
+q AS (SELECT grp, {_INTERVAL} FROM (SELECT z.grp, (n - k) / n AS mean FROM z JOIN h USING (grp)) GROUP BY grp)
+SELECT grp AS "group", n, round(seen, 6) AS estimate, round(l, 6) AS lower, round(u, 6) AS upper FROM h JOIN q USING (grp)"""
+# three values, -1, 0 and 1: the first by its share of all, the second by its share of what is left
+_PAIRED = f"""WITH h AS (SELECT 'quality-toxic' AS grp, count(*) AS n, count(*) FILTER (quality < toxic) AS less, count(*) FILTER (quality = toxic) AS same, avg(quality - toxic) AS seen FROM labels),
+d AS (SELECT grp, range AS resample, n AS m, less / n AS p FROM h, range(10000)), {resampling.sql_binomial('a', 'd', "'0'")},
+e AS (SELECT grp, resample, n - k AS m, same / (n - less) AS p FROM a JOIN h USING (grp)), {resampling.sql_binomial('b', 'e', "CASE WHEN (SELECT less FROM h) > 0 THEN '1' ELSE '0' END")},
+mean AS (SELECT grp, (n - a.k - b.k - a.k) / n AS mean FROM a JOIN b USING (grp, resample) JOIN h USING (grp)),
+q AS (SELECT grp, {_INTERVAL}, avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END) AS below, avg(CASE WHEN mean >= 0 THEN 1.0 ELSE 0.0 END) AS above FROM mean GROUP BY grp)
+SELECT grp AS "group", n, round(seen, 6) AS estimate, round(l, 6) AS lower, round(u, 6) AS upper, round(least(1.0, 2 * CASE WHEN seen >= 0 THEN below ELSE above END), 6)::DOUBLE AS p_value,
+  CASE WHEN l > 0 THEN 'first higher' WHEN u < 0 THEN 'second higher' ELSE 'not significant' END AS verdict FROM h JOIN q USING (grp)"""
 _PROPS = {"factual": "category = 0", "comparative": "category = 1", "gap_detection": "category = 2", "insufficient": "insufficient", "long_question": "question_length > 250", "long_answer": "answer_length > 600", "numbers": "numbers", "later_turn": "turn > 2"}
 
 ORACLE_SQL = {
@@ -278,10 +280,8 @@ ORACLE_SQL = {
     "model_summary": "SELECT l_returnflag AS model, count(*) AS n, round(avg(l_discount), 6) AS hallucination_rate, round(sum(l_tax) * 100 / sum(l_tax + l_discount), 4) AS unsupported_pct, round(sum(l_quantity * 100 * 0.000005), 2) AS cost, round(coalesce(avg(l_extendedprice), 0.0), 3) AS latency FROM lineitem GROUP BY 1",
     "model_advantage": _ANSWERS + " SELECT category, count(*) FILTER (precision - recall > 0.15) AS gains, count(*) FILTER (precision - recall < -0.05) AS losses, count(*) FILTER (greatest(precision, recall) < 0.15) AS both_low, count(*) AS n FROM a WHERE precision > 0 AND recall > 0 GROUP BY category",
     "argmax_by_group": "WITH t AS (SELECT event_type, user_id, round(sum(value), 4) AS total FROM events GROUP BY ALL) SELECT event_type, user_id, total FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY total DESC, user_id) AS rn FROM t) WHERE rn = 1",
-    "bootstrap_ci": f'WITH {_BOOT} SELECT g AS "group", round(avg(mean), 6) AS estimate, round(quantile_cont(mean, 0.025), 6) AS lower, round(quantile_cont(mean, 0.975), 6) AS upper FROM mean GROUP BY g',
-    "bootstrap_difference": f"""WITH {_BOOT}, df AS (SELECT a.mean - b.mean AS mean FROM mean a JOIN mean b USING (resample) WHERE a.g = 'plain' AND b.g = 'toxic'),
-      q AS (SELECT avg(mean) AS e, quantile_cont(mean, 0.025) AS l, quantile_cont(mean, 0.975) AS u, least(1.0, 2 * least(avg(CASE WHEN mean <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN mean >= 0 THEN 1.0 ELSE 0.0 END))) AS p FROM df)
-      SELECT 'plain-toxic' AS "group", round(e, 6) AS estimate, round(l, 6) AS lower, round(u, 6) AS upper, round(p, 6)::DOUBLE AS p_value, CASE WHEN l > 0 THEN 'first higher' WHEN u < 0 THEN 'second higher' ELSE 'not significant' END AS verdict FROM q""",
+    "bootstrap_ci": _BOOT,
+    "bootstrap_difference": _PAIRED,
     "incremental_anti_join": "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "status_summary": "SELECT event_type, count(*) AS n, round(sum(coalesce(value, 0)), 2) AS total FROM events GROUP BY 1",
     "key_report": "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, count(*) - count(DISTINCT doc_id) AS repeats, count(DISTINCT source) AS sources FROM documents",

@@ -220,25 +220,6 @@ def test_ngrams_are_linear_and_whole(spark):
     assert time.perf_counter() - start < 20 and got[2].precision == 1.0 and abs(got[2].recall - 63_999 / 64_000) < 1e-12
 
 
-def test_bootstrap_means_against_plain_numbers(spark):
-    from siltstone.operators import evaluation
-
-    rows = [("a", i, float(i * i % 7)) for i in range(23)] + [("b", 0, 5.0)]
-    df = spark.createDataFrame(rows, "group string, position long, value double")
-    before = evaluation.DRAWS
-    try:
-        evaluation.DRAWS = 10  # several blocks a resample
-        got = {(r["group"], r.resample): r["mean"] for r in evaluation.bootstrap_means(df, 50).collect()}
-    finally:
-        evaluation.DRAWS = before
-    for g, n in (("a", 23), ("b", 1)):
-        x = {p: v for k, p, v in rows if k == g}
-        for b in range(50):
-            want = [x[((b * 1_000_003 + i * 7_919 + 42) % 2**31 * 1_103_515_245 + 12_345) % 2**31 // 256 % n] for i in range(n)]
-            assert abs(got[g, b] - sum(want) / n) < 1e-12
-    assert evaluation.bootstrap_means(df.where("false"), 5).count() == 0
-
-
 def test_first_commitments_of_each_beginning(spark):
     from siltstone.operators import passes
 
