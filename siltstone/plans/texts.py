@@ -12,6 +12,10 @@ from siltstone.session import spread
 from .common import SQL_EXCHANGES, WS, exchanges, sql_garbled, sql_overlap, sql_split, sql_strip, sql_tokenise, table
 
 
+#: Tokens of the chunks here: documents are short.
+LEAST, MOST = 64, 128
+
+
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.is_garbled(F.col("text")).alias("garbled"))
 
@@ -43,9 +47,18 @@ def section_assign(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy chunks of the cleaned texts; no SQL, the fold is sequential."""
+    """Greedy chunks of the cleaned texts."""
     docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.clean_page(F.col("text")).alias("text"))
-    return chunking.chunks(docs, least=64, most=128)
+    return chunking.chunks(docs, least=LEAST, most=MOST)
+
+
+def page_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk table of documents whose lines are their pages: sections (every second page opens one), chunks, numbers through a document, provenance."""
+    titled = F.when(F.col("page") % 2 == 0, F.concat(F.lit("Chapter "), F.col("page"), F.lit(" Findings\n"), F.col("text"))).otherwise(F.col("text"))
+    pages = _pages(spark, d).withColumn("text", T.clean_page(titled))
+    docs = table(spark, d, "documents")
+    meta = docs.select("doc_id", "source", F.lit("Report").alias("doc_type"), F.upper("lang").alias("language"), F.concat("source", F.lit("/"), F.col("doc_id"), F.lit(".pdf")).alias("file_path"), F.concat(F.col("doc_id"), F.lit(".pdf")).alias("file"))
+    return chunking.page_chunks(pages, meta, least=LEAST, most=MOST).drop("processed_at")
 
 
 def corpus_report(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +151,7 @@ def rag_answers(spark: SparkSession, d: str) -> DataFrame:
     return answers.select("query_id", "answer", T.is_insufficient(F.col("answer")).alias("insufficient"), F.size(T.citations(F.col("answer"))).alias("n_citations"), "error")
 
 
-QUERIES = {f.__name__: f for f in (quality_gate, tokenise, clean_text, sentence_split, section_assign, chunk_documents, corpus_report, query_classify, citation_extract, citation_accuracy, json_repair, context_blocks, inst_prompts, claim_verdicts, keep_first_dedup, relevance_band, rag_answers)}
+QUERIES = {f.__name__: f for f in (quality_gate, tokenise, clean_text, sentence_split, section_assign, chunk_documents, page_chunks, corpus_report, query_classify, citation_extract, citation_accuracy, json_repair, context_blocks, inst_prompts, claim_verdicts, keep_first_dedup, relevance_band, rag_answers)}
 
 
 def _sql_clean(x: str) -> str:
@@ -168,7 +181,49 @@ c AS (SELECT DISTINCT conv_id, turn, doc, page::BIGINT AS page FROM (SELECT conv
 _BRACES = "CASE WHEN strpos(X, '{') > 0 AND strpos(X, '}') > 0 AND length(X) - strpos(reverse(X), '}') + 1 > strpos(X, '{') THEN substr(X, strpos(X, '{'), length(X) - strpos(reverse(X), '}') + 2 - strpos(X, '{')) END"
 _FIXED = f"translate(regexp_replace(raw, ',{WS}*([}}\\]])', '\\1', 'g'), '''', '\"')"
 
+# the fold as a reduction: a sentence is a state without chunks, held sentences or words; ``big`` marks one that must be cut
+_EMPTY = "[]::STRUCT(t VARCHAR, n BIGINT)[]"
+_SUM = "coalesce(list_sum(list_transform(X, lambda h: h.n)), 0)"
+_JOIN = "coalesce(list_aggregate(list_transform(X, lambda h: h.t), 'string_agg', ' '), '')"
+_HELD, _BUDGET = "a.held", int(MOST * chunking.OVERLAP)
+_CARRIED = f"""list_slice({_HELD}, len({_HELD}) + 1 - len(list_filter(range(1, len({_HELD}) + 1), lambda k: {_SUM.replace('X', f'list_slice({_HELD}, len({_HELD}) + 1 - k, len({_HELD}))')} <= {_BUDGET})), len({_HELD}))"""
+_EMITTED = f"CASE WHEN len({_HELD}) > 0 THEN list_append(a.done, {_JOIN.replace('X', _HELD)}) ELSE a.done END"
+
+
+def _sql_chunks(source: str, by: str) -> str:
+    """CTEs up to ``made`` (columns ``by``, done): the chunks of ``source`` (columns ``by``, text)."""
+    return f"""parts AS (SELECT {by}, {_SENTENCES} AS parts FROM {source}),
+states AS (SELECT {by}, list_transform(parts, lambda p: {{'done': []::VARCHAR[], 'held': {_EMPTY}, 't': p, 'w': {sql_split('p')}}}) AS s FROM parts WHERE len(parts) > 0),
+folded AS (SELECT {by}, list_reduce(s, lambda a, x: CASE WHEN len(x.w) > {MOST}
+    THEN {{'done': list_concat({_EMITTED}, list_transform(range(0, (len(x.w) - 1) // {MOST}), lambda i: list_aggregate(list_slice(x.w, i * {MOST} + 1, (i + 1) * {MOST}), 'string_agg', ' '))),
+           'held': list_transform(list_slice(x.w, (len(x.w) - 1) // {MOST} * {MOST} + 1, len(x.w)), lambda t: {{'t': t, 'n': 1::BIGINT}}), 't': '', 'w': []::VARCHAR[]}}
+    WHEN {_SUM.replace('X', _HELD)} + len(x.w) > {MOST} THEN {{'done': {_EMITTED}, 'held': list_append({_CARRIED}, {{'t': x.t, 'n': len(x.w)}}), 't': '', 'w': []::VARCHAR[]}}
+    ELSE {{'done': a.done, 'held': list_append({_HELD}, {{'t': x.t, 'n': len(x.w)}}), 't': '', 'w': []::VARCHAR[]}} END,
+  {{'done': []::VARCHAR[], 'held': {_EMPTY}, 't': '', 'w': []::VARCHAR[]}}) AS a FROM states),
+rest AS (SELECT {by}, a.done AS done, {sql_strip(_JOIN.replace('X', 'a.held'))} AS t FROM folded),
+made AS (SELECT {by}, CASE WHEN t = '' THEN done WHEN len(done) > 0 AND len({sql_split('t')}) < {LEAST // 2} AND len({sql_split("done[-1] || ' ' || t")}) <= {MOST * 1.2}
+  THEN list_append(list_slice(done, 1, len(done) - 1), done[-1] || ' ' || t) ELSE list_append(done, t) END AS done FROM rest)"""
+
+
+_CLEAN_PAGES = f"pc AS (SELECT doc_id, page, {_sql_clean('text')} AS text, contains(text, '|') AS has_table FROM titled)"
+_TITLED = "titled AS (SELECT doc_id, page, CASE WHEN page % 2 = 0 THEN 'Chapter ' || page || ' Findings' || chr(10) || text ELSE text END AS text FROM pg)"
+_ROW = f"len({sql_split('c')}) AS token_count, length(c) AS char_count"
+
 ORACLE_SQL = {
+    "chunk_documents": f"""WITH d AS (SELECT doc_id, {_sql_clean("coalesce(text, '')")} AS text FROM documents), {_sql_chunks('d', 'doc_id')},
+      c AS (SELECT doc_id, unnest(done) AS c, generate_subscripts(done, 1) - 1 AS i FROM made)
+      SELECT doc_id, i AS chunk_index, format('{{}}__{{:05d}}', doc_id, i) AS chunk_id, c AS text, {_ROW} FROM c""",
+    "page_chunks": f"""WITH {_PAGES}, {_TITLED}, {_CLEAN_PAGES}, h AS (SELECT *, {sql_strip('text')} AS st FROM pc),
+      o AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda l: {sql_strip('l')}), lambda l: length(l) > 4 AND length(l) <= 120 AND regexp_matches(l, '{_HEADING}')) AS hs FROM h),
+      w AS (SELECT *, coalesce(last_value(CASE WHEN len(hs) > 0 THEN substr(hs[-1], 1, 100) END IGNORE NULLS) OVER f, 'Introduction') AS section, coalesce(last_value(CASE WHEN len(hs) > 0 THEN page END IGNORE NULLS) OVER f, 1) AS page_start,
+        bool_or(has_table) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS is_table FROM o WINDOW f AS (PARTITION BY doc_id ORDER BY page ROWS UNBOUNDED PRECEDING)),
+      sec AS (SELECT * FROM (SELECT doc_id, section, page_start, arg_min(is_table, page) AS is_table, {sql_strip("string_agg(text, chr(10) ORDER BY page)")} AS text FROM w GROUP BY doc_id, section, page_start) WHERE text <> ''),
+      {_sql_chunks('sec', 'doc_id, section, page_start, is_table')},
+      n AS (SELECT *, coalesce(sum(len(done)) OVER (PARTITION BY doc_id ORDER BY page_start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM made),
+      c AS (SELECT doc_id, section, page_start, is_table, unnest(done) AS c, first + generate_subscripts(done, 1) - 1 AS chunk_index FROM n)
+      SELECT format('{{}}__{{:05d}}', doc_id, chunk_index) AS chunk_id, doc_id, b.source, 'Report' AS doc_type, NULL::VARCHAR AS country, NULL::INTEGER AS ndc_cycle, NULL::INTEGER AS year, upper(b.lang) AS language, NULL::INTEGER AS emissions_rank, NULL::BOOLEAN AS withdrawn,
+        NULL::BOOLEAN AS superseded, NULL::VARCHAR AS note, NULL::VARCHAR AS wg, NULL::INTEGER AS chapter, NULL::VARCHAR AS relevance, doc_id || '.pdf' AS file, b.source || '/' || doc_id || '.pdf' AS file_path, section, page_start, {_ROW}, chunk_index, is_table, c AS text, '1.0' AS pipeline_ver
+      FROM c JOIN documents b USING (doc_id)""",
     "quality_gate": f"SELECT doc_id, {sql_garbled('text')} AS garbled FROM documents",
     "tokenise": f"SELECT doc_id, len(t) AS n, md5(coalesce(list_aggregate(t, 'string_agg', ' '), '')) AS digest FROM (SELECT doc_id, {sql_tokenise('text')} AS t FROM documents)",
     "clean_text": f"SELECT doc_id, length(c) AS n, md5(c) AS digest FROM (SELECT doc_id, {_sql_clean('text')} AS c FROM documents)",

@@ -241,3 +241,39 @@ def test_stored_index_is_reused_and_follows_the_content(spark, tmp_path):
     empty = retrieval.sparse_index(docs.where("false"), str(tmp_path))
     asked = spark.createDataFrame([(7, "plans")], "query_id long, text string")
     assert empty.n_docs == 0 and retrieval.bm25_topk(asked, docs.where("false"), empty, 3).count() == 0
+
+
+def pages_of(*texts):
+    return [("d", i + 1, t, i == 3) for i, t in enumerate(texts)]
+
+
+def test_page_chunks(spark):
+    """Sections are chunked by themselves and numbered through the document; overlap stays within a section."""
+    rows = pages_of("Opening words. Second words here.", "Chapter 2 Plans\nOne two three. Four five six. Seven eight nine.", None, "Ten eleven. Twelve.", "   ", "Chapter 6 End\nLast one.")
+    rows += [("e", 1, "", False), ("f", 1, "Chapter 1 Only\n\nA b c.", True)]
+    pages = spark.createDataFrame(rows, "doc_id string, page int, text string, has_table boolean").repartition(4)
+    meta = spark.createDataFrame([("d", "FR", 2020, 7)], "doc_id string, country string, year int, other int")
+    got = {r.chunk_id: r for r in chunking.page_chunks(pages, meta, least=2, most=8).collect()}
+    assert sorted(got) == [*(f"d__0000{i}" for i in range(5)), "f__00000"]
+    assert [got[f"d__0000{i}"].section for i in range(5)] == ["Introduction", "Chapter 2 Plans", "Chapter 2 Plans", "Chapter 2 Plans", "Chapter 6 End"]
+    assert [got[f"d__0000{i}"].page_start for i in range(5)] == [1, 2, 2, 2, 6]
+    assert [got[f"d__0000{i}"].is_table for i in range(5)] == [True, True, True, True, False]
+    assert all(r.token_count <= 8 * 1.2 and r.char_count == len(r.text) for r in got.values())
+    assert got["d__00000"].country == "FR" and got["d__00004"].year == 2020 and got["f__00000"].country is None and got["f__00000"].pipeline_ver == "1.0"
+    words = " ".join(got[f"d__0000{i}"].text for i in (1, 2, 3))
+    assert all(w in words for w in ("One", "nine.", "Ten", "Twelve."))
+    assert chunking.page_chunks(pages.where("false")).count() == 0
+
+
+def test_token_counts_of_tokenizers(spark):
+    """Chunks by a public tokenizer's counts stay within the budget that white-space counts would break."""
+    import public_tokenizers
+
+    text = " ".join(f"Internationalisation number {i} goes on." for i in range(40))
+    docs = spark.createDataFrame([("a", text)], "doc_id string, text string")
+    for kind, name in (("tokenizers", "byte_bpe_50k.json"), ("sentencepiece", "piece_bpe_32k.model")):
+        count = chunking.tokenizer_count(kind, public_tokenizers.path(name))
+        got = chunking.chunks(docs, count=count, least=16, most=64).collect()
+        assert len(got) > 3 and all(r.token_count == count(r.text) and r.token_count <= 64 * 1.2 for r in got)
+    with pytest.raises(ValueError):
+        chunking.tokenizer_count("none", "x")("text")
