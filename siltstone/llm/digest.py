@@ -30,7 +30,7 @@ from .common import aliased, bytes_of, handed_over, in_arrow, prepare, text_of
 #: Bytes of a window; neighbours that share a point, and points that make a feature, in texts of so many bytes or more.
 WINDOW, RUNS = 16, ((256, 32, 8), (0, 8, 2))
 #: Bits of a filter, bits that a feature sets, features that a filter holds.
-BITS, HASHES, FEATURES = 2048, 5, 128
+BITS, HASHES, FEATURES = 2048, 5, 160
 #: Steps of the entropy scale.
 STEPS = 1000
 #: Deviations of chance that common bits must exceed.
