@@ -221,6 +221,13 @@ def claims(answer: Column, most: int = 8) -> Column:
     return F.slice(F.filter(parts, lambda p: F.length(p) > 20), 1, most)
 
 
+def claim_list(reply: Column, answer: Column, most: int = 12) -> Column:
+    """The claims that a model lists as JSON, with or without a fence, the first ``most``; the answer's sentences where its reply is no list."""
+    bare = F.regexp_replace(strip(F.regexp_replace(reply, "```(?:json)?", "")), "^`+|`+$", "")
+    listed = F.try_variant_get(F.try_parse_json(bare), "$", "array<variant>")
+    return F.coalesce(F.slice(F.transform(listed, lambda c: F.try_variant_get(c, "$", "string")), 1, most), claims(answer))
+
+
 # What a judge may say of a claim.
 VERDICTS = ("SUPPORTED", "PARTIAL", "UNSUPPORTED", "FABRICATED")
 

@@ -106,12 +106,19 @@ def rouge_l(pairs: DataFrame, key: str = "id", hyp: str = "hyp", ref: str = "ref
     return t.select(key, p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
 
-def hallucination(verdicts: DataFrame, key: str = "id") -> DataFrame:
-    """Rates of an answer from one row a claim with its ``verdict``."""
+def hallucination(verdicts: DataFrame, key: str = "id", refused: DataFrame | None = None) -> DataFrame:
+    """Rates of an answer from one row a claim with its ``verdict``.
+
+    Answers of ``refused`` (key) gave no answer or an error: no claims, rate 1, grounding 0, whatever their verdicts.
+    """
+    rows = verdicts.select(key, "verdict")
+    if refused is not None:
+        rows = rows.unionByName(refused.select(key, F.lit("REFUSED").alias("verdict")))
     n = lambda v: F.count_if(F.col("verdict") == v)
-    agg = verdicts.groupBy(key).agg(F.count("*").alias("n_claims"), n("SUPPORTED").alias("s"), n("PARTIAL").alias("p"), n("UNSUPPORTED").alias("u"), n("FABRICATED").alias("f"))
-    total = F.col("n_claims")
-    return agg.select(key, "n_claims", ((F.col("u") + F.col("f")) / total).alias("hallucination_rate"), clamp((F.col("s") + 0.5 * F.col("p") - 0.5 * F.col("f")) / total).alias("grounding_score"))
+    agg = rows.groupBy(key).agg(F.count("*").alias("n_claims"), n("SUPPORTED").alias("s"), n("PARTIAL").alias("p"), n("UNSUPPORTED").alias("u"), n("FABRICATED").alias("f"), n("REFUSED").alias("none"))
+    total, gone = F.col("n_claims"), F.col("none") > 0
+    rate, grounding = (F.col("u") + F.col("f")) / total, clamp((F.col("s") + 0.5 * F.col("p") - 0.5 * F.col("f")) / total)
+    return agg.select(key, F.when(gone, 0).otherwise(total).cast("bigint").alias("n_claims"), F.when(gone, 1.0).otherwise(rate).alias("hallucination_rate"), F.when(gone, 0.0).otherwise(grounding).alias("grounding_score"))
 
 
 # Flag, column and threshold of the simple failure flags.
