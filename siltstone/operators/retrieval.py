@@ -7,116 +7,18 @@ Every operator takes a table of queries and carries ``query_id``.  Ranked lists
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import is_garbled, tokenise
-from siltstone.session import spread
+from siltstone.functions.text import is_garbled
+
+from .sparse import SparseIndex, bm25_topk, ranked
 
 #: Queries (vectors of a batch) that one pass may hold; more are searched in several.
 QUERY_ROWS = 4096
-#: Rows of query terms that may be broadcast.
-BROADCAST_TERMS = 200_000
-
-
-def ranked(scores: DataFrame, n: int, *order: Column, by: str = "query_id") -> DataFrame:
-    """The first ``n`` rows of each query, with ``rank``; Spark limits each task before the shuffle."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("bigint"))
-
-
-def postings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, term, tf, dl): the inverted index."""
-    t = docs.select(F.col(key).alias("doc_id"), tokenise(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    rows = t.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return rows.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-
-
-def fingerprint(docs: DataFrame, text: str = "text", key: str = "doc_id") -> str:
-    """What tells the contents of two tables of documents apart, whatever their order."""
-    n, x, total = docs.agg(F.count("*"), F.expr(f"bit_xor(xxhash64({key}, {text}))"), F.sum(F.pmod(F.xxhash64(text, key), F.lit(1 << 40)))).first()
-    return f"{n:x}-{(x or 0) & (2**64 - 1):016x}-{total or 0:x}"
-
-
-@dataclass(frozen=True)
-class SparseIndex:
-    """A stored inverted index: ``postings`` (doc_id, term, tf, dl), ``terms`` (term, df, idf), and numbers of the corpus."""
-
-    postings: DataFrame
-    terms: DataFrame
-    n_docs: int
-    avgdl: float
-    built: bool
-
-
-def sparse_index(docs: DataFrame, place: str, floor: float = 0.25, text: str = "text") -> SparseIndex:
-    """The index of ``docs`` stored under ``place``, written first if none of the same content is there.
-
-    Documents are split once; postings are sorted by term within their files, so that a search
-    for few terms skips most of them.  Negative weights become ``floor`` times the mean weight of
-    all terms.  An index whose content or ``floor`` differs lies beside it under its own name;
-    one that was not written to its end counts as absent.
-    """
-    spark = docs.sparkSession
-    at = f"{place}/bm25-{fingerprint(docs, text)}-{floor:g}"
-    try:
-        n_docs, avgdl = spark.read.parquet(f"{at}/numbers").first()
-        built = False
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        postings(spread(docs.select("doc_id", text)), text).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/postings")
-        index, n_docs = spark.read.parquet(f"{at}/postings"), docs.count()
-        raw = index.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
-        raw = raw.withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        raw.write.mode("overwrite").parquet(f"{at}/raw")
-        raw = spark.read.parquet(f"{at}/raw")
-        mean, total = raw.agg(F.avg("raw"), F.sum("n")).first()
-        terms = raw.select("term", "df", F.when(F.col("raw") < 0, floor * (mean or 0.0)).otherwise(F.col("raw")).alias("idf"))
-        terms.write.mode("overwrite").parquet(f"{at}/terms")
-        avgdl, built = float(total or 0) / max(n_docs, 1), True
-        spark.createDataFrame([(n_docs, avgdl)], "n_docs long, avgdl double").coalesce(1).write.mode("overwrite").parquet(f"{at}/numbers")  # last: marks the end
-    return SparseIndex(spark.read.parquet(f"{at}/postings"), spark.read.parquet(f"{at}/terms"), n_docs, avgdl, built)
-
-
-def bm25_scores(queries: DataFrame, index: SparseIndex, k1: float | Column = 1.6, b: float = 0.75, places: int = 6) -> DataFrame:
-    """(query_id, doc_id, score) of all pairs that share a term; each occurrence in the query counts.
-
-    Query terms meet the stored postings in an equi-join on the term and are broadcast while they
-    are few, so that only their postings leave the scan.  ``k1`` may be a column of ``queries``.
-    """
-    k1 = F.lit(k1) if isinstance(k1, float) else k1
-    terms = queries.select("query_id", k1.alias("k1"), F.explode(tokenise(F.col("text"))).alias("term")).groupBy("query_id", "k1", "term").agg(F.count("*").alias("times"))
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    asked = terms.select("term").distinct()
-    known = index.terms.join(F.broadcast(asked) if few else asked, "term", "left_semi")
-    weights = terms.join(known, "term")
-    met = index.postings.join(F.broadcast(weights) if few else weights, "term")
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("times") * F.col("idf") * tf * (F.col("k1") + 1) / (tf + F.col("k1") * (1 - b + b * dl / F.lit(index.avgdl)))
-    return met.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), places).alias("score"))
-
-
-def bm25_topk(queries: DataFrame, docs: DataFrame, index: SparseIndex, n: int = 10, **options) -> DataFrame:
-    """Top ``n`` of every query, rows with score 0 included, in the order of ids.
-
-    Rows without a common term only matter where a query has fewer than ``n`` others; then
-    they come from the ``n`` smallest ids, as at most ``n`` are needed.
-    """
-    scores = bm25_scores(queries, index, **options)
-    top = ranked(scores, n, F.desc("score"), F.col("doc_id"))
-    # whatever its scores, a query needs zeros only if its list is short; at most n * n rows of it meet then
-    some = docs.select("doc_id").orderBy("doc_id").limit(n)
-    have = queries.select("query_id").distinct().join(top.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left")
-    short = have.where(F.coalesce("have", F.lit(0)) < n).select("query_id")
-    zeros = short.crossJoin(F.broadcast(some)).join(top.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
-    every = top.select("query_id", "doc_id", "score").unionByName(zeros.withColumn("score", F.lit(0.0)))
-    return ranked(every, n, F.desc("score"), F.col("doc_id"))
 
 
 def cosine(a: Column, b: Column) -> Column:

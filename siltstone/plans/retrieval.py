@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.predicate import compile_filter
-from siltstone.operators import evaluation, retrieval
+from siltstone.operators import evaluation, retrieval, sparse
 
 from .common import sql_bm25, sql_garbled, sql_sparse, store, table
 
@@ -35,19 +35,20 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("query_label"))
 
 
-def _index(spark: SparkSession, d: str) -> retrieval.SparseIndex:
+def _index(spark: SparkSession, d: str) -> sparse.SparseIndex:
     """The stored index of the documents, shared by all queries that search them."""
-    return retrieval.sparse_index(table(spark, d, "documents").select("doc_id", "text"), store(spark))
+    docs = table(spark, d, "documents")
+    return sparse.sparse_index(docs.select("doc_id", "text"), store(spark), version=sparse.files(docs))
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25_topk(_questions(spark, d), table(spark, d, "documents"), _index(spark, d)).select("query_id", "doc_id", "score", "rank")
+    return sparse.bm25_topk(_questions(spark, d), table(spark, d, "documents"), _index(spark, d)).select("query_id", "doc_id", "score", "rank")
 
 
 def sparse_post_filter(spark: SparkSession, d: str) -> DataFrame:
     """The filter after the ranking: 80 rows ranked, filtered, 40 kept."""
     docs = table(spark, d, "documents")
-    top = retrieval.bm25_topk(_questions(spark, d), docs, _index(spark, d), 80)
+    top = sparse.bm25_topk(_questions(spark, d), docs, _index(spark, d), 80)
     kept = top.drop("rank").join(docs.where(compile_filter({"lang": "en"})).select("doc_id"), "doc_id", "left_semi")
     return retrieval.ranked(kept, 40, F.desc("score"), F.col("doc_id")).select("query_id", "doc_id", "score", "rank")
 
@@ -108,7 +109,7 @@ def metrics_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 def ablation_rrf_k(spark: SparkSession, d: str) -> DataFrame:
     """Hit, reciprocal rank and NDCG of the first five fused rows for three constants, from the same lists."""
     asked, docs = _with_vectors(spark, d), _documents(spark, d)
-    dense, sparse = retrieval.dense_topk(asked, docs, 40), retrieval.bm25_topk(asked, docs, _index(spark, d), 40)
+    dense, sparse = retrieval.dense_topk(asked, docs, 40), sparse.bm25_topk(asked, docs, _index(spark, d), 40)
     settings = F.broadcast(spark.createDataFrame([(30.0,), (60.0,), (120.0,)], "rrf_k double"))
     fused = retrieval.fuse(dense, sparse).drop("rrf_score").crossJoin(settings)
     part = lambda r: F.coalesce(1 / (F.col("rrf_k") + F.col(r)), F.lit(0.0))
@@ -125,7 +126,7 @@ def ablation_bm25_k1(spark: SparkSession, d: str) -> DataFrame:
     """Mean best score and list overlap for three saturation constants: one pass, the constant is a column."""
     settings = F.broadcast(spark.createDataFrame([(12,), (16,), (20,)], "k1 int"))
     asked = _questions(spark, d).crossJoin(settings).withColumn("query_id", F.col("query_id") * 100 + F.col("k1"))
-    top = retrieval.ranked(retrieval.bm25_scores(asked, _index(spark, d), k1=F.col("k1") / 10.0), 10, F.desc("score"), F.col("doc_id"))
+    top = retrieval.ranked(sparse.bm25_scores(asked, _index(spark, d), k1=F.col("k1") / 10.0), 10, F.desc("score"), F.col("doc_id"))
     return top.groupBy((F.col("query_id") % 100).alias("k1_tenths")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("rank") == 1, F.col("score"))), 4).alias("best_score"), F.sum("doc_id").alias("doc_id_sum"))
 
 
@@ -170,7 +171,7 @@ def ablation_pool(spark: SparkSession, d: str) -> DataFrame:
     """The hybrid search over candidate pools of 2, 4 and 8 times the result, from lists of the deepest."""
     asked, docs, k = _with_vectors(spark, d), _documents(spark, d), 5
     dense = retrieval.dense_topk(asked, docs, 8 * k)
-    sparse = retrieval.bm25_topk(asked, docs, _index(spark, d), 8 * k)
+    sparse = sparse.bm25_topk(asked, docs, _index(spark, d), 8 * k)
     pools = F.explode(F.array(F.lit(2), F.lit(4), F.lit(8)))
     cut = lambda x: x.withColumn("pool", pools).where(F.col("rank") <= F.col("pool") * k).withColumn("query_id", F.col("query_id") * 10 + F.col("pool")).drop("pool")
     fused = retrieval.ranked(retrieval.fuse(cut(dense), cut(sparse)), k, *retrieval.fused_order())

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import chunking, evaluation, gap, prompts, retrieval
+from siltstone.operators import chunking, evaluation, gap, prompts, retrieval, sparse
 from siltstone.sources import files
 from siltstone.streaming import incremental
 
@@ -23,7 +23,7 @@ def test_fusion_scores_and_ties(spark):
 def test_bm25_by_hand_and_zero_rows(spark, tmp_path):
     docs = spark.createDataFrame([(1, "red fish"), (2, "blue fish fish"), (3, "green bird"), (4, None), (5, "tree")], "doc_id long, text string")
     asked = spark.createDataFrame([(7, "blue blue fish"), (8, "zzz"), (9, None)], "query_id long, text string")
-    got = {(r.query_id, r.rank): (r.doc_id, r.score) for r in retrieval.bm25_topk(asked, docs, retrieval.sparse_index(docs, str(tmp_path)), 3).collect()}
+    got = {(r.query_id, r.rank): (r.doc_id, r.score) for r in sparse.bm25_topk(asked, docs, sparse.sparse_index(docs, str(tmp_path)), 3).collect()}
     n, avg = 5, 8 / 5
     idf = lambda df: math.log(n - df + 0.5) - math.log(df + 0.5)
     part = lambda w, tf, dl: w * tf * 2.6 / (tf + 1.6 * (0.25 + 0.75 * dl / avg))
@@ -34,7 +34,7 @@ def test_bm25_by_hand_and_zero_rows(spark, tmp_path):
 
 def test_negative_weights_have_a_floor(spark, tmp_path):
     docs = spark.createDataFrame([(i, "common" + (" rare" if i == 0 else "")) for i in range(5)], "doc_id long, text string")
-    w = {r.term: r.idf for r in retrieval.sparse_index(docs, str(tmp_path)).terms.collect()}
+    w = {r.term: r.idf for r in sparse.sparse_index(docs, str(tmp_path)).terms.collect()}
     raw = {"common": math.log(0.5) - math.log(5.5), "rare": math.log(4.5) - math.log(1.5)}
     assert math.isclose(w["common"], 0.25 * sum(raw.values()) / 2) and math.isclose(w["rare"], raw["rare"])
 
@@ -232,15 +232,15 @@ def test_first_commitments_of_each_beginning(spark):
 
 def test_stored_index_is_reused_and_follows_the_content(spark, tmp_path):
     docs = spark.createDataFrame([(1, "gaps in plans"), (2, None), (3, "plans plans")], "doc_id long, text string")
-    first, again = (retrieval.sparse_index(docs, str(tmp_path)) for _ in range(2))
+    first, again = (sparse.sparse_index(docs, str(tmp_path)) for _ in range(2))
     assert first.built and not again.built and (again.n_docs, again.avgdl) == (3, 4 / 3)
     assert {(r.doc_id, r.term, r.tf, r.dl) for r in again.postings.collect()} == {(1, "gaps", 1, 2), (1, "plans", 1, 2), (3, "plans", 2, 2)}
-    changed = retrieval.sparse_index(docs.unionByName(docs.where("doc_id = 3")), str(tmp_path))
+    changed = sparse.sparse_index(docs.unionByName(docs.where("doc_id = 3")), str(tmp_path))
     assert changed.built and changed.n_docs == 4
-    assert retrieval.sparse_index(docs.orderBy("text"), str(tmp_path)).built is False
-    empty = retrieval.sparse_index(docs.where("false"), str(tmp_path))
+    assert sparse.sparse_index(docs.orderBy("text"), str(tmp_path)).built is False
+    empty = sparse.sparse_index(docs.where("false"), str(tmp_path))
     asked = spark.createDataFrame([(7, "plans")], "query_id long, text string")
-    assert empty.n_docs == 0 and retrieval.bm25_topk(asked, docs.where("false"), empty, 3).count() == 0
+    assert empty.n_docs == 0 and sparse.bm25_topk(asked, docs.where("false"), empty, 3).count() == 0
 
 
 def pages_of(*texts):
@@ -277,3 +277,39 @@ def test_token_counts_of_tokenizers(spark):
         assert len(got) > 3 and all(r.token_count == count(r.text) and r.token_count <= 64 * 1.2 for r in got)
     with pytest.raises(ValueError):
         chunking.tokenizer_count("none", "x")("text")
+
+
+@pytest.mark.parametrize("n", [1, 5, 40])
+def test_bounded_search_equals_the_whole_one(spark, tmp_path, n):
+    """Skewed words, ties and repeats: bounds leave out postings, and no row of the result."""
+    import random
+
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda k: " ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=k))
+    rows = [(i, text(rng.randint(0, 40))) for i in range(400)]
+    rows += [(1000 + i, rows[7][1]) for i in range(12)] + [(2000, None), (2001, "w59 " * 30 + "w58 w57")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(0, "w0 w1 w2 w59 w58 w57"), (1, rows[7][1]), (2, "w0"), (3, "unknown"), (4, "w40 w41 w0 w0 w0"), (5, text(30))], "query_id long, text string")
+    index = sparse.sparse_index(docs, str(tmp_path))
+    whole, bounded = ([tuple(r) for r in sparse.bm25_topk(asked, docs, index, n, bounded_postings=limit).orderBy("query_id", "rank").collect()] for limit in (10**9, 0))
+    assert whole == bounded and len(whole) == 6 * n
+    every, needed, looked = sparse.postings_read(asked, index, n)
+    assert 0 < needed + looked <= every and (n > 1 or needed + looked < 0.8 * every)
+
+
+def test_common_terms_lie_in_many_files(spark, tmp_path):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("common "), F.col("id").cast("string"), F.lit(" other")).alias("text"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    index = sparse.sparse_index(docs, str(tmp_path / "index"), version=sparse.files(docs))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in index.postings.groupBy(F.input_file_name()).count().collect()]
+    assert index.built and len(sizes) > 2 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+    assert sparse.sparse_index(docs, str(tmp_path / "index"), version=sparse.files(docs)).built is False
+    # an unfinished build is passed over, an old version removed
+    home = next((tmp_path / "index").iterdir())
+    (home / "0unfinished" / "postings").mkdir(parents=True)
+    assert sparse.sparse_index(docs, str(tmp_path / "index"), version=sparse.files(docs)).built is False
+    assert sparse.drop_indexes(spark, str(tmp_path / "index"), keep=sparse.files(docs)) == 0 and sparse.drop_indexes(spark, str(tmp_path / "index")) == 1
