@@ -50,11 +50,21 @@ def one_of(**choices: list) -> dict:
     return {} if not parts else parts[0] if len(parts) == 1 else {"$and": parts}
 
 
-def route_question(category: Column, benchmark: Column, countries: Column) -> Column:
-    """The filter column and value that a question implies, as struct(field, value), or null."""
+def route_question(category: Column, benchmark: Column, countries: Column, source: str = "benchmark") -> Column:
+    """The filter column and value that a question implies, as struct(field, value), or null; ``source`` is the benchmark's."""
     none = F.lit(None).cast("struct<field:string,value:string>")
     return (
         F.when(category == "comparative", none)
-        .when(benchmark & (F.size(countries) == 0), F.struct(F.lit("source").alias("field"), F.lit("benchmark").alias("value")))
+        .when(benchmark & (F.size(countries) == 0), F.struct(F.lit("source").alias("field"), F.lit(source).alias("value")))
         .when(F.size(countries) == 1, F.struct(F.lit("country").alias("field"), countries[0].alias("value")))
     )
+
+
+def key_of(route: Column) -> Column:
+    """A route as one key ``field=value``, null where it is null."""
+    return F.concat(route["field"], F.lit("="), route["value"])
+
+
+def keys_of(**columns: Column) -> Column:
+    """The keys that a row answers to: one for each field whose column is not null."""
+    return F.array_compact(F.array(*[F.concat(F.lit(f"{k}="), c.cast("string")) for k, c in columns.items()]))

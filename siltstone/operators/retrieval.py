@@ -17,8 +17,10 @@ from siltstone.functions.text import is_garbled
 
 from .sparse import SparseIndex, bm25_topk, ranked
 
-#: Queries (vectors of a batch) that one pass may hold; more are searched in several.
-QUERY_ROWS = 4096
+#: Bytes of queries that every task may hold; bytes of a block of queries and of a slice of vectors beyond that.
+SHARED_BYTES, BLOCK_BYTES = 64 << 20, 4 << 20
+#: Scores that a task holds at once.
+SCORE_NUMBERS = 1 << 21
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -26,60 +28,93 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def _best(ids: np.ndarray, vectors: np.ndarray, n: int, places: int):
+def first_columns(scores: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, column) of the ``n`` largest of each line, by score and then by smaller id; only what may be among them is sorted."""
+    if scores.shape[1] > n:
+        edge = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
+        line, column = np.nonzero(scores >= edge[:, None])
+    else:
+        line, column = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((ids[column], -scores[line, column], line))
+    line, column = line[order], column[order]
+    place = np.arange(len(line)) - np.searchsorted(line, line)
+    return line[place < n], column[place < n]
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(column), -1)
+
+
+def compared(ids: np.ndarray, queries: np.ndarray, only: list[str | None], docs: np.ndarray, vectors: np.ndarray, keys: list[list[str] | None] | None, n: int, places: int) -> Iterator[pa.RecordBatch]:
+    """The first ``n`` of some vectors for each query, in blocks of queries whose scores fit ``SCORE_NUMBERS``; of those with the query's key, if it has one."""
+    step = max(1, SCORE_NUMBERS // max(len(docs), 1))
+    asked = sorted({k for k in only if k is not None})
+    code = np.array([0 if k is None else 1 + asked.index(k) for k in only], np.int64)
+    has = np.array([[True] * len(docs), *[[k in (own or ()) for own in keys or [None] * len(docs)] for k in asked]])
+    for i in range(0, len(ids) if len(docs) else 0, step):
+        scores = np.round(queries[i : i + step] @ vectors.T, places)
+        scores = np.where(has[code[i : i + step]], scores, -np.inf) if asked else scores
+        line, column = first_columns(scores, docs, n)
+        fits = scores[line, column] > -np.inf
+        line, column = line[fits], column[fits]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i + line]), pa.array(docs[column]), pa.array(scores[line, column])], names=["query_id", "doc_id", "score"])
+
+
+def _scan(shared, n: int, places: int):
+    """Each batch of vectors against all queries, which the task holds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries, only = shared.value
         for batch in batches:
             keep = batch.filter(batch.column(1).is_valid())
-            col = keep.column(1)
-            if not len(col):
-                continue
-            x = np.asarray(col.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(col), -1)
-            scores = np.round(vectors @ x.T, places)
-            docs = keep.column(0).to_numpy()
-            take = min(n + 1, len(docs))
-            # the best of this batch, ties to the smaller id
-            order = np.lexsort((np.broadcast_to(docs, scores.shape), -scores), axis=1)[:, :take]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, take)), pa.array(docs[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())],
-                names=["query_id", "doc_id", "score"],
-            )
+            if keep.num_rows:
+                yield from compared(ids, queries, only, keep.column(0).to_numpy(), _matrix(keep.column(1)), keep.column(2).to_pylist() if keep.num_columns > 2 else None, n, places)
 
     return run
 
 
-def _blocks(asked: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The ids and vectors of (query_id, embedding), at most ``QUERY_ROWS`` at once, whole ids together."""
-    first = asked.limit(QUERY_ROWS + 1).toArrow()
-    if first.num_rows > QUERY_ROWS:
-        cuts = asked.groupBy("query_id").count().orderBy("query_id").toArrow()
-        ids, upto = cuts.column(0).to_numpy(), np.cumsum(cuts.column(1).to_numpy())
-        parts, i = [], 0
-        while i < len(ids):
-            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + QUERY_ROWS, side="right")))
-            parts.append(asked.where(F.col("query_id").between(int(ids[i]), int(ids[j - 1]))))
-            i = j
-    else:
-        parts = [first]
-    for part in parts:
-        t = part if isinstance(part, pa.Table) else part.toArrow()
-        if t.num_rows:
-            yield t.column("query_id").to_numpy(), np.array(t.column("embedding").to_pylist(), dtype=np.float64)
+def _meet(n: int, places: int):
+    """A block of queries against a slice of vectors."""
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+        if not (left.num_rows and right.num_rows):
+            return schema.empty_table()
+        only, keys = left.column("only").to_pylist(), right.column("keys").to_pylist() if "keys" in right.column_names else None
+        return pa.Table.from_batches(compared(left.column("query_id").to_numpy(), _matrix(left.column("embedding")), only, right.column("doc_id").to_numpy(), _matrix(right.column("embedding")), keys, n, places), schema)
+
+    return run
 
-def dense_topk(queries: DataFrame, vectors: DataFrame, n: int = 10, where: Column | None = None, exclude_self: bool = False, places: int = 6) -> DataFrame:
-    """Top ``n`` by cosine of unit vectors: exact, filter first.
 
-    A stated set of queries is compared with all rows in blocks: a matrix of queries goes to
-    every task, each batch of rows is one matrix product and leaves its best ``n`` a query.
-    The query matrix is bounded: queries are searched in blocks of at most ``QUERY_ROWS``, each
-    read to the driver by itself.
+def dense_topk(queries: DataFrame, vectors: DataFrame, n: int = 10, where: Column | None = None, exclude_self: bool = False, places: int = 6, shared_bytes: int = SHARED_BYTES) -> DataFrame:
+    """Top ``n`` by cosine of unit vectors: exact, filter first, in one pass over the vectors.
+
+    A stated set of queries is compared with all rows in blocks.  Queries of up to ``shared_bytes``
+    (counted) go to every task, and each batch of rows is a few matrix products that leave its best
+    ``n`` a query.  More queries are dealt to blocks and the rows to slices, and every block meets every
+    slice in one stage; no query then passes through the driver.
+
+    A query with a key in ``only`` (a column that may be left out) meets the rows that have it among
+    their ``keys``: filters that differ from query to query are still one search.
     """
-    rows = vectors.where(where) if where is not None else vectors
-    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
-    schema = "query_id bigint, doc_id bigint, score double"
-    found = rows.sparkSession.createDataFrame([], schema)
-    for ids, matrix in _blocks(asked):
-        found = found.unionByName(rows.select("doc_id", "embedding").mapInArrow(_best(ids, matrix, n, places), schema))
+    routed = "only" in queries.columns
+    rows = (vectors.where(where) if where is not None else vectors).select("doc_id", "embedding", *(["keys"] if routed else []))
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding", F.col("only") if routed else F.lit(None).cast("string").alias("only"))
+    spark, schema, take = rows.sparkSession, "query_id bigint, doc_id bigint, score double", n + 1 if exclude_self else n
+    many, size = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    if many * (size or 0) * 8 <= shared_bytes:
+        t = asked.toArrow()
+        held = (t.column("query_id").to_numpy(), _matrix(t.column("embedding")) if t.num_rows else np.zeros((0, 0)), t.column("only").to_pylist())
+        found = rows.mapInArrow(_scan(spark.sparkContext.broadcast(held), take, places), schema)
+    else:
+        blocks = -(-many * size * 8 // BLOCK_BYTES)
+        known = rows.where(F.col("embedding").isNotNull())
+        slices = max(1, -(-known.count() * size * 8 // BLOCK_BYTES))
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(int(k - 1))))
+        left = asked.select("query_id", "embedding", "only", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), every(slices).alias("slice"))
+        right = known.select(*known.columns, every(blocks).alias("block"), F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"))
+        found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(_meet(take, places), schema)
     found = found.where("query_id <> doc_id") if exclude_self else found
     return ranked(found, n, F.desc("score"), F.col("doc_id"))
 

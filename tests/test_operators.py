@@ -47,14 +47,37 @@ def test_dense_filters_first(spark):
 
 
 def test_dense_searches_many_queries_in_blocks(spark, monkeypatch):
-    rows = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(25)], "doc_id long, embedding array<double>")
+    rows = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(25)] + [(90, [math.cos(3), math.sin(3)]), (91, None)], "doc_id long, embedding array<double>")
     q = rows.withColumnRenamed("doc_id", "query_id")
     whole = sorted(map(tuple, retrieval.dense_topk(q, rows, 3, exclude_self=True).collect()))
-    monkeypatch.setattr(retrieval, "QUERY_ROWS", 4)
-    assert sorted(map(tuple, retrieval.dense_topk(q, rows, 3, exclude_self=True).collect())) == whole and len(whole) == 75
-    monkeypatch.undo()
-    many = spark.range(retrieval.QUERY_ROWS + 5).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
-    assert retrieval.dense_topk(many, rows, 1).count() == retrieval.QUERY_ROWS + 5
+    assert len(whole) == 78 and [r[1] for r in whole if r[0] == 3][0] == 90
+    monkeypatch.setattr(retrieval, "SCORE_NUMBERS", 50)
+    assert sorted(map(tuple, retrieval.dense_topk(q, rows, 3, exclude_self=True).collect())) == whole
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 100)  # blocks meet slices
+    assert sorted(map(tuple, retrieval.dense_topk(q, rows, 3, exclude_self=True, shared_bytes=0).collect())) == whole
+
+
+def test_first_columns_keeps_ties_in_order_of_ids():
+    import numpy as np
+
+    scores, ids = np.array([[1.0, 3.0, 3.0, 2.0, 3.0], [0.0, 0.0, 0.0, 0.0, 0.0]]), np.array([5, 9, 4, 1, 7])
+    line, column = retrieval.first_columns(scores, ids, 2)
+    assert list(zip(line.tolist(), ids[column].tolist(), strict=True)) == [(0, 4), (0, 7), (1, 1), (1, 4)]
+    assert retrieval.first_columns(scores, ids, 9)[0].tolist() == [0] * 5 + [1] * 5
+
+
+@pytest.mark.parametrize("shared", [1 << 20, 0])
+def test_each_question_has_its_own_filter(spark, shared):
+    rows = spark.createDataFrame([(i, [math.cos(i), math.sin(i)], [f"c={i % 3}", "all=1"] if i % 5 else None) for i in range(40)], "doc_id long, embedding array<double>, keys array<string>")
+    asked = [(100, [1.0, 0.0], "c=1"), (101, [1.0, 0.0], None), (102, [0.0, 1.0], "c=9"), (103, [0.0, 1.0], "all=1"), (104, None, "c=1")]
+    got: dict = {}
+    for r in retrieval.dense_topk(spark.createDataFrame(asked, "query_id long, embedding array<double>, only string"), rows, 4, shared_bytes=shared).collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    for q, v, only in asked[:4]:
+        fits = [i for i in range(40) if only is None or (i % 5 and only in (f"c={i % 3}", "all=1"))]
+        best = sorted(fits, key=lambda i: (-round(v[0] * math.cos(i) + v[1] * math.sin(i), 6), i))[:4]
+        assert sorted(got.get(q, [])) == sorted(best)
+    assert 104 not in got
 
 
 def test_ranking_metrics(spark):
