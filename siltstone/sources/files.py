@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +79,34 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("report_dimension", F.split(name, "__")[0]).withColumn("report_entity", F.replace(F.split(name, "__")[1], F.lit("_"), F.lit(" ")))
 
 
+# Answers after which a download is tried again, how often, and the first wait in seconds, which doubles.
+RETRY_ON, ATTEMPTS, FIRST_WAIT = (429, 500, 502, 503, 504), 4, 1.5
+
+
+class Refused(Exception):
+    """A server's answer other than success; ``after``: the seconds it asks to wait."""
+
+    def __init__(self, status: int, after: float | None = None):
+        super().__init__(f"status {status}")
+        self.status, self.after = status, after
+
+
+def retrying(fetch, attempts: int = ATTEMPTS, retry_on: tuple[int, ...] = RETRY_ON, first_wait: float = FIRST_WAIT, wait=time.sleep):
+    """``fetch`` that waits and tries again after refusals that may pass (and broken connections), longer each time or as long as the server asks."""
+
+    def run(url: str) -> bytes:
+        for i in range(attempts):
+            try:
+                return fetch(url)
+            except (Refused, ConnectionError, TimeoutError) as e:
+                if i == attempts - 1 or (isinstance(e, Refused) and e.status not in retry_on):
+                    raise
+                wait(getattr(e, "after", None) or first_wait * 2**i)
+        raise AssertionError("no attempts")
+
+    return run
+
+
 def download(manifest: DataFrame, fetch, partitions: int = 4) -> DataFrame:
     """(label, url, status, size, md5, error): the first of each row's ``urls`` whose bytes are a PDF.
 
@@ -112,15 +142,6 @@ def missing_from(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return rows.join(existing.select(key), key, "left_anti")
 
 
-def upsert(rows: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends rows with new keys to a Parquet table; what was appended.  Repeated keys of a batch go in once."""
-    spark = rows.sparkSession
-    fresh = missing_from(rows, spark.read.parquet(path), key) if exists(spark, path) else rows
-    fresh = fresh.dropDuplicates([key])
-    fresh.write.mode("append").parquet(path)
-    return fresh
-
-
 def sanitise(df: DataFrame, strings: list[str], drop: tuple[str, ...] = ("text", "chunk_id", "doc_id"), most: int = 500) -> DataFrame:
     """Metadata as a store without nulls wants it: empty text, 0, long text cut, nested values as JSON."""
     out = []

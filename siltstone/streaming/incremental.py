@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siltstone.functions.text import clean_page, is_garbled
-from siltstone.sources.files import upsert
+from siltstone.sources.upsert import upsert
 
 
-def ingest(spark: SparkSession, source: str, target: str, state: str, schema, key: str = "doc_id") -> StreamingQuery:
+def ingest(spark: SparkSession, source: str, target: str, state: str, schema, key: str = "doc_id", name: str = "ingest") -> StreamingQuery:
     """Starts a run over the files that came since the last one, and stops by itself.
 
-    The checkpoint in ``state`` remembers the files; keys that the target has are left out, so
-    a batch that runs again after a failure adds nothing twice.
+    The checkpoint in ``state`` remembers the files; a batch is committed under its number, and keys that the
+    target has are left out, so a batch that runs again after a failure adds nothing twice.  Read the
+    target with ``upsert.read``.
     """
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         rows = batch.withColumn("text", clean_page(F.coalesce("text", F.lit("")))).withColumn("garbled", is_garbled(F.col("text")))
-        upsert(rows, target, key)
+        upsert(rows, target, key, f"{name}-{number}")
 
     rows = spark.readStream.schema(schema).parquet(source)
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import chunking, evaluation, gap, prompts, retrieval, sparse
-from siltstone.sources import files
+from siltstone.sources import files, upsert
 from siltstone.streaming import incremental
 
 
@@ -190,7 +190,8 @@ def test_ingestion_is_incremental(spark, tmp_path):
     incremental.ingest(spark, src, out, state, schema).awaitTermination(120)
     spark.createDataFrame([(2, prose), (3, "a-\nb " + prose)], schema).write.mode("append").parquet(src)
     incremental.ingest(spark, src, out, state, schema).awaitTermination(120)
-    assert sorted((r.doc_id, r.garbled) for r in spark.read.parquet(out).collect()) == [(1, False), (2, True), (3, False)]
+    assert sorted((r.doc_id, r.garbled) for r in upsert.read(spark, out, "doc_id long, text string, garbled boolean").collect()) == [(1, False), (2, True), (3, False)]
+    assert [(r.rows, r.inserted, r.known) for r in upsert.ingest_report(spark, out).collect()] == [(2, 2, 0), (2, 1, 1)]
 
 
 def test_passes(spark):
