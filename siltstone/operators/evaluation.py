@@ -182,3 +182,69 @@ def failure_predictors(df: DataFrame, properties: dict[str, Column], fails: Colu
     delta = F.col("failure_rate") - F.col("base")
     note = F.when(delta > 0.05, "higher failure rate").when(delta < -0.05, "lower failure rate").otherwise("similar to baseline")
     return agg.crossJoin(F.broadcast(base)).select("property", "n", "failure_rate", delta.alias("delta"), note.alias("note"))  # one row
+
+
+def exemplars(cases: DataFrame, by: str, most: int, *order: Column) -> DataFrame:
+    """(``by``, n, cases): how many rows each group has, and its first ``most`` as structs, in order.
+
+    Rows are limited in each task before the shuffle, so an array never holds more than ``most``.
+    """
+    rest = [c for c in cases.columns if c != by]
+    placed = cases.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= most)
+    nested = placed.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("place", *rest))).alias("cases"))
+    counts = cases.groupBy(by).agg(F.count("*").alias("n"))
+    return counts.join(nested.withColumnRenamed(by, "__by"), F.col(by).eqNullSafe(F.col("__by"))).select(by, "n", "cases")
+
+
+# What is advised, when: the kind of fact and its name, the value it must be above, and the priority.
+RULES = (
+    ("FM1_RETRIEVAL_MISS", "count", "FM1_RETRIEVAL_MISS", 0.0, "HIGH", "widen retrieval"),
+    ("FM2_CONTEXT_PRECISION", "count", "FM2_CONTEXT_PRECISION", 0.0, "HIGH", "rank contexts again"),
+    ("FM3_CONTEXT_RECALL", "count", "FM3_CONTEXT_RECALL", 0.0, "MEDIUM", "fetch more contexts"),
+    ("FM4_HALLUCINATION", "count", "FM4_HALLUCINATION", 0.0, "HIGH", "bind answers to contexts"),
+    ("FM5_OVER_CONSTRAINED", "count", "FM5_OVER_CONSTRAINED", 0.0, "MEDIUM", "ask for the figures"),
+    ("FM7_CORPUS_GAP", "pct", "corpus", 10.0, "MEDIUM", "extend the corpus"),
+    ("HARD_QUESTIONS", "delta", "hard", 0.10, "MEDIUM", "fetch more for hard questions"),
+)
+PRIORITIES = ("HIGH", "MEDIUM", "LOW")
+
+
+def facts(modes: DataFrame, layers: DataFrame, predictors: DataFrame) -> DataFrame:
+    """(kind, name, value): counts of failure modes, percentages of layers, and what properties add to the failure rate."""
+    n = modes.select(F.explode("modes").alias("name")).groupBy("name").agg(F.count("*").cast("double").alias("value"))
+    return (
+        n.select(F.lit("count").alias("kind"), "name", "value")
+        .unionByName(layers.select(F.lit("pct").alias("kind"), F.col("layer").alias("name"), F.col("pct").cast("double").alias("value")))
+        .unionByName(predictors.select(F.lit("delta").alias("kind"), F.col("property").alias("name"), F.col("delta").alias("value")))
+    )
+
+
+def advise(found: DataFrame, rules=RULES) -> DataFrame:
+    """(target, priority, advice, value, place): the rules whose fact is above their limit, in order of priority and then of the rules."""
+    spark = found.sparkSession
+    table = spark.createDataFrame([(*r, 100 * PRIORITIES.index(r[4]) + i) for i, r in enumerate(rules)], "target string, kind string, name string, above double, priority string, advice string, place long")
+    return found.join(F.broadcast(table), ["kind", "name"]).where(F.col("value") > F.col("above")).select("target", "priority", "advice", "value", "place")  # as many rows as rules
+
+
+def extremes(df: DataFrame, by: str, value: str, places: int = 5) -> DataFrame:
+    """(``by``, mean, best, worst): each group's mean, and whether it is the largest or the smallest of all."""
+    means = df.groupBy(by).agg(F.round(F.avg(value), places).alias("mean"))
+    every = Window.partitionBy()  # one row a group
+    return means.select(by, "mean", (F.col("mean") == F.max("mean").over(every)).alias("best"), (F.col("mean") == F.min("mean").over(every)).alias("worst"))
+
+
+def metric_table(rows: DataFrame, variant: str, metrics: dict[str, bool]) -> DataFrame:
+    """(metric, variant, value, best): wide measures as rows, with a flag at the best of each metric; ``metrics`` tells which are better when larger."""
+    wide = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"), F.lit(up).alias("up")) for m, up in metrics.items()]))
+    long_ = rows.select(F.col(variant).alias("variant"), wide.alias("m")).select("m.metric", "variant", "m.value", "m.up")
+    best = Window.partitionBy("metric")
+    flag = F.col("value") == F.when(F.col("up"), F.max("value").over(best)).otherwise(F.min("value").over(best))
+    return long_.select("metric", "variant", "value", F.coalesce(flag, F.lit(False)).alias("best"))
+
+
+def rouge_all(pairs: DataFrame, key: str = "id", hyp: str = "hyp", ref: str = "ref") -> DataFrame:
+    """(key, rouge1, rouge2, rougeL): structs of precision, recall and f1."""
+    grams = rouge(pairs, (1, 2), key, hyp, ref)
+    one = lambda n: F.max(F.when(F.col("n") == n, F.struct("precision", "recall", "f1"))).alias(f"rouge{n}")
+    lcs = rouge_l(pairs, key, hyp, ref).select(key, F.struct("precision", "recall", "f1").alias("rougeL"))
+    return grams.groupBy(key).agg(one(1), one(2)).join(lcs, key)

@@ -59,6 +59,18 @@ def pairs(scores: DataFrame, entity: str = "entity", position: str = "position",
     return met.select(dimension, "entity_a", "entity_b", "score_a", "score_b", gap.alias("relative_gap"), F.when(F.col("score_a") < F.col("score_b"), F.col("entity_a")).otherwise(F.col("entity_b")).alias("leader"))
 
 
+def common_leader(scores: DataFrame, entity: str = "entity", position: str = "position", dimension: str = "dimension", score: str = "score") -> DataFrame:
+    """(entity_a, entity_b, common, total_a, total_b, leader): pairs of entities over the dimensions that both have, led by the smaller total; a tie has no leader.
+
+    All pairs of a dimension's entities meet, as many as the reference tables have; totals are added up map-side.
+    """
+    x = scores.where(F.col(score).isNotNull()).select(dimension, F.col(entity).alias("e"), F.col(position).alias("p"), F.col(score).alias("s"))
+    a, b = (x.select(dimension, *[F.col(c).alias(f"{c}_{side}") for c in ("e", "p", "s")]) for side in "ab")
+    met = a.join(b, dimension).where("p_a < p_b").groupBy(F.col("e_a").alias("entity_a"), F.col("e_b").alias("entity_b"))
+    sums = met.agg(F.array_sort(F.collect_set(dimension)).alias("common"), F.round(F.sum("s_a"), 6).alias("total_a"), F.round(F.sum("s_b"), 6).alias("total_b"))
+    return sums.withColumn("leader", F.when(F.col("total_a") < F.col("total_b"), F.col("entity_a")).when(F.col("total_b") < F.col("total_a"), F.col("entity_b")))
+
+
 def ranking(scores: DataFrame, entity: str = "entity", score: str = "score") -> DataFrame:
     """Entities by mean score, lowest first; the mean's label and the number of scored cells."""
     by = scores.where(F.col(score).isNotNull()).groupBy(entity).agg(F.avg(score).alias("mean_score"), F.count("*").alias("cells"))

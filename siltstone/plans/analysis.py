@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.scores import canonical_gap_type, cost, dirty_null, safe_double, severity_label
+from siltstone.functions.text import overlap_tokens
 from siltstone.operators import evaluation, gap, passes, resampling
 from siltstone.sources import files
 from siltstone.streaming.incremental import windowed_counts
@@ -81,8 +82,9 @@ def rouge_1_2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rouge_l(spark: SparkSession, d: str) -> DataFrame:
-    """By the longest common subsequence; no SQL, tested against a plain table."""
-    return evaluation.rouge_l(exchanges(spark, d))
+    """By the longest common subsequence; rounded."""
+    m = evaluation.rouge_l(exchanges(spark, d))
+    return m.select("id", *[F.round(c, 6).alias(n) for c, n in (("precision", "p"), ("recall", "r"), ("f1", "f"))])
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -129,16 +131,47 @@ def failure_predictors(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.failure_predictors(t, p, fails).select("property", "n", F.round("failure_rate", 5).alias("failure_rate"), F.round("delta", 5).alias("delta"), "note")
 
 
-# Mode, priority and what to do about it.
-ADVICE = (("FM1_RETRIEVAL_MISS", "HIGH", "widen retrieval"), ("FM2_CONTEXT_PRECISION", "MEDIUM", "rank contexts again"), ("FM3_CONTEXT_RECALL", "MEDIUM", "fetch more contexts"), ("FM4_HALLUCINATION", "HIGH", "bind answers to contexts"), ("FM5_OVER_CONSTRAINED", "LOW", "loosen the prompt"), ("FM6_METRIC_MISMATCH", "LOW", "measure meaning"), ("FM7_CORPUS_GAP", "HIGH", "extend the corpus"))
+def _predicted(spark: SparkSession, d: str) -> DataFrame:
+    t = evaluation.failure_taxonomy(_answers(spark, d))
+    fails = ~F.col("primary_mode").isin("NONE", "FM6_METRIC_MISMATCH", "FM7_CORPUS_GAP")
+    return evaluation.failure_predictors(t, {"hard": F.col("turn") > 2, "numbers": F.col("numbers")}, fails)
 
 
 def recommendations(spark: SparkSession, d: str) -> DataFrame:
-    """Advice for each mode that occurs, highest priority first."""
-    n = evaluation.failure_taxonomy(_answers(spark, d)).groupBy(F.col("primary_mode").alias("mode")).agg(F.count("*").alias("n"))
-    rules = F.broadcast(spark.createDataFrame(ADVICE, "mode string, priority string, advice string"))
-    place = F.when(F.col("priority") == "HIGH", 0).when(F.col("priority") == "MEDIUM", 1).otherwise(2).cast("bigint")
-    return n.join(rules, "mode").select("mode", "n", "priority", "advice", place.alias("place"))
+    """Advice whose rule holds: modes that occur, a corpus gap of over a tenth, hard questions that fail more often by over a tenth."""
+    t = evaluation.failure_taxonomy(_answers(spark, d))
+    return evaluation.advise(evaluation.facts(t, evaluation.layer_attribution(t), _predicted(spark, d))).withColumn("value", F.round("value", 4))
+
+
+def failure_cases(spark: SparkSession, d: str) -> DataFrame:
+    """The three worst answers of over 20 characters of each mode as nested cases, one line a case."""
+    t = evaluation.failure_taxonomy(_answers(spark, d)).where("answer_length > 20").join(exchanges(spark, d).select("id", F.substring("ref", 1, 300).alias("question"), F.substring("hyp", 1, 300).alias("answer")), "id")
+    cases = t.select(F.explode("modes").alias("mode"), "id", "rouge1", "category", "hallucination", "question", "answer")
+    nested = evaluation.exemplars(cases, "mode", 3, F.col("rouge1"), F.col("id"))
+    return nested.select("mode", "n", F.explode("cases").alias("c")).select("mode", "n", F.col("c.place").cast("bigint").alias("place"), "c.id", "c.rouge1", "c.category", "c.hallucination", "c.question", "c.answer")
+
+
+def category_extremes(spark: SparkSession, d: str) -> DataFrame:
+    """Mean overlap of each category, the best and the worst marked."""
+    return evaluation.extremes(_answers(spark, d), "category", "rouge1")
+
+
+def common_leader(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of nations over the dimensions that both have (a quarter of the cells is left out), led by the smaller total."""
+    c = cells(spark, d).where("commitments % 4 > 0")
+    return gap.common_leader(c).select("entity_a", "entity_b", F.array_join("common", ",").alias("common"), "total_a", "total_b", "leader")
+
+
+def metric_table(spark: SparkSession, d: str) -> DataFrame:
+    """The models' measures as a long table with the best of each marked."""
+    return evaluation.metric_table(model_summary(spark, d), "model", {"hallucination_rate": False, "unsupported_pct": False, "cost": False, "n": True})
+
+
+def common_words(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most common words of each role, ties by word."""
+    words = table(spark, d, "conversations").select("role", F.explode(overlap_tokens(F.coalesce("text", F.lit("")))).alias("word"))
+    n = words.groupBy("role", "word").agg(F.count("*").alias("n"))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy("role").orderBy(F.desc("n"), "word")).cast("bigint")).where("place <= 10")
 
 
 def model_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -218,7 +251,7 @@ def store_metadata(spark: SparkSession, d: str) -> DataFrame:
     return files.sanitise(docs, ["lang"]).select("key", "lang", "size", F.length("snippet").cast("bigint").alias("snippet_chars"))
 
 
-_ALL = (severity_labels, gap_matrix, precedence_merge, pairwise_leader, entity_ranking, gap_passes, worst_findings, normalised_values, rouge_1_2, rouge_l, failure_flags, failure_taxonomy, layer_attribution, failure_histogram, failure_predictors, recommendations, model_summary, model_advantage, argmax_by_group, bootstrap_ci, bootstrap_difference, incremental_anti_join, status_summary, key_report, alias_join, event_windows, store_metadata)
+_ALL = (severity_labels, gap_matrix, precedence_merge, pairwise_leader, entity_ranking, gap_passes, worst_findings, normalised_values, rouge_1_2, rouge_l, failure_flags, failure_taxonomy, layer_attribution, failure_histogram, failure_predictors, recommendations, failure_cases, category_extremes, common_leader, metric_table, common_words, model_summary, model_advantage, argmax_by_group, bootstrap_ci, bootstrap_difference, incremental_anti_join, status_summary, key_report, alias_join, event_windows, store_metadata)
 QUERIES = {f.__name__: f for f in _ALL}
 
 
@@ -276,7 +309,24 @@ ORACLE_SQL = {
     "layer_attribution": f"{_TAXONOMY} SELECT {_LAYER} AS layer, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM tt), 4)::DOUBLE AS pct FROM tt GROUP BY 1",
     "failure_histogram": f"{_TAXONOMY}, e AS (SELECT id, rouge1, unnest(modes) AS mode FROM tt), r AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY rouge1, id) AS place FROM e) SELECT mode, count(*) AS n, round(avg(rouge1), 5) AS mean_rouge1, string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (place <= 3) AS exemplars, round(count(*) * 100.0 / (SELECT count(*) FROM e), 4)::DOUBLE AS pct FROM r GROUP BY mode",
     "failure_predictors": f"{_TAXONOMY}, x AS (SELECT CASE WHEN primary_mode IN ('NONE', 'FM6_METRIC_MISMATCH', 'FM7_CORPUS_GAP') THEN 0.0 ELSE 1.0 END AS fail, unnest(['baseline', " + ", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in _PROPS.items()) + "]) AS property FROM tt), y AS (SELECT property, count(*) AS n, avg(fail)::DOUBLE AS rate FROM x WHERE property IS NOT NULL GROUP BY 1), z AS (SELECT *, rate - (SELECT rate FROM y WHERE property = 'baseline') AS delta FROM y) SELECT property, n, round(rate, 5) AS failure_rate, round(delta, 5) AS delta, CASE WHEN delta > 0.05 THEN 'higher failure rate' WHEN delta < -0.05 THEN 'lower failure rate' ELSE 'similar to baseline' END AS note FROM z",
-    "recommendations": f"{_TAXONOMY}, r(mode, priority, advice) AS (VALUES " + ", ".join(str(x) for x in ADVICE) + ") SELECT mode, count(*) AS n, priority, advice, CASE priority WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END::BIGINT AS place FROM tt JOIN r ON mode = primary_mode GROUP BY ALL",
+    "recommendations": f"""{_TAXONOMY}, y AS (SELECT avg(fail) FILTER (turn > 2) - avg(fail) AS delta FROM (SELECT turn, CASE WHEN primary_mode IN ('NONE', 'FM6_METRIC_MISMATCH', 'FM7_CORPUS_GAP') THEN 0.0 ELSE 1.0 END AS fail FROM tt)),
+      f AS (SELECT 'count' AS kind, mode AS name, count(*)::DOUBLE AS value FROM (SELECT unnest(modes) AS mode FROM tt) GROUP BY mode UNION ALL SELECT 'pct', layer, count(*) * 100.0 / (SELECT count(*) FROM tt) FROM (SELECT {_LAYER} AS layer FROM tt) GROUP BY 2 UNION ALL SELECT 'delta', 'hard', delta FROM y),
+      r(target, kind, name, above, priority, advice, place) AS (VALUES """ + ", ".join(str((*r, 100 * evaluation.PRIORITIES.index(r[4]) + i)) for i, r in enumerate(evaluation.RULES)) + """)
+      SELECT target, priority, advice, round(value, 4)::DOUBLE AS value, place::BIGINT AS place FROM f JOIN r USING (kind, name) WHERE value > above""",
+    "failure_cases": f"{_TAXONOMY}, e AS (SELECT tt.*, substr(ref, 1, 300) AS question, substr(hyp, 1, 300) AS answer, unnest(modes) AS mode FROM tt JOIN ex USING (id) WHERE answer_length > 20), r AS (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY rouge1, id) AS place, count(*) OVER (PARTITION BY mode) AS n FROM e) SELECT mode, n, place, id, rouge1, category, hallucination, question, answer FROM r WHERE place <= 3",
+    "category_extremes": _ANSWERS + " SELECT category, round(avg(rouge1), 5) AS mean, round(avg(rouge1), 5) = max(round(avg(rouge1), 5)) OVER () AS best, round(avg(rouge1), 5) = min(round(avg(rouge1), 5)) OVER () AS worst FROM a GROUP BY category",
+    "common_leader": f"""WITH {SQL_CELLS}, c AS (SELECT * FROM cells WHERE commitments % 4 > 0), m AS (SELECT a.entity AS entity_a, b.entity AS entity_b, string_agg(a.dimension, ',' ORDER BY a.dimension) AS common, round(sum(a.score), 6)::DOUBLE AS total_a, round(sum(b.score), 6)::DOUBLE AS total_b
+        FROM c a JOIN c b ON a.dimension = b.dimension AND a.position < b.position GROUP BY 1, 2) SELECT *, CASE WHEN total_a < total_b THEN entity_a WHEN total_b < total_a THEN entity_b END AS leader FROM m""",
+    "metric_table": """WITH t AS (SELECT l_returnflag AS model, count(*)::DOUBLE AS n, round(avg(l_discount), 6) AS hallucination_rate, round(sum(l_tax) * 100 / sum(l_tax + l_discount), 4) AS unsupported_pct, round(sum(l_quantity * 100 * 0.000005), 2) AS cost FROM lineitem GROUP BY 1),
+      u AS (SELECT unnest(['n', 'hallucination_rate', 'unsupported_pct', 'cost']) AS metric, model AS variant, unnest([n, hallucination_rate, unsupported_pct, cost]) AS value FROM t)
+      SELECT metric, variant, value, value = CASE WHEN metric = 'n' THEN max(value) OVER (PARTITION BY metric) ELSE min(value) OVER (PARTITION BY metric) END AS best FROM u""",
+    "common_words": f"WITH n AS (SELECT role, word, count(*) AS n FROM (SELECT role, unnest({sql_overlap('text')}) AS word FROM conversations) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY n DESC, word) AS place FROM n) WHERE place <= 10",
+    "rouge_l": f"""WITH {SQL_EXCHANGES}, w AS (SELECT id, {sql_overlap('hyp')} AS x, {sql_overlap('ref')} AS y FROM ex),
+      l AS (SELECT id, len(x) AS h, len(y) AS r, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0 ELSE list_reduce(list_transform(y, lambda t: {{'row': []::BIGINT[], 't': t}}),
+        lambda a, e: {{'row': list_transform([list_transform(range(1, len(x) + 1), lambda i: CASE WHEN x[i] = e.t THEN CASE WHEN i = 1 THEN 0 ELSE a.row[i - 1] END + 1 ELSE a.row[i] END)], lambda t: list_transform(range(1, len(x) + 1), lambda j: list_max(list_slice(t, 1, j))))[1], 't': ''}},
+        {{'row': list_transform(x, lambda t: 0::BIGINT), 't': ''}}).row[-1] END AS n FROM w),
+      p AS (SELECT id, CASE WHEN h = 0 THEN 0.0 ELSE n / h END AS p, CASE WHEN r = 0 THEN 0.0 ELSE n / r END AS r FROM l)
+      SELECT id, round(p, 6)::DOUBLE AS p, round(r, 6)::DOUBLE AS r, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6)::DOUBLE AS f FROM p""",
     "model_summary": "SELECT l_returnflag AS model, count(*) AS n, round(avg(l_discount), 6) AS hallucination_rate, round(sum(l_tax) * 100 / sum(l_tax + l_discount), 4) AS unsupported_pct, round(sum(l_quantity * 100 * 0.000005), 2) AS cost, round(coalesce(avg(l_extendedprice), 0.0), 3) AS latency FROM lineitem GROUP BY 1",
     "model_advantage": _ANSWERS + " SELECT category, count(*) FILTER (precision - recall > 0.15) AS gains, count(*) FILTER (precision - recall < -0.05) AS losses, count(*) FILTER (greatest(precision, recall) < 0.15) AS both_low, count(*) AS n FROM a WHERE precision > 0 AND recall > 0 GROUP BY category",
     "argmax_by_group": "WITH t AS (SELECT event_type, user_id, round(sum(value), 4) AS total FROM events GROUP BY ALL) SELECT event_type, user_id, total FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY total DESC, user_id) AS rn FROM t) WHERE rn = 1",
