@@ -231,8 +231,8 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_column: str
 
     ``queries`` (a condition on ``vectors``) names the queries; candidates are all rows but
     those with the query's own id.  Score is the Euclidean distance of the original vectors; ties go to the
-    smaller id.  Rows with a null id or an unusable vector (see ``usable``) take no part.  All
-    vectors must have one length.  Of repeated ids every row is a candidate; a query id that
+    smaller id.  Rows with a null id or an unusable vector (see ``usable``) take no part.
+    Vectors of unequal length are an error.  Of repeated ids every row is a candidate; a query id that
     repeats with one vector asks once.  Other columns of ``vectors`` are ignored, whatever
     their names.  No usable rows, or no queries, give no rows.  ``open_share`` replaces what
     ``opened_share`` says.
@@ -250,7 +250,10 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 10, id_column: str
     unique = few.groupBy("h", "x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     unique = cut(unique.withColumn("v", F.monotonically_increasing_id()).withColumn("least", F.col("ids")[0]))
     asking = cut(rows.where("asks").select("h", "x", "id").distinct().join(unique.select("h", "x", "v"), ["h", "x"]).select("v", "id"))
-    total, asked_rows = unique.count(), asking.select("v").distinct().count()
+    total, short, long_ = unique.agg(F.count("*"), F.min(F.size("x")), F.max(F.size("x"))).first()
+    if total and short != long_:
+        raise ValueError(f"vectors have from {short} to {long_} components; all must have as many")
+    asked_rows = asking.select("v").distinct().count()
     sample = unique.orderBy(F.xxhash64("h", F.lit(seed)), "x").limit(sample_rows).select("x").toArrow()
     points = _matrix(sample.column("x").combine_chunks()) if sample.num_rows else np.zeros((0, 1))
     depth = max(0, min(int(np.ceil(np.log2(max(total / leaf_rows, 1)))), int(np.log2(max(len(points) / LEAF_SAMPLE, 1)))))

@@ -48,7 +48,8 @@ def turns(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", r
     """One row a conversation: ``conv`` and its sorted ``turns`` (role, text).
 
     Turns sort by number, nulls first, then role and text; null roles and texts count as
-    empty.  Repeated rows stay.  A null id is one conversation.  Other columns are dropped.
+    empty.  Repeated rows stay.  A null id is one conversation.  Other columns are dropped.  A
+    conversation is one row whatever its length, so it must fit in a task.  An empty table gives no rows.
     """
     parts = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = conversations.select(F.col(conv), parts.alias("t")).groupBy(conv).agg(F.array_sort(F.collect_list("t")).alias("t"))
@@ -59,7 +60,9 @@ def format_turns(rows: DataFrame, template: Template = Template(), column: str =
     """``rows`` with ``formatted`` and ``loss`` in place of ``turns``.
 
     ``loss`` lists the spans (start from 0, end; in code points of ``formatted``) of the
-    learned role's texts, escaped, without any control string.
+    learned role's texts, escaped, without any control string.  Own columns called ``formatted`` or
+    ``loss`` are replaced; all others stay, and so do rows.  A conversation without turns is formatted as
+    the empty one; a very long one is one string.  An empty table gives no rows.
     """
     block = "struct<role:string,texts:array<string>>"
 

@@ -353,7 +353,7 @@ def tokenize(docs: DataFrame, model: bytes, text: str = "text", out: str = "ids"
 
     Null counts as the empty text and gives an empty array.  Whole texts are encoded, of any
     length; rows are kept one to one, repeated rows too.  An own column called ``out`` is
-    replaced.  The model, half a megabyte, is broadcast.
+    replaced.  The model, half a megabyte, is broadcast.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)

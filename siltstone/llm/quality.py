@@ -183,7 +183,9 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, train_on: Column, id_column: str = "doc_id", text: str = "text", label: str = "quality", training_rows: int = TRAINING_ROWS) -> Model:
     """Word vectors of all ``docs`` and a network for the labels that ``train_on`` (over ``id``) admits.
 
-    Without rows of both classes every score is the share of label 1, or a half without any.
+    Without rows of both classes every score is the share of label 1, or a half without any; so with an
+    empty table.  Contradictory labels of one id count by their mean (a half as 1), and every row of a repeated
+    document id is one of training.
     """
     prepare(docs.sparkSession)
     vectors = word_vectors(docs, text)
@@ -201,7 +203,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
     """``docs`` with the probability ``out`` (double, 0 to 1) that a text is good.
 
     The text column goes unless ``keep_text``; an own column called ``out`` is replaced.  Null
-    and empty texts get the score of a zero vector.  Texts are scored whole; rows stay one to one.
+    and empty texts get the score of a zero vector.  Texts are scored whole; rows stay one to one, and
+    repeated ones score alike.  The caller sets the threshold; a score equal to it counts as reaching it in
+    the registered query and in the pipeline.  An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -300,7 +300,8 @@ def store(docs: DataFrame, text: str = "text", out: str = "media", level: int =
 
     The page is 576 samples wide, in deflated strips of 64 rows with the horizontal
     predictor.  Null counts as empty.  Texts are stored whole; the text column goes.  Own
-    columns called ``out`` or ``n_bytes`` are replaced.
+    columns called ``out`` or ``n_bytes`` are replaced.  Rows stay one to one; equal texts have equal files.
+    An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     given, back = aliased(docs, text, out, "n_bytes")
@@ -327,7 +328,8 @@ def pages(files: DataFrame, media: str = "media") -> DataFrame:
 
     ``pixels`` are the samples in row order, low byte first.  A null or damaged file gives
     the pages before the damage and one row with ``page`` null and an ``error``.  Own columns
-    called like one of ``PAGE_FIELDS`` are replaced; ``media`` must not be called so.
+    called like one of ``PAGE_FIELDS`` are replaced; ``media`` must not be called so.  Repeated files
+    give their pages again.  An empty table gives no rows.
     """
     prepare(files.sparkSession)
     import pyspark.sql.types as T

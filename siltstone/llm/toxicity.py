@@ -422,7 +422,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
     """``docs`` with the probability ``out`` (double, 0 to 1) that a text is toxic.
 
     The text column goes unless ``keep_text``; an own column called ``out`` is replaced.  Null
-    and empty texts get the score of no evidence.  Texts are scored whole; rows stay one to one.
+    and empty texts get the score of no evidence.  Texts are scored whole; rows stay one to one, and
+    repeated ones score alike.  The caller sets the threshold; a score equal to it counts as reaching it in
+    the registered query and in the pipeline.  An empty table gives no rows.
     """
     prepare(docs.sparkSession)
     given, back = aliased(docs, out, *([] if keep_text else [text]))
