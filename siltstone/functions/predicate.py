@@ -28,6 +28,15 @@ def compile_filter(condition: dict | str | None) -> Column:
     return reduce(and_, (_leaf(F.col(f"`{k}`"), v) for k, v in condition.items()), F.lit(True))
 
 
+def compile_equalities(condition: dict | None) -> Column:
+    """The plainer filter of evaluations: ``$and`` and ``$or`` nest, everything else is equality, other ``$`` keys are ignored."""
+    condition = condition or {}
+    for key, join, start in (("$and", and_, True), ("$or", or_, False)):
+        if key in condition:
+            return reduce(join, map(compile_equalities, condition[key]), F.lit(start))
+    return reduce(and_, (F.col(f"`{k}`").eqNullSafe(F.lit(v)) for k, v in condition.items() if not k.startswith("$")), F.lit(True))
+
+
 def _leaf(c: Column, value) -> Column:
     if not isinstance(value, dict):
         return c.eqNullSafe(F.lit(value))

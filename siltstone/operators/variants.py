@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import tokenise
@@ -76,3 +76,28 @@ def judged(lists: DataFrame, relevant: DataFrame, totals: DataFrame, cuts: tuple
 def summary(rows: DataFrame, places: int = 5) -> DataFrame:
     """(variant, k, n, n_failed, means): failed questions are counted and left out of the means."""
     return rows.groupBy("variant", "k").agg(F.count_if(F.col("error").isNull()).alias("n"), F.count_if(F.col("error").isNotNull()).alias("n_failed"), *[F.round(F.avg(c), places).alias(c) for c in METRICS])
+
+
+def relevant_chunks(chunks: DataFrame, golden: DataFrame, level: str = "page", tolerance: int = 1) -> DataFrame:
+    """(query_id, chunk_id): chunks of the document that a question (query_id, source_doc, source_page) names, at its page give or take ``tolerance``.
+
+    A question without a page, and the level ``doc``, take the whole document; one without a document has none.
+    """
+    met = chunks.select("chunk_id", "doc_id", "page_start").join(golden.select("query_id", F.col("source_doc").alias("doc_id"), "source_page"), "doc_id")
+    near = F.col("source_page").isNull() | (F.abs(F.col("page_start") - F.col("source_page")) <= tolerance)
+    return met.where(near if level == "page" else F.lit(True)).select("query_id", "chunk_id")
+
+
+# The names of measures in a table of metrics.
+LABELS = {"precision": "P", "recall": "R", "f1": "F1", "hit_rate": "HR", "ndcg": "NDCG", "ap": "MAP"}
+
+
+def table(means: DataFrame, variants: tuple[str, ...] = ("dense", "sparse", "hybrid")) -> DataFrame:
+    """(metric, one column a variant, best): ``summary`` as a wide table, one row a measure and k, with the first variant of the largest value."""
+    cells = [F.struct(F.concat(F.lit(f"{n}@"), "k").alias("metric"), F.col(c).alias("value")) for c, n in LABELS.items()]
+    deepest = F.max("k").over(Window.partitionBy("variant"))  # the same at every k
+    long_ = means.withColumn("deepest", deepest).select("variant", F.explode(F.array(*cells, F.struct(F.when(F.col("k") == F.col("deepest"), "MRR").alias("metric"), F.col("mrr").alias("value")))).alias("c"))
+    rows = long_.select("variant", "c.metric", "c.value").where("metric is not null")
+    order = F.array_position(F.array(*map(F.lit, variants)), F.col("variant"))
+    one = [F.max(F.when(F.col("variant") == v, F.col("value"))).alias(v) for v in variants]
+    return rows.groupBy("metric").agg(*one, F.max_by("variant", F.when(F.col("value").isNotNull(), F.struct("value", -order))).alias("best"))

@@ -138,6 +138,11 @@ def variant_evaluation(spark: SparkSession, d: str) -> DataFrame:
     return variants.summary(variants.judged(lists, *_relevant(spark, d, asked)), 5)
 
 
+def variant_table(spark: SparkSession, d: str) -> DataFrame:
+    """The means of ``variant_evaluation`` as a table of metrics, the best variant of each named."""
+    return variants.table(variant_evaluation(spark, d))
+
+
 def variant_rows(spark: SparkSession, d: str) -> DataFrame:
     """What ``variant_evaluation`` averages: one row a question, variant and k, with the error of those that failed."""
     asked = _golden(spark, d)
@@ -228,7 +233,7 @@ def vector_index(spark: SparkSession, d: str) -> DataFrame:
     return vectors.search(index, asked, 11).where("query_id <> doc_id").select("query_id", "doc_id", "score")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, sparse_post_filter, dense_topk, dense_pre_filter, rrf_hybrid, hybrid_debug, metadata_filter, ir_metrics_at_k, metrics_grouping_sets, ablation_rrf_k, ablation_bm25_k1, bm25_index, dense_only, sparse_only, ablation_filter, ablation_pool, variant_evaluation, variant_rows, vector_index)}
+QUERIES = {f.__name__: f for f in (bm25_topk, sparse_post_filter, dense_topk, dense_pre_filter, rrf_hybrid, hybrid_debug, metadata_filter, ir_metrics_at_k, metrics_grouping_sets, ablation_rrf_k, ablation_bm25_k1, bm25_index, dense_only, sparse_only, ablation_filter, ablation_pool, variant_evaluation, variant_table, variant_rows, vector_index)}
 
 _Q = "q AS (SELECT item_id AS query_id, text FROM benchmark)"
 _QV = "q AS (SELECT item_id AS query_id, text, embedding FROM benchmark JOIN embeddings ON item_id = vec_id)"
@@ -341,3 +346,7 @@ ORACLE_SQL = {
       round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) WHEN error IS NULL THEN 0.0 END), 5) AS f1, round(avg(hit_rate), 5) AS hit_rate, round(avg(ndcg), 5) AS ndcg, round(avg(ap), 5) AS ap, round(avg(mrr), 5) AS mrr FROM m GROUP BY variant, k""",
     "vector_index": f"SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ({_DENSE})) WHERE rank <= 10",
 }
+_LABELLED = ", ".join(f"'{n}@' || k" for n in variants.LABELS.values())
+ORACLE_SQL["variant_table"] = f"""WITH x AS ({ORACLE_SQL['variant_evaluation']}), l AS (SELECT variant, unnest([{_LABELLED}, CASE WHEN k = 10 THEN 'MRR' END]) AS metric, unnest([{', '.join(variants.LABELS)}, mrr]) AS value FROM x)
+SELECT metric, max(value) FILTER (variant = 'dense') AS dense, max(value) FILTER (variant = 'sparse') AS sparse, max(value) FILTER (variant = 'hybrid') AS hybrid,
+  arg_max(variant, value * 1e6 - list_position(['dense', 'sparse', 'hybrid'], variant) / 10) AS best FROM l WHERE metric IS NOT NULL GROUP BY metric"""

@@ -53,10 +53,6 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return df.toDF(*[c.lstrip("﻿") for c in df.columns])
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-
-
 def documents(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """(path, stem, kind, content, valid, md5, size) of binary documents below a folder.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import chunking, evaluation, gap, prompts, retrieval, sparse
-from siltstone.sources import files, upsert
+from siltstone.sources import files, sinks, upsert
 from siltstone.streaming import incremental
 
 
