@@ -99,11 +99,11 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).checkpoint(eager=True)
 
 
-def handed_over(df: DataFrame) -> DataFrame:
+def handed_over(df: DataFrame, compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again, for steps that scan it more than once."""
     spark = df.sparkSession
     place = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    df.write.parquet(place, compression=compression)
     return spark.read.parquet(place)
 
 
