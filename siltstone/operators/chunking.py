@@ -182,6 +182,11 @@ def page_chunks(pages: DataFrame, meta: DataFrame | None = None, count: Callable
     )
 
 
+def cycle_report(rows: DataFrame, cycle: str = "ndc_cycle") -> DataFrame:
+    """(group, n): chunks by submission cycle, named ``NDC1`` and so on; rows without a cycle are left out."""
+    return rows.where(F.col(cycle).isNotNull()).groupBy(F.concat(F.lit("NDC"), F.col(cycle).cast("string")).alias("group")).agg(F.count("*").alias("n"))
+
+
 def corpus_report(rows: DataFrame, group: str, missing: str) -> DataFrame:
     """(group, n, tokens, mean_tokens): counts, with ``missing`` for null groups and the mean rounded down."""
     g = F.coalesce(F.col(group), F.lit(missing)).alias("group")

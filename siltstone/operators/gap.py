@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from siltstone.functions.scores import measurability_score, severity_label
 
 
+#: Dimensions that may be broadcast.
+GRID_ROWS = 10_000
+
+
 def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in a stated order (not whichever comes first)."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -15,8 +19,9 @@ def keep_first(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def grid(entities: DataFrame, dimensions: DataFrame) -> DataFrame:
-    """Every entity with every dimension; both are small reference tables."""
-    return entities.crossJoin(F.broadcast(dimensions))
+    """Every entity with every dimension; both are reference tables, and dimensions are broadcast up to ``GRID_ROWS`` (counted)."""
+    few = dimensions.limit(GRID_ROWS + 1).count() <= GRID_ROWS
+    return entities.crossJoin(F.broadcast(dimensions) if few else dimensions)
 
 
 def merge_cells(cells: DataFrame, override: DataFrame, single: DataFrame, original: DataFrame, keys: tuple[str, str] = ("entity", "dimension")) -> DataFrame:

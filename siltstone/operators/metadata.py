@@ -25,6 +25,20 @@ def with_metadata(docs: DataFrame, known: DataFrame, stem: str = "stem") -> Data
     return met.select(*docs.columns, *out)
 
 
+# What a benchmark report is taken for where the reference table does not know it.
+BENCHMARK_DEFAULTS = {"doc_type": "IPCC_AR6", "wg": "Unknown", "relevance": ""}
+
+
+def with_benchmark_metadata(docs: DataFrame, known: DataFrame, stem: str = "stem") -> DataFrame:
+    """Adds doc_type, wg, relevance, year and chapter from ``known`` (stem and any of these), with defaults for the first three; country is null."""
+    names = ("doc_type", "wg", "relevance", "year", "chapter")
+    k = known.select(F.col("stem").alias("__stem"), *[F.col(c).alias(f"__{c}") for c in names if c in known.columns])
+    met = docs.join(k, F.col(stem) == F.col("__stem"), "left")
+    have = lambda c: F.col(f"__{c}") if c in known.columns else F.lit(None).cast("string" if c in BENCHMARK_DEFAULTS else "int")
+    out = [(F.coalesce(have(c), F.lit(BENCHMARK_DEFAULTS[c])) if c in BENCHMARK_DEFAULTS else have(c)).alias(c) for c in names]
+    return met.select(*docs.columns, *out, F.lit(None).cast("string").alias("country"))
+
+
 def expand_aliases(docs: DataFrame, aliases: DataFrame, entity: str = "country") -> DataFrame:
     """A document of an entity stands for its aliases too: ``aliases`` (entity, alias); its own row stays."""
     more = docs.join(aliases, docs[entity] == aliases["entity"]).select(*[aliases["alias"].alias(c) if c == entity else docs[c] for c in docs.columns])

@@ -22,9 +22,11 @@ Generator = Callable[[list[str]], list[str]]
 def context_block(chunks: DataFrame, text_chars: int | None = None, section_chars: int = 80) -> DataFrame:
     """(query_id, context): numbered source headers and texts in rank order.
 
-    ``chunks``: query_id, rank, doc_id, country, year, page, section, source, text.
+    ``chunks``: query_id, rank, doc_id, country, year, page, section, source, text.  Headers of gap
+    analyses cut a section at 70 characters, those of answers at 80.
     """
     text = F.trim(F.coalesce("text", F.lit("")))
+    # The lines of a source's header.
     body = F.concat_ws(
         "\n",
         F.format_string("--- SOURCE %d ---", "rank"),

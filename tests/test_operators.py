@@ -337,3 +337,33 @@ def test_common_terms_lie_in_many_files(spark, tmp_path):
     (home / "0unfinished" / "postings").mkdir(parents=True)
     assert sparse.sparse_index(docs, str(tmp_path / "index"), version=sparse.files(docs)).built is False
     assert sparse.drop_indexes(spark, str(tmp_path / "index"), keep=sparse.files(docs)) == 0 and sparse.drop_indexes(spark, str(tmp_path / "index")) == 1
+
+
+def test_cycles_and_benchmark_defaults(spark):
+    from siltstone.operators import metadata
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2), ("d", None)], "stem string, ndc_cycle int")
+    assert sorted(map(tuple, chunking.cycle_report(rows).collect())) == [("NDC1", 1), ("NDC2", 2)]
+    known = spark.createDataFrame([("a", "SPM", "WG1", 2021), ("b", None, "WG2", None)], "stem string, doc_type string, wg string, year int")
+    got = {r.stem: tuple(r)[2:] for r in metadata.with_benchmark_metadata(rows.where("stem < 'd'"), known).collect()}
+    assert got == {"a": ("SPM", "WG1", "", 2021, None, None), "b": ("IPCC_AR6", "WG2", "", None, None, None), "c": ("IPCC_AR6", "Unknown", "", None, None, None)}
+
+
+def test_forms_questions_and_citations(spark):
+    from siltstone.functions import predicate
+    from siltstone.functions import text as T
+    from siltstone.operators import passes
+
+    assert predicate.one_of(a=[], b=["x"]) == {"b": "x"} and predicate.one_of(a=[1, 2], b=["x"]) == {"$and": [{"a": {"$in": [1, 2]}}, {"b": "x"}]} and predicate.one_of(a=[]) == {}
+    df = spark.createDataFrame([("see [doc_1, p.3] and [no]", list(range(10)))], "t string, n array<int>")
+    r = df.select(T.highlight_citations(F.col("t")).alias("h"), T.truncate_tokens(F.col("n"), 6, 2).alias("c"), T.truncate_tokens(F.col("n"), 10, 2).alias("whole")).first()
+    assert r.h == "see <b>[doc_1, p.3]</b> and [no]" and r.c == [0, 1, 6, 7, 8, 9] and len(r.whole) == 10
+    asked = spark.createDataFrame([("India", ["solar", "wind", "grid", "coal", "gas"])], "e string, k array<string>")
+    assert asked.select(passes.search_text(F.col("e"), F.col("k"), "targets").alias("s")).first().s == "India solar wind grid coal targets"
+
+
+def test_fusion_weights(spark):
+    a = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2)], "query_id long, doc_id long, score double, rank long")
+    b = spark.createDataFrame([(1, 11, 5.0, 1), (1, 12, 4.0, 2)], "query_id long, doc_id long, score double, rank long")
+    got = {r.doc_id: r.rrf_score for r in retrieval.fuse(a, b, 60.0, dense_weight=2.0, sparse_weight=0.5).collect()}
+    assert got == {10: round(2 / 61, 6), 11: round(2 / 62 + 0.5 / 61, 6), 12: round(0.5 / 62, 6)}
