@@ -128,8 +128,13 @@ def opened(spark: SparkSession, place: str) -> VectorIndex:
 
 
 def add(index: VectorIndex, vectors: DataFrame, batch: str, id_column: str = "vec_id", vector: str = "embedding") -> VectorIndex:
-    """The index with the rows whose ids it does not have yet, each in its list; a batch of a name is written once, a repeated one replaces itself."""
+    """The index with the rows whose ids it does not have yet, each in its list.
+
+    A batch of a name is written once; one that was not written to its end is written again.
+    """
     spark = vectors.sparkSession
+    if "_SUCCESS" in _names(spark, f"{index.place}/rows/batch={batch}"):
+        return index
     before = spark.read.parquet(f"{index.place}/rows").where(F.col("batch").cast("string") != batch).select("id")
     fresh = _usable(vectors, id_column, vector).dropDuplicates(["id"]).join(before, "id", "left_anti")
     _write(fresh, index.place, index.centres, batch)

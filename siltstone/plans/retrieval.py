@@ -227,7 +227,11 @@ def ablation_pool(spark: SparkSession, d: str) -> DataFrame:
 def vector_index(spark: SparkSession, d: str) -> DataFrame:
     """The stored vector index: built over two thirds of the rows, the rest added, searched; equal to the exact scan."""
     rows = table(spark, d, "embeddings")
-    index = vectors.build(rows.where("vec_id % 3 > 0"), f"{store(spark)}/vectors-{bm25.files(rows)}")
+    place = f"{store(spark)}/vectors-{bm25.files(rows)}"
+    try:
+        index = vectors.opened(spark, place)
+    except FileNotFoundError:
+        index = vectors.build(rows.where("vec_id % 3 > 0"), place)
     index = vectors.add(index, rows, "rest")
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return vectors.search(index, asked, 11).where("query_id <> doc_id").select("query_id", "doc_id", "score")
